@@ -36,6 +36,42 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_sentencepiece, op3_quality_rules)}
+#: (verdict, host, path)
+URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+#: Sites that the URL query blocks where no rule fits.
+LISTED_SITES = ["ads-track.example.com", "adult-x.example.com", "casino-win.example.net", "cheap-pills.example.net", "free-bets.example.net", "spam-farm.example.org"]
 
-ORACLE_SQL: dict[str, str] = {}
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kindred.llm.url_filters import url_filter
+
+    listed = spark.createDataFrame([(f"https://{site}/",) for site in LISTED_SITES], "url string")
+    return url_filter(table(spark, sf_dir, "pages"), URL_RULES, listed)
+
+
+def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from kindred.llm.simhash_dedup import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"), radius=4, width=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_sentencepiece, op3_quality_rules, op4_url_filters, op5_simhash_dedup)}
+
+_RULES_SQL = ", ".join(f"('{host}{path}', '{host}', '{path}', '{verdict}')" for verdict, host, path in URL_RULES)
+_SITES_SQL = ", ".join(f"('{site}')" for site in LISTED_SITES)
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_url_filters": f"""
+WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT page_id, row_number() OVER () AS row_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+rules(rule, rule_host, rule_path, rule_verdict) AS (VALUES {_RULES_SQL}),
+sites(site) AS (VALUES {_SITES_SQL}),
+fits AS (SELECT row_id, arg_max(rule, length(rule)) AS rule, arg_max(rule_verdict, length(rule)) AS rule_verdict FROM parts JOIN rules ON (host = rule_host OR host LIKE '%.' || rule_host) AND starts_with(path, rule_path) GROUP BY row_id),
+listed AS (SELECT DISTINCT row_id FROM parts JOIN sites ON host = site OR host LIKE '%.' || site)
+SELECT page_id, host, path, rule, coalesce(rule_verdict, CASE WHEN l.row_id IS NULL THEN 'allow' ELSE 'block' END) AS verdict, l.row_id IS NOT NULL AS listed
+FROM parts LEFT JOIN fits USING (row_id) LEFT JOIN listed l USING (row_id)
+""",
+}
