@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.llm.common import map_rows, words_of
+from kindred.llm.common import map_rows, materialise, words_of
 
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -144,7 +144,7 @@ def quality_rules(docs: DataFrame, options: Options = Options()) -> DataFrame:
     The references of at most ``max_languages`` languages, each of ``common_words`` words and
     the character classes, travel to the executors: their size doesn't follow the corpus.
     """
-    found = language_references(docs, options)
+    found = materialise(language_references(docs, options), "references")
     chars = found.where("kind = 'class'").groupBy("lang").agg(F.sum("n").alias("chars")).orderBy(F.desc("chars"), "lang").limit(options.max_languages)
     most = options.max_languages * (options.common_words + N_CLASSES)
     classes: dict[str, np.ndarray] = {}

@@ -58,7 +58,20 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_sentencepiece, op3_quality_rules, op4_url_filters, op5_simhash_dedup)}
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kindred.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kindred.llm.toxicity import fit, toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return toxicity(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_sentencepiece, op3_quality_rules, op4_url_filters, op5_simhash_dedup, op8_decontaminate, op9_toxicity)}
 
 _RULES_SQL = ", ".join(f"('{host}{path}', '{host}', '{path}', '{verdict}')" for verdict, host, path in URL_RULES)
 _SITES_SQL = ", ".join(f"('{site}')" for site in LISTED_SITES)
