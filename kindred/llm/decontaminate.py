@@ -9,7 +9,8 @@ shingles, so it has one of any ``L - ceil(t * L) + 1`` of them. Those rarest amo
 are the item's seeds; each place where a text has a seed aligns one window of the item's
 size. That leaves out no window that could pass, and spares all others their fingerprint.
 The seeds are matched inside the scan, block by block of a bounded size, so a passage that
-many texts share never meets in one task.
+many texts share never meets in one task: a bitmap of their hashes first picks the places of
+a text worth looking up, so that only those become rows.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ from pyspark.sql import functions as F
 
 WIDTH = 5
 #: Most seeds broadcast at once; more are matched in as many further scans.
-SEED_BLOCK = 200_000
+SEED_BLOCK = 50_000
+#: Bits of the bitmap for each seed, and its least and most size as powers of two.
+BITS_PER_SEED, LEAST_BITS, MOST_BITS = 128, 12, 20
 #: 64 bits in eight blocks; with up to two bits flipped in a block, all within 23 bits are found.
 BLOCKS, FLIPS = 8, 2
 RADIUS = BLOCKS * (FLIPS + 1) - 1
@@ -70,6 +73,32 @@ def seeds_of(items: DataFrame, threshold: float) -> DataFrame:
     return at.join(keep.select("sig", "seed").distinct(), ["sig", "seed"]).select("seed", "offset", "sig", "size")
 
 
+def bitmap_of(seeds: DataFrame, n_seeds: int) -> tuple[Column, int]:
+    """A constant array of longs with a bit set for each seed, and its size in bits; at most 2**MOST_BITS of them."""
+    bits = min(1 << MOST_BITS, max(1 << LEAST_BITS, 1 << (n_seeds * BITS_PER_SEED).bit_length()))
+    at = F.col("seed").bitwiseAND(F.lit(bits - 1))
+    word = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    longs = [0] * (bits // 64)
+    for i, x in seeds.groupBy(F.shiftright(at, 6).cast("int").alias("i")).agg(F.bit_or(word).alias("x")).collect():
+        longs[i] = x
+    return F.expr(f"cast(split('{','.join(map(str, longs))}', ',') as array<bigint>)"), bits
+
+
+def places_of(texts: DataFrame, seeds: DataFrame, n_seeds: int) -> DataFrame:
+    """Rows ``doc_id, sh, pos, seed`` of the places whose hash is in the seeds' bitmap."""
+    bitmap, bits = bitmap_of(seeds, n_seeds)
+
+    def listed(i: Column) -> Column:
+        at = F.get("sh", i).bitwiseAND(F.lit(bits - 1))
+        word = F.get(bitmap, F.shiftright(at, 6).cast("int"))
+        return F.call_function("shiftright", word, at.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    every = F.when(F.size("sh") > 0, F.sequence(F.lit(0), F.size("sh") - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+    # outer: for others the optimiser adds a filter on the array's size and computes sh once a word for it
+    rows = texts.select("doc_id", "sh", F.filter(every, listed).alias("at")).select("doc_id", "sh", F.explode_outer("at").alias("pos"))
+    return rows.where("pos is not null").withColumn("seed", F.get("sh", F.col("pos")))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Return ``doc_id, item_id, start, hamming, similarity, n_windows`` for each text with a near copy of an item.
 
@@ -82,14 +111,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8)
     items = with_shingles(benchmark.select("item_id", "text"), "text").where(F.size("sh") > 0).distinct().withColumn("sig", F.xxhash64("item_id", "sh"))
     items = items.withColumn("item_fp", simhash("sh")).withColumnRenamed("sh", "item_sh").persist()
     seeds = seeds_of(items.select("sig", F.col("item_sh").alias("sh")), threshold).persist()
-    n_blocks = 1 + seeds.count() // SEED_BLOCK
+    n_seeds = seeds.count()
+    n_blocks = 1 + n_seeds // SEED_BLOCK
 
     texts = with_shingles(docs.select("doc_id", "text"), "text")
-    # outer: for others the optimiser adds a filter on the size of sh and computes sh once a word for it
-    places = texts.select("doc_id", "sh", F.posexplode_outer("sh").alias("pos", "seed"))
     windows = None
     for b in range(n_blocks):
         some = seeds if n_blocks == 1 else seeds.where(F.pmod(F.xxhash64("seed"), F.lit(n_blocks)) == b)
+        places = places_of(texts, some, n_seeds // n_blocks + 1)
         start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("offset"), F.size("sh") - F.col("size")))
         found = places.join(F.broadcast(some), "seed").withColumn("start", start).select("doc_id", "sig", "start", F.expr("slice(sh, start + 1, size)").alias("window"))
         windows = found if windows is None else windows.unionByName(found)
