@@ -13,7 +13,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Container
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -23,6 +25,10 @@ from kindred.llm.common import held_out, map_rows, materialise
 
 _TERM = re.compile(r"\w+")
 FOLDS = 5
+#: Lengths of the beginnings that count as terms.
+STEMS = (5, 7)
+#: Least numbers of words with a chosen term, and the weight of that number beside the terms.
+INTENSITY, INTENSITY_WEIGHT = (1, 2, 3, 5), 2.0
 
 
 @dataclass(frozen=True)
@@ -40,9 +46,32 @@ class Options:
 
 
 def terms_of(text: str | None) -> list[str]:
+    """Lower-cased words."""
     return _TERM.findall(text.lower()) if text else []
 
 
+def features_of(word: str) -> tuple[str, ...]:
+    """A word and, marked by a star, its beginnings: they stand for words that no example has."""
+    return (word, *[word[:k] + "*" for k in STEMS if len(word) > k])
+
+
+def count_terms(words: list[str], chosen: Container[str]) -> Counter:
+    """Chosen terms of a text, and how many of its words have one as a further term ("#1", "#2", "#3", "#5": at least)."""
+    found: Counter = Counter()
+    hits = 0
+    for word, n in Counter(words).items():
+        before = len(found), found.total()
+        if word in chosen:
+            found[word] += n
+        for k in STEMS:
+            if len(word) > k and (stem := word[:k] + "*") in chosen:
+                found[stem] += n
+        hits += n * (before != (len(found), found.total()))
+    if hits:
+        found[f"#{max(x for x in INTENSITY if x <= hits)}"] = 1
+    return found
+
+
 class BlockMaxIndex:
     """Unit vectors by term, with the largest weight of each term in each block of consecutive examples."""
 
@@ -85,6 +114,7 @@ class Model:
     def __init__(self, terms: list[str], examples: list[tuple[int, int, dict[str, int]]], rates: dict[int, float], options: Options) -> None:
         """``examples``: (doc_id, label, counts of chosen terms); ``rates``: labelled rows an example of a label stands for."""
         self.options = options
+        terms = [*terms, *[f"#{x}" for x in INTENSITY]]
         self.terms = {t: i for i, t in enumerate(terms)}
         n = len(examples)
         df = Counter(t for _, _, counts in examples for t in counts)
@@ -101,17 +131,19 @@ class Model:
 
     def vector(self, counts: dict[str, int]) -> dict[int, float]:
         """Unit TF-IDF vector of term counts."""
-        v = {self.terms[t]: (1 + math.log(c)) * self.idf[self.terms[t]] for t, c in counts.items()}
+        v = {self.terms[t]: (1 + math.log(c)) * self.idf[self.terms[t]] * (INTENSITY_WEIGHT if t[0] == "#" else 1) for t, c in counts.items()}
         size = math.sqrt(sum(w * w for w in v.values())) or 1.0
         return {t: w / size for t, w in v.items()}
 
+    def counts(self, words: list[str]) -> Counter:
+        """Chosen terms of a text."""
+        return count_terms(words, self.terms)
+
     def score(self, text: str | None) -> tuple[float, list[int]]:
         """Score of a text and the ids of its three nearest examples."""
-        found = terms_of(text)
-        hit = self.terms.keys() & set(found)
-        if not hit or not self.ids:
+        counts = self.counts(terms_of(text))
+        if not counts or not self.ids:
             return self.base, []
-        counts = Counter(w for w in found if w in hit)
         key = tuple(sorted(counts.items()))
         if key not in self._seen:
             near = self.index.nearest(self.vector(counts), self.options.neighbours)
@@ -142,11 +174,13 @@ def choose_terms(sample: DataFrame, options: Options) -> list[str]:
         for text, y in zip(rows["text"], rows["toxic"], strict=True):
             words = ["", *terms_of(text), ""]
             for i in range(1, len(words) - 1):
-                seen.setdefault((words[i], y), set()).add((words[i - 1], words[i + 1]))
-        flat = [(w, y, a, b) for (w, y), around in seen.items() for a, b in around]
-        return {k: [x[i] for x in flat] for i, k in enumerate(("term", "toxic", "before", "after"))}
+                around = crc32(f"{words[i - 1]} {words[i + 1]}".encode())
+                for term in features_of(words[i]):
+                    seen.setdefault((term, y), set()).add(around)
+        flat = [(w, y, a) for (w, y), around in seen.items() for a in around]
+        return {k: [x[i] for x in flat] for i, k in enumerate(("term", "toxic", "around"))}
 
-    spread = map_rows(sample.select("text", "toxic"), contexts, "term string, toxic int, before string, after string").distinct()
+    spread = map_rows(sample.select("text", "toxic"), contexts, "term string, toxic int, around long").distinct()
     totals = {r["toxic"]: r["n"] for r in spread.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     t1, t0 = totals.get(1, 0), totals.get(0, 0)
     if not t1:
@@ -167,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, options: Options = Options()) -> Mod
     chosen = set(terms)
 
     def count(rows: dict[str, list]) -> dict[str, list]:
-        return {"doc_id": rows["doc_id"], "toxic": rows["toxic"], "counts": [list(Counter(w for w in terms_of(t) if w in chosen).items()) for t in rows["text"]]}
+        return {"doc_id": rows["doc_id"], "toxic": rows["toxic"], "counts": [list(count_terms(terms_of(t), chosen).items()) for t in rows["text"]]}
 
     vectors = map_rows(sample.select("doc_id", "toxic", "text"), count, "doc_id long, toxic int, counts map<string, int>")
     vectors = vectors.limit(4 * options.max_examples)
