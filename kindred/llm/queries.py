@@ -58,6 +58,32 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kindred.llm.chat_format import as_chains, format_conversations, read_back
+
+    awkward = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", awkward), (-7, 1, "assistant", awkward)], "conv_id long, turn long, role string, text string")
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return read_back(format_conversations(as_chains(said)))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from kindred.llm.secret_scan import fit, scan
+
+    docs = table(spark, sf_dir, "documents")
+    found = scan(docs, fit(docs))
+
+    def joined(spans: str):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kindred.llm.decontaminate import contaminated
 
@@ -71,7 +97,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_sentencepiece, op3_quality_rules, op4_url_filters, op5_simhash_dedup, op8_decontaminate, op9_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_sentencepiece, op3_quality_rules, op4_url_filters, op5_simhash_dedup, op6_chat_format, op7_secret_scan, op8_decontaminate, op9_toxicity)}
 
 _RULES_SQL = ", ".join(f"('{host}{path}', '{host}', '{path}', '{verdict}')" for verdict, host, path in URL_RULES)
 _SITES_SQL = ", ".join(f"('{site}')" for site in LISTED_SITES)
