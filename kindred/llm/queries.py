@@ -97,7 +97,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_sentencepiece, op3_quality_rules, op4_url_filters, op5_simhash_dedup, op6_chat_format, op7_secret_scan, op8_decontaminate, op9_toxicity)}
+def op10_lm_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kindred.llm.lm_mixing import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_sentencepiece, op3_quality_rules, op4_url_filters, op5_simhash_dedup, op6_chat_format, op7_secret_scan, op8_decontaminate, op9_toxicity, op10_lm_mixing)}
 
 _RULES_SQL = ", ".join(f"('{host}{path}', '{host}', '{path}', '{verdict}')" for verdict, host, path in URL_RULES)
 _SITES_SQL = ", ".join(f"('{site}')" for site in LISTED_SITES)
