@@ -77,3 +77,24 @@ def salted_lookup(left: DataFrame, right: DataFrame, key: str, salt_by: Iterable
     a = left.withColumn("__salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
     b = right.withColumn("__salt", F.explode(F.expr(f"sequence(0, {salts - 1})")))
     return a.join(b, [key, "__salt"], how).drop("__salt")
+
+
+def keep_rows(df: DataFrame, keep: Callable[[list], list[bool]], column: str = "text") -> DataFrame:
+    """Rows of ``df``, all columns, for which ``keep`` of the column's values is true; no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(keep(batch.column(column).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+#: Most ids that are broadcast to be dropped (8 bytes each, some 20 in a hash table).
+MAX_BROADCAST_IDS = 300_000
+
+
+def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose ``doc_id`` isn't in ``ids(doc_id)``; null ids stay. Broadcast only if few, else shuffled."""
+    gone = materialise(ids.where("doc_id is not null").distinct(), "gone")
+    few = gone.count() <= MAX_BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)

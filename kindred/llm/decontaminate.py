@@ -20,6 +20,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kindred.llm.common import drop_ids
+
 WIDTH = 5
 #: Most seeds broadcast at once; more are matched in as many further scans.
 SEED_BLOCK = 50_000
@@ -132,3 +134,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8)
     passed = pairs.withColumn("similarity", weighted_similarity("window", "item_sh")).where(F.col("similarity") >= threshold)
     best = passed.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("at"), (-F.col("hamming")).alias("h"))).alias("best"), F.countDistinct("start").alias("n_windows"))
     return best.select("doc_id", "item_id", (-F.col("best.at")).alias("start"), (-F.col("best.h")).alias("hamming"), F.round("best.similarity", 6).alias("similarity"), "n_windows")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """Rows of ``docs``, all columns, without a near copy of a benchmark item."""
+    return drop_ids(docs, contaminated(docs, benchmark, threshold).select("doc_id"))

@@ -15,7 +15,7 @@ in one component are dropped.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import lower_ascii, map_rows, materialise, words_of
+from kindred.llm.common import MAX_BROADCAST_IDS, drop_ids, lower_ascii, map_rows, materialise, words_of
 from kindred.llm.components import connected_components
 
 #: Most fingerprints of one prefix in a unit, and the prefix lengths tried for it.
@@ -48,6 +48,17 @@ def fingerprint(features: list[str]) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(features)).tobytes(), "big")
 
 
+def word_fingerprint(words: list[str]) -> int:
+    """SimHash of the words with the square roots of their counts as weights."""
+    if not words:
+        return 0
+    counts = Counter(words)
+    digest = b"".join([xxhash.xxh64_digest(w.encode(), 42) for w in counts])
+    bits = np.unpackbits(np.frombuffer(digest, np.uint8).reshape(-1, 8), axis=1).astype(np.float32)
+    weights = np.sqrt(np.fromiter(counts.values(), np.float32))
+    return int.from_bytes(np.packbits(2 * (weights @ bits) > weights.sum()).tobytes(), "big")
+
+
 def fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
     """Return ``doc_id, fp`` (the 64 bits as a signed long) of every row of ``docs(doc_id, text)``."""
 
@@ -62,6 +73,7 @@ class Forest:
     """Components of leaves, joined as pairs come; labels are kept flat so that ranges can be compared."""
 
     def __init__(self, n: int) -> None:
+        self.edges: list[tuple[np.ndarray, np.ndarray]] = []
         self.label = np.arange(n)
         self.until = np.arange(1, n + 1)
 
@@ -73,11 +85,15 @@ class Forest:
             x, y = label[a], label[b]
             if not (open_ := x != y).any():
                 break
+            a, b = a[open_], b[open_]
             low, high = np.minimum(x, y)[open_], np.maximum(x, y)[open_]
-            np.minimum.at(label, high, low)
+            # each root hooks onto its lowest neighbour, by one pair
+            order = np.lexsort((low, high))
+            first = order[np.append(True, np.diff(high[order]) > 0)]
+            label[high[first]] = low[first]
+            self.edges.append((a[first], b[first]))
             while (label[label] != label).any():
                 label = label[label]
-            a, b = a[open_], b[open_]
         self.label = label
         ends = np.append(np.flatnonzero(np.diff(label)) + 1, len(label))
         self.until = ends[np.searchsorted(ends, np.arange(len(label)), side="right")]
@@ -87,13 +103,15 @@ class Forest:
         return (self.until[a0] >= a1) & (self.until[b0] >= b1) & (self.label[a0] == self.label[b0])
 
 
-def trie_join(leaves: np.ndarray, split: int, radius: int, depth: int = 0) -> Forest:
+def trie_join(leaves: np.ndarray, split: int, radius: int, depth: int = 0, forest: Forest | None = None) -> Forest:
     """Link leaves within ``radius`` bits.
 
     ``leaves[:split]`` and ``leaves[split:]`` are sorted, each sharing its first ``depth`` bits:
     the leaves of two trie nodes to be joined. ``split`` = all of them: one node with itself.
+    A forest given goes on from the components that it has.
     """
-    n, forest, half = len(leaves), Forest(len(leaves)), radius // 2
+    n, half = len(leaves), radius // 2
+    forest = Forest(n) if forest is None else forest
     one = np.uint64(1)
     same = split == n
     apart = 0 if same or not split else int(np.bitwise_count((leaves[0] ^ leaves[-1]) >> np.uint64(64 - depth))) if depth else 0
@@ -159,8 +177,11 @@ def _prefix_length(leaves: DataFrame) -> int:
     return min((r["bits"] for r in largest if r["n"] <= UNIT_ROWS), default=longest)
 
 
-def link_forest(fps: DataFrame, radius: int) -> DataFrame:
-    """Spanning edges ``a, b`` of the links within ``radius`` between the distinct values of ``fps(fp)``."""
+def link_forest(fps: DataFrame, radius: int, nearest: bool = False) -> DataFrame:
+    """Spanning edges ``a, b`` of the links within ``radius`` between the distinct values of ``fps(fp)``.
+
+    ``nearest``: of least Hamming distance, by joins of growing radius.
+    """
     half = radius // 2
     turned = F.shiftleft("fp", 32).bitwiseOR(F.shiftrightunsigned("fp", 32))
     leaves = fps.select(F.lit(0).alias("turn"), F.col("fp").alias("leaf")).unionByName(fps.select(F.lit(1).alias("turn"), turned.alias("leaf")))
@@ -174,10 +195,11 @@ def link_forest(fps: DataFrame, radius: int) -> DataFrame:
         leaf = np.sort(rows.column("leaf").to_numpy().view(np.uint64))
         top = leaf >> np.uint64(64 - bits)
         split = len(leaf) if low == high else int(np.searchsorted(top, np.uint64(high)))
-        label = trie_join(leaf, split, radius, bits).label
-        order = np.argsort(label, kind="stable")
-        chained = label[order][1:] == label[order][:-1]
-        ends = [leaf[order[:-1][chained]], leaf[order[1:][chained]]]
+        forest = Forest(len(leaf))
+        for r in range(1, radius + 1) if nearest else [radius]:
+            trie_join(leaf, split, r, bits, forest)
+        none = np.zeros(0, np.int64)
+        ends = [leaf[np.concatenate([none, *[e[i] for e in forest.edges]])] for i in range(2)]
         if turn:
             ends = [(x << np.uint64(32)) | (x >> np.uint64(32)) for x in ends]
         return pa.table({"a": ends[0].view(np.int64), "b": ends[1].view(np.int64)})
@@ -198,10 +220,69 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 5) -> DataFra
     roots = connected_components(link_forest(classes.select("fp"), radius))
     placed = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialise(placed.join(least, "root").select("fp", "n", "component_id"), "components")
-    # of n rows, under a thousand fingerprints can have over n / 1000 each: the hot ones are few enough to broadcast
-    n = found.count()
-    hot = named.where(F.col("n") > max(n // 1000, 1000)).select("fp", F.col("component_id").alias("hot_id"), F.lit(True).alias("is_hot")).limit(1000)
-    rows = found.join(F.broadcast(hot), "fp", "left")
-    cold = rows.where("is_hot is null").select("doc_id", "fp").join(named.select("fp", "component_id"), "fp")
-    return rows.where("is_hot").select("doc_id", "fp", F.col("hot_id").alias("component_id")).unionByName(cold.select("doc_id", "fp", "component_id"))
+    named = placed.join(least, "root").select("fp", "n", "component_id")
+    return place(found, named, "fp").select("doc_id", "fp", "component_id")
+
+
+def place(rows: DataFrame, named: DataFrame, key: str) -> DataFrame:
+    """Join ``component_id`` to ``rows`` by ``key``, unique in ``named(key, n, component_id)``, where ``n`` is how many rows have it.
+
+    Of n rows, under a thousand keys can have over n / 1000 each: those hot keys are few
+    enough to broadcast, whatever n is; the others are joined by a shuffle.
+    """
+    named = materialise(named.select(key, "n", "component_id"), "named")
+    hot = named.where(F.col("n") > max(rows.count() // 1000, 1000)).select(key, F.col("component_id").alias("hot_id"), F.lit(True).alias("is_hot")).limit(1000)
+    known = rows.join(F.broadcast(hot), key, "left")
+    cold = known.where("is_hot is null").select(*rows.columns).join(named.select(key, "component_id"), key)
+    return known.where("is_hot").select(*rows.columns, F.col("hot_id").alias("component_id")).unionByName(cold.select(*rows.columns, "component_id"))
+
+
+#: Radius of the word fingerprints whose texts are compared: texts of which four fifths of the shingles agree differ in 3 bits at the median.
+WORD_RADIUS = 7
+
+
+def near_copies(docs: DataFrame, threshold: float = 0.8, width: int = 5) -> DataFrame:
+    """Return ``doc_id, component_id`` of the rows of ``docs(doc_id, text)`` that are copies of a row with a smaller id.
+
+    Texts of the same lower-cased words are one class. Classes are joined by the trie join
+    on word fingerprints, which differ in few bits where a few words do, unlike those of
+    shingles; a spanning forest of least distances is kept, and of its links those stay whose
+    sets of ``width``-word shingles have a Jaccard similarity of ``threshold`` or more.
+    Texts with no words are one class. Rows with a null id are never copies.
+    """
+
+    def run(rows: dict[str, list]) -> dict[str, list]:
+        words = [words_of(lower_ascii(t or "")) for t in rows["text"]]
+        fps = [word_fingerprint(w) for w in words]
+        same = [xxhash.xxh3_128_hexdigest(" ".join(w).encode()) for w in words]
+        return {"doc_id": rows["doc_id"], "same": same, "fp": [x - (1 << 64) if x >> 63 else x for x in fps]}
+
+    rows = materialise(map_rows(docs.select("doc_id", "text").where("doc_id is not null"), run, "doc_id long, same string, fp long"), "words")
+    classes = materialise(rows.groupBy("same").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n")), "classes")
+    heads = classes.groupBy("fp").agg(F.min("least").alias("head"))
+    # classes of one fingerprint hang from its head, fingerprints from each other; classes go by their least id
+    inside = classes.join(heads, "fp").where("least <> head").select(F.col("head").alias("a"), F.col("least").alias("b"))
+    forest = link_forest(classes.select("fp").distinct(), WORD_RADIUS, nearest=True).distinct()
+    across = forest.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b")
+    links = materialise(inside.unionByName(across.select(F.col("x").alias("a"), F.col("y").alias("b"))), "links")
+
+    def shingle_sets(rows: dict[str, list]) -> dict[str, list]:
+        return {"doc_id": rows["doc_id"], "sh": [sorted({xxhash.xxh64_intdigest(x) - (1 << 63) for x in shingles(t, width)}) for t in rows["text"]]}
+
+    ends = links.select(F.col("a").alias("doc_id")).unionByName(links.select(F.col("b").alias("doc_id"))).distinct()
+    few = ends.count() <= MAX_BROADCAST_IDS
+    texts = docs.select("doc_id", "text").join(F.broadcast(ends) if few else ends, "doc_id")
+    sets = materialise(map_rows(texts, shingle_sets, "doc_id long, sh array<long>").dropDuplicates(["doc_id"]), "sets")
+    both = links.join(sets.select(F.col("doc_id").alias("a"), F.col("sh").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("sh").alias("sb")), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    similar = both.where(shared >= F.lit(threshold) * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    roots = connected_components(similar)
+    least = roots.groupBy("root").agg(F.min("node").alias("component_id"))
+    moved = materialise(roots.join(least, "root").select(F.col("node").alias("least"), "component_id"), "moved")
+    named = classes.join(moved, "least", "left").select("same", "n", F.coalesce("component_id", "least").alias("component_id"))
+    return place(rows, named, "same").where("doc_id <> component_id").select("doc_id", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, threshold: float = 0.8, width: int = 5) -> DataFrame:
+    """Rows of ``docs``, all columns, but the near copies of one with a smaller id; rows that repeat an id stay or go together."""
+    return drop_ids(docs, near_copies(docs, threshold, width).select("doc_id"))

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import held_out, map_rows, materialise
+from kindred.llm.common import held_out, keep_rows, map_rows, materialise
 
 _TERM = re.compile(r"\w+")
 FOLDS = 5
@@ -222,3 +222,8 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
     keyed = docs.select("doc_id", "text", held_out(F.col("doc_id"), FOLDS).alias("held_out"))
     return map_rows(keyed, run, "doc_id long, held_out boolean, score double, predicted int, evidence array<long>")
+
+
+def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """Rows of ``docs``, all columns, that aren't predicted toxic."""
+    return keep_rows(docs, lambda texts: [model.score(t)[0] < 0.5 for t in texts])
