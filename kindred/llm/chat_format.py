@@ -3,7 +3,8 @@
 Paths come from iterative self-joins by pointer doubling: round k knows every message's
 2^k-th ancestor and the summed score up to it, so a tree of depth d takes log2(d) joins.
 Branches are ranked by their mean score; only the chosen paths are spelled out, again by
-doubling. Texts join at the end. The template marks turns; control strings inside texts are
+doubling. Both sides of each join are shuffled tables, so that a message with very many
+replies is split by adaptive execution. Texts join at the end. The template marks turns; control strings inside texts are
 escaped reversibly with a backslash, and a mask of spans covers the assistant's texts.
 """
 
@@ -15,7 +16,7 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.llm.common import map_rows, materialise, salted_lookup
+from kindred.llm.common import map_rows, materialise
 
 #: What begins and ends a turn.
 HEAD, TAIL = "### ", "</turn>\n"
@@ -64,16 +65,17 @@ def best_paths(messages: DataFrame, n_best: int = 1) -> DataFrame:
     """
     rows = messages.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     known = rows.select(F.col("node").alias("parent"), F.lit(True).alias("there"))
-    up = salted_lookup(rows, known, "parent", ["node"], salts=8).select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("up"), F.col("score").alias("total"))
+    up = rows.join(known, "parent", "left").select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("up"), F.col("score").alias("total"))
     up = materialise(up.withColumn("depth", F.col("up").isNotNull().cast("int")), "up")
     jumps = []
+    open_ = -1
     for k in range(64):
-        if up.where("up is not null").isEmpty() or (k and up.where("up is not null").count() == open_):
+        before, open_ = open_, up.where("up is not null").count()
+        if open_ in (0, before):  # all reach a root, or the rest is on cycles
             break
-        open_ = up.where("up is not null").count()
         jumps.append(up.select("node", F.col("up").alias("to")))
         over = up.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"))
-        far = salted_lookup(up.where("up is not null"), over, "up", ["node"], "inner", salts=8)
+        far = up.where("up is not null").join(over, "up")
         far = far.select("tree", "node", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"), (F.col("depth") + F.col("depth2")).alias("depth"))
         up = materialise(up.where("up is null").unionByName(far), f"up{k}")
     leaves = up.where("up is null").join(rows.where("parent is not null").select(F.col("parent").alias("node")).distinct(), "node", "left_anti")
