@@ -4,7 +4,7 @@ A text is coded as binary decisions. Each word of a vocabulary of the commonest
 words has a Huffman code; other words are an escape code and then either their count or the bits of their bytes: their
 probability is a mixture of the two, weighted by the share of unseen words among escapes.
 For every bit several hashed contexts (the code node alone, with the word before, with the
-two words before; for bytes one to three bytes before) look up how often the bit was set in
+two words before; for bytes the byte or the three bytes before) look up how often the bit was set in
 training. Their log odds are mixed by weights that a gate selects by how much evidence the
 contexts have; the weights, and a refinement of the mixed odds, adapt online within a text.
 Adaptation is by blocks of words and starts afresh in each text, so a score depends on the
@@ -25,22 +25,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.common import held_out, lower_ascii, materialise, words_of
+from kindred.llm.common import held_out, materialise
 
 FOLDS = 10
-#: The token after the last word; no word has this character.
-END = "\n"
+#: The token after the last word; no word has this character. Tokens are UTF-8 bytes.
+END = b"\n"
+#: Bins a doubling of the count, where the head of the commonest tokens is cut off.
+BINS = 64
 
 
 @dataclass(frozen=True)
 class Options:
     """``head`` tokens with counts travel to the executors; ``vocabulary`` of them have codes; tables have 2**bits slots."""
 
-    head: int = 200_000
-    vocabulary: int = 16_384
+    head: int = 120_000
+    vocabulary: int = 8192
     word_bits: int = 20
     byte_bits: int = 18
     block: int = 64
@@ -93,19 +95,25 @@ def _expand(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class Bits:
     """Turns tokens into bits and their contexts' slots."""
 
-    def __init__(self, head: list[tuple[str, int]], total: int, options: Options) -> None:
+    def __init__(self, head: list[tuple[bytes, int]], total: int, options: Options) -> None:
         self.options = options
         words = head[: options.vocabulary]
         self.symbol = {w: i for i, (w, _) in enumerate(words)}
         self.escape = len(words)
         self.code = Code([*[c for _, c in words], max(0, total - sum(c for _, c in words))])
-        self.sizes = [len(self.code.size), 1 << options.word_bits, 1 << options.word_bits, 1 << 16, 1 << options.byte_bits, 1 << options.byte_bits]
+        self.sizes = [len(self.code.size), 1 << options.word_bits, 1 << options.word_bits, 1 << 16, 1 << options.byte_bits]
         self.offsets = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
 
     @property
     def slots(self) -> int:
         return int(self.offsets[-1])
 
+    def coded(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of all tokens, and the number of the text that each is of."""
+        get, escape = self.symbol.get, self.escape
+        symbols = np.array([get(w, escape) for t in texts for w in t], np.int64)
+        return symbols, np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+
     def words(self, symbols: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of tokens in order, with their texts' numbers: owning token, three slots and value of each bit."""
         one = np.concatenate([[self.escape], symbols[:-1]]).astype(np.uint64) + np.uint64(1)
@@ -119,38 +127,33 @@ class Bits:
         h2 = _mix(_mix(two, 2), h1)
         shift = np.uint64(64 - self.options.word_bits)
         n64 = node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        slots = np.stack([node, (_mix(h1[owner], n64) >> shift).astype(np.int64) + self.offsets[1], (_mix(h2[owner], n64) >> shift).astype(np.int64) + self.offsets[2]], 1)
+        slots = np.stack([node, (_mix(h1[owner], n64) >> shift).astype(np.int64) + self.offsets[1], (_mix(h2[owner], n64) >> shift).astype(np.int64) + self.offsets[2]])
         return owner, slots, self.code.bits[at]
 
-    def spelled(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The same of words by their bytes and a final space: owning word, three slots and value of each bit."""
-        raw = [w.encode() + b" " for w in words]
-        size = np.array([len(r) for r in raw], np.int64)
-        text = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
-        owner = np.repeat(np.arange(len(raw)), size)
-        first = np.cumsum(size) - size
-        place = np.arange(len(text)) - first[owner]
+    def spelled(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same of words by their bytes and a final space, with two slots: owning word, slots and value of each bit."""
+        size = np.array([len(w) + 1 for w in words], np.int64)
+        text = np.frombuffer(b" ".join([*words, b""]), np.uint8).astype(np.uint64)
+        owner = np.repeat(np.arange(len(words)), size)
+        place = np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size)
 
         def before(k: int) -> np.ndarray:
-            return np.where(place >= k, np.concatenate([np.zeros(k, np.uint64), text])[: len(text)], 0).astype(np.uint64)
-
-        one, two, three = before(1), before(2), before(3)
-        bit = (text[:, None] >> np.arange(7, -1, -1).astype(np.uint64)) & np.uint64(1)
-        partial = np.ones((len(text), 8), np.uint64)
-        for i in range(1, 8):
-            partial[:, i] = partial[:, i - 1] * np.uint64(2) + bit[:, i - 1]
-        partial = partial.ravel()
-        again = np.repeat(np.arange(len(text)), 8)
+            return np.where(place >= k, np.concatenate([np.zeros(k, np.uint64), text])[: len(text)], np.uint64(0))
+
+        one = before(1)
+        bit = np.unpackbits(text.astype(np.uint8)[:, None], axis=1)
+        # the bits of the byte so far, after a leading one
+        partial = (text[:, None] | np.uint64(256)) >> np.arange(8, 0, -1).astype(np.uint64)
+        h3 = _mix(_mix(one * np.uint64(65536) + before(2) * np.uint64(256) + before(3), 4), np.minimum(place, 20).astype(np.uint64))
         shift = np.uint64(64 - self.options.byte_bits)
-        h2 = _mix(one * np.uint64(256) + two, 3)[again]
-        h3 = _mix(_mix(one * np.uint64(65536) + two * np.uint64(256) + three, 4), np.minimum(place, 20).astype(np.uint64))[again]
-        p = partial * np.uint64(0xD6E8FEB86659FD93)
-        slots = np.stack([(one[again] * np.uint64(256) + partial).astype(np.int64) + self.offsets[3], (_mix(h2, p) >> shift).astype(np.int64) + self.offsets[4], (_mix(h3, p) >> shift).astype(np.int64) + self.offsets[5]], 1)
-        return owner[again], slots, bit.ravel().astype(np.int8)
+        first = (one[:, None] * np.uint64(256) + partial).astype(np.int64) + self.offsets[3]
+        second = (_mix(h3[:, None], partial * np.uint64(0xD6E8FEB86659FD93)) >> shift).astype(np.int64) + self.offsets[4]
+        return np.repeat(owner, 8), np.stack([first.ravel(), second.ravel()]), bit.ravel()
 
 
-def tokens_of(text: str | None) -> list[str]:
-    return [*words_of(lower_ascii(text or "")), END]
+def tokens_of(text: str | None) -> list[bytes]:
+    """Words of the text with A-Z lower-cased, then the end; bytes split at ASCII white space, as words do."""
+    return [*text.encode().lower().split(), END] if text else [END]
 
 
 class Tables:
@@ -159,30 +162,25 @@ class Tables:
     def __init__(self, bits: Bits) -> None:
         self.bits = bits
         self.seen = np.zeros(2 * bits.slots, np.uint32)
-        self.unknown: Counter = Counter()
 
-    def learn(self, texts: list[list[str]]) -> None:
-        symbol, escape = self.bits.symbol, self.bits.escape
+    def learn(self, texts: list[list[bytes]]) -> None:
+        """Count the bits of the words' codes."""
         for group in _grouped(texts, self.bits.options.chunk_tokens):
-            symbols = np.array([symbol.get(w, escape) for t in group for w in t], np.int64)
-            doc = np.repeat(np.arange(len(group)), [len(t) for t in group])
+            symbols, doc = self.bits.coded(group)
             _, slots, value = self.bits.words(symbols, doc)
-            np.add.at(self.seen, (2 * slots + value[:, None]).ravel(), np.uint32(1))
-            self.unknown.update(w for t in group for w in t if w not in symbol)
-        if len(self.unknown) > 100_000:
-            self.flush()
-
-    def flush(self) -> None:
-        words = list(self.unknown)
-        times = np.array([self.unknown[w] for w in words], np.uint32)
-        for i in range(0, len(words), 20_000):
-            some = words[i : i + 20_000]
-            owner, slots, value = self.bits.spelled(some)
-            np.add.at(self.seen, (2 * slots + value[:, None]).ravel(), np.repeat(times[i : i + 20_000][owner], 3))
-        self.unknown.clear()
-
-
-def _grouped(texts: list[list[str]], most: int) -> Iterator[list[list[str]]]:
+            for k in range(3):
+                np.add.at(self.seen, 2 * slots[k] + value, np.uint32(1))
+
+    def learn_spelling(self, words: list[bytes], times: np.ndarray) -> None:
+        """Count the bits of words' bytes, each word as often as it stands in the texts."""
+        for i in range(0, len(words), 10_000):
+            owner, slots, value = self.bits.spelled(words[i : i + 10_000])
+            often = times[i : i + 10_000].astype(np.uint32)[owner]
+            for k in range(2):
+                np.add.at(self.seen, 2 * slots[k] + value, often)
+
+
+def _grouped(texts: list[list[bytes]], most: int) -> Iterator[list[list[bytes]]]:
     """Consecutive texts of about ``most`` tokens together (one at least)."""
     group, n = [], 0
     for t in texts:
@@ -210,21 +208,24 @@ def _unpack(data: bytes) -> np.ndarray:
 class Mixer:
     """Trained tables as log odds and evidence, and how they are mixed."""
 
-    def __init__(self, bits: Bits, seen: np.ndarray, counts: dict[str, int], total: int, distinct: int, single: int) -> None:
-        """``single``: how many tokens were seen once."""
-        self.bits, self.spellings = bits, {}
+    def __init__(self, bits: Bits, seen: np.ndarray, counts: dict[bytes, int], total: int, distinct: int, single: int) -> None:
+        """``counts``: of the head tokens; ``single``: how many tokens were seen once."""
+        self.bits, self.met = bits, {}
         escapes = max(1, total - sum(counts.get(w, 0) for w in bits.symbol))
         unseen = (single + 0.5) / (escapes + 1)
         #: Log10 weights of a word's count and of its spelling.
         self.by_count = math.log10(max(1e-9, 1 - unseen) / escapes)
-        self.by_spelling = math.log10(unseen)
+        self.by_spelling = math.log10(min(1.0, unseen))
         zero, one = seen[0::2].astype(np.float32), seen[1::2].astype(np.float32)
-        n = zero + one
         self.odds = np.clip(np.log((one + 0.4) / (zero + 0.4)), -12, 12).astype(np.float32)
-        self.evidence = np.digitize(n, [2, 30]).astype(np.int8)
+        self.evidence = np.digitize(zero + one, [2, 30]).astype(np.int8)
         scale = total + 0.1 * (distinct + 1)
-        self.counts = counts
-        self.base = {w: math.log10((c + 0.1) / scale) for w, c in counts.items()}
+        #: Base log10 probability of each symbol; escapes are looked up.
+        self.base_of = np.array([*[math.log10((counts[w] + 0.1) / scale) for w in bits.symbol], 0.0])
+        rest = [w for w in counts if w not in bits.symbol]
+        spelled = self.spelled_costs(rest)
+        #: Of the head's other tokens: base, and cost after the escape.
+        self.known = {w: (math.log10((counts[w] + 0.1) / scale), self.escaped(counts[w], x)) for w, x in zip(rest, spelled.tolist(), strict=True)}
 
     def _start(self, lanes: int) -> np.ndarray:
         """First weights by gate (evidence of the second and third context), for each text."""
@@ -244,9 +245,9 @@ class Mixer:
         step, lane = (place // options.block)[owner], doc[owner]
         if step[-1] or lanes > 1:
             order = np.argsort(step.astype(np.int32), kind="stable")
-            slots, value, lane, step = slots[order], value[order], lane[order], step[order]
-        odds = self.odds[slots.T]
-        gate = 3 * self.evidence[slots[:, 1]] + self.evidence[slots[:, 2]]
+            slots, value, lane, step = slots[:, order], value[order], lane[order], step[order]
+        odds = self.odds[slots]
+        gate = 3 * self.evidence[slots[1]] + self.evidence[slots[2]]
         value = value.astype(np.float32)
         cell, bucket0 = lane * 9 + gate, lane * 24 + 12
         ends = np.searchsorted(step, np.arange(step[-1] + 2))
@@ -269,45 +270,72 @@ class Mixer:
             refined += options.refine_rate * np.bincount(bucket, error, lanes * 24) / np.sqrt(np.maximum(1.0, many))
         return cost / math.log(10)
 
-    def spelled_costs(self, words: list[str]) -> np.ndarray:
+    def spelled_costs(self, words: list[bytes]) -> np.ndarray:
         """Log10 probability of the bytes of each word, by evidence-gated mixing."""
         out = np.zeros(len(words))
         for i in range(0, len(words), 5_000):
             owner, slots, value = self.bits.spelled(words[i : i + 5_000])
-            odds = self.odds[slots.T]
-            third = np.array([0.0, 0.4, 0.7], np.float32)[self.evidence[slots[:, 2]]]
-            second = np.array([0.0, 0.5, 0.8], np.float32)[self.evidence[slots[:, 1]]] * (1 - third)
-            mixed = odds[0] * (1 - second - third) + odds[1] * second + odds[2] * third
+            odds = self.odds[slots]
+            second = np.array([0.0, 0.6, 0.85], np.float32)[self.evidence[slots[1]]]
+            mixed = odds[0] + second * (odds[1] - odds[0])
             p = 1 / (1 + np.exp(-mixed))
             out[i : i + 5_000] = np.bincount(owner, np.log10(1 - np.abs(value - p)), len(words[i : i + 5_000]))
         return out
 
-    def spell(self, words: set[str]) -> dict[str, float]:
-        """Spelled costs of words by a table of those met before."""
-        if len(self.spellings) > 300_000:
-            self.spellings = {}
-        if new := sorted(words - self.spellings.keys()):
-            self.spellings.update(zip(new, self.spelled_costs(new).tolist(), strict=True))
-        return self.spellings
-
     def escaped(self, count: int, spelled: float) -> float:
         """Log10 probability of a word after the escape: a mixture of its count's and its spelling's."""
         a, b = (self.by_count + math.log10(count) if count else -math.inf), self.by_spelling + spelled
         high, low = max(a, b), min(a, b)
         return high + math.log10(1 + 10 ** max(low - high, -300))
 
-    def score(self, texts: list[list[str]]) -> np.ndarray:
-        """Log10 probability of each text's codes, and of its escaped words as far as their counts are known here."""
-        symbol, escape = self.bits.symbol, self.bits.escape
-        found: list[np.ndarray] = []
+    def score(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[tuple[bytes, float]]]]:
+        """Of each text: base and model log10 probability, tokens known, and (token, spelled cost) of tokens outside the head.
+
+        The sums leave out those rare tokens: what they add depends on counts that aren't here.
+        """
+        found: list[tuple] = []
         for group in _grouped(texts, self.bits.options.chunk_tokens):
-            symbols = np.array([symbol.get(w, escape) for t in group for w in t], np.int64)
-            doc = np.repeat(np.arange(len(group)), [len(t) for t in group])
-            found.append(self.word_costs(symbols, doc, len(group)))
-        spelled = self.spell({w for t in texts for w in t if w not in symbol})
-        known = {w: self.escaped(self.counts[w], spelled[w]) for t in texts for w in t if w not in symbol and w in self.counts}
-        more = [math.fsum([known[w] for w in t if w in known]) for t in texts]
-        return (np.concatenate(found) if found else np.zeros(0)) + np.array(more)
+            n = len(group)
+            symbols, doc = self.bits.coded(group)
+            cost = self.word_costs(symbols, doc, n)
+            base = np.bincount(doc, self.base_of[symbols], n)
+            flat = [w for t in group for w in t]
+            at = np.flatnonzero(symbols == self.bits.escape)
+            words = [flat[i] for i in at.tolist()]
+            entries = [self.known.get(w) for w in words]
+            told = np.array([e is not None for e in entries], bool)
+            own = doc[at]
+            pairs = np.array([e for e in entries if e is not None]).reshape(-1, 2)
+            base += np.bincount(own[told], pairs[:, 0], n)
+            cost += np.bincount(own[told], pairs[:, 1], n)
+            rare_words = [w for w, e in zip(words, entries, strict=True) if e is None]
+            spelled = self._spell(rare_words)
+            rare: list[list[tuple[bytes, float]]] = [[] for _ in group]
+            for i, w in zip(own[~told].tolist(), rare_words, strict=True):
+                rare[i].append((w, spelled[w]))
+            known = np.array([len(t) for t in group]) - np.array([len(r) for r in rare])
+            found.append((base, cost, known, rare))
+        if not found:
+            return np.zeros(0), np.zeros(0), np.zeros(0, np.int64), []
+        return *[np.concatenate([f[k] for f in found]) for k in range(3)], [r for f in found for r in f[3]]
+
+    def _spell(self, words: list[bytes]) -> dict[bytes, float]:
+        """Spelled costs by a table of words met before."""
+        if len(self.met) > 100_000:
+            self.met = {}
+        if new := sorted(set(words) - self.met.keys()):
+            self.met.update(zip(new, self.spelled_costs(new).tolist(), strict=True))
+        return self.met
+
+
+#: Rows of a batch handled at once.
+ROWS = 500
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
 
 
 def token_counts(train: DataFrame) -> DataFrame:
@@ -317,41 +345,67 @@ def token_counts(train: DataFrame) -> DataFrame:
         counts: Counter = Counter()
 
         def out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_pydict({"token": pa.array(list(counts), pa.string()), "c": pa.array(list(counts.values()), pa.int64())})
+            made = pa.RecordBatch.from_pydict({"token": pa.array(list(counts), pa.binary()).cast(pa.string()), "c": pa.array(list(counts.values()), pa.int64())})
             counts.clear()
             return made
 
-        for batch in batches:
+        for batch in _slices(batches):
             for text in batch.column(0).to_pylist():
                 counts.update(tokens_of(text))
-            if len(counts) > 300_000:
+            if len(counts) > 200_000:
                 yield out()
         yield out()
 
     return train.select("text").mapInArrow(run, "token string, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
-def train_tables(train: DataFrame, bits: Bits) -> np.ndarray:
-    """Tables over all of ``train(text)``: each task sums its own, pieces of tables are summed in groups of bounded size."""
-    spark = train.sparkSession
-    shared = spark.sparkContext.broadcast(bits)
+def count_bin() -> Column:
+    """Counts told apart when the head is cut off: exact where small, within a hundredth beyond."""
+    return F.floor(F.log2("c") * BINS).cast("int")
+
+
+def head_bin(counts: DataFrame, most: int) -> int:
+    """The least bin so that at most ``most`` tokens are in it or above."""
+    bins = counts.groupBy(count_bin().alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 64 * BINS rows
+    left, least = most, 64 * BINS
+    for b, n in sorted(((r["bin"], r["n"]) for r in bins), reverse=True):
+        left -= n
+        if left < 0:
+            break
+        least = b
+    return least
+
+
+def train_tables(train: DataFrame, counts: DataFrame, bits: Bits) -> np.ndarray:
+    """Tables over all of ``train(text)`` and the spellings of all of ``counts(token, c)`` that have no code.
+
+    Each task sums its own; pieces of tables are then summed in groups of bounded size.
+    """
+    shared = train.sparkSession.sparkContext.broadcast(bits)
     n_pieces = -(-2 * bits.slots // PIECE)
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(tables: Tables, kind: int) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tables = Tables(shared.value)
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for i in range(0, len(texts), 500):
-                tables.learn([tokens_of(t) for t in texts[i : i + 500]])
-        tables.flush()
-        task = TaskContext.get().partitionId()
+        task = 2 * TaskContext.get().partitionId() + kind
         for k in range(n_pieces):
             part = tables.seen[k * PIECE : (k + 1) * PIECE]
             if part.any():
                 yield pa.RecordBatch.from_pydict({"piece": pa.array([k], pa.int32()), "task": pa.array([task], pa.int32()), "data": pa.array([_pack(part)], pa.binary())})
 
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = Tables(shared.value)
+        for batch in _slices(batches):
+            tables.learn([tokens_of(t) for t in batch.column(0).to_pylist()])
+        yield from pieces(tables, 0)
+
+    def learn_spelling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = Tables(shared.value)
+        for batch in batches:
+            rows = [(w, c) for w, c in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True) if w not in shared.value.symbol]
+            tables.learn_spelling([w for w, _ in rows], np.array([c for _, c in rows], np.uint64))
+        yield from pieces(tables, 1)
+
     def add(key: tuple, rows: pa.Table) -> pa.Table:
         total = None
         for data in rows.column("data").to_pylist():
@@ -360,9 +414,9 @@ def train_tables(train: DataFrame, bits: Bits) -> np.ndarray:
         return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "task": pa.array([key[1].as_py()], pa.int32()), "data": pa.array([_pack(np.minimum(total, 2**32 - 1))], pa.binary())})
 
     schema = "piece int, task int, data binary"
-    made = train.select("text")
-    tasks = made.rdd.getNumPartitions()
-    made = materialise(made.mapInArrow(learn, schema), "tables")
+    spelled = counts.select("token", "c")
+    tasks = 2 * max(train.rdd.getNumPartitions(), spelled.rdd.getNumPartitions())
+    made = materialise(train.select("text").mapInArrow(learn, schema).unionByName(spelled.mapInArrow(learn_spelling, schema)), "tables")
     while tasks > 1:
         made = materialise(made.withColumn("task", F.floor(F.col("task") / bits.options.fan_in).cast("int")).groupBy("piece", "task").applyInArrow(add, schema), "summed")
         tasks = -(-tasks // bits.options.fan_in)
@@ -389,41 +443,32 @@ def lm_scores(docs: DataFrame, options: Options = Options()) -> DataFrame:
     train = rows.where("not held_out").select("text")
     counts = materialise(token_counts(train), "counts")
     total, distinct, single = (x or 0 for x in counts.agg(F.sum("c"), F.count(F.lit(1)), F.count_if(F.col("c") == 1)).first())
-    head = [(r["token"], r["c"]) for r in counts.orderBy(F.desc("c"), "token").limit(options.head).collect()]
-    least = head[-1] if head else ("", 0)
+    least = head_bin(counts, options.head)
+    top = counts.where(count_bin() >= least).toArrow()
+    head = sorted(zip(top.column("token").cast(pa.binary()).to_pylist(), top.column("c").to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
     bits = Bits(head, total, options)
-    model = Mixer(bits, train_tables(train, bits), dict(head), total, distinct, single)
+    model = Mixer(bits, train_tables(train, counts, bits), dict(head), total, distinct, single)
     mixer = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = mixer.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                texts = batch.column(1).to_pylist()
-                tokens = [tokens_of(t) for t in texts]
-                base, known, rare = [], [], []
-                for t in tokens:
-                    logs = [model.base.get(w) for w in t]
-                    seen = [x for x in logs if x is not None]
-                    base.append(math.fsum(seen))
-                    known.append(len(seen))
-                    rare.append([w for w, x in zip(t, logs, strict=True) if x is None])
-                scores = model.score(tokens)
-                spelled = model.spellings
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": batch.column(0).cast(pa.int64()), "held_out": batch.column(2), "text_hash": batch.column(3),
-                    "n_bytes": pa.array([len(t.encode()) if t else 0 for t in texts], pa.int64()),
-                    "n_tokens": pa.array([len(t) for t in tokens], pa.int64()), "known": pa.array(known, pa.int64()),
-                    "base": pa.array(base, pa.float64()), "score": pa.array(scores, pa.float64()), "rare": pa.array([[{"token": w, "spelled": spelled[w]} for w in r] for r in rare], pa.list_(pa.struct([("token", pa.string()), ("spelled", pa.float64())]))),
-                })
+        for batch in _slices(batches):
+            texts = batch.column(1).to_pylist()
+            tokens = [tokens_of(t) for t in texts]
+            base, cost, known, rare = mixer.value.score(tokens)
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch.column(0).cast(pa.int64()), "held_out": batch.column(2), "text_hash": batch.column(3),
+                "n_bytes": pa.array([len(t.encode()) if t else 0 for t in texts], pa.int64()),
+                "n_tokens": pa.array([len(t) for t in tokens], pa.int64()), "known": pa.array(known, pa.int64()),
+                "base": pa.array(base, pa.float64()), "score": pa.array(cost, pa.float64()),
+                "rare": pa.array([[{"token": w.decode(), "spelled": x} for w, x in r] for r in rare], pa.list_(pa.struct([("token", pa.string()), ("spelled", pa.float64())]))),
+            })
 
     keyed = rows.withColumn("text_hash", F.xxhash64("text"))
     schema = "doc_id long, held_out boolean, text_hash long, n_bytes long, n_tokens long, known long, base double, score double, rare array<struct<token: string, spelled: double>>"
     scored = materialise(keyed.mapInArrow(score, schema), "scored")
     key = ["doc_id", "text_hash"]
-    # tokens outside the head: none is as common as the head's last, so no key is hot
-    tail = counts.where((F.col("c") < least[1]) | ((F.col("c") == least[1]) & (F.col("token") > least[0])))
+    # tokens outside the head: none is as common as the head's rarest, so no key is hot
+    tail = counts.where(count_bin() < least)
     met = scored.select(*key, F.explode("rare").alias("one")).select(*key, "one.*").join(tail, "token", "left")
     scale = total + 0.1 * (distinct + 1)
     log = F.log10((F.coalesce(F.col("c"), F.lit(0)) + 0.1) / scale)
