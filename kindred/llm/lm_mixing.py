@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.common import held_out, materialise
+from kindred.llm.common import held_out, materialise, slices
 
 FOLDS = 10
 #: The token after the last word; no word has this character. Tokens are UTF-8 bytes.
@@ -46,8 +46,8 @@ class Options:
     word_bits: int = 20
     byte_bits: int = 18
     block: int = 64
-    rate: float = 0.05
-    refine_rate: float = 0.02
+    rate: float = 0.01
+    refine_rate: float = 0.01
     chunk_tokens: int = 150_000
     fan_in: int = 48
 
@@ -114,17 +114,19 @@ class Bits:
         symbols = np.array([get(w, escape) for t in texts for w in t], np.int64)
         return symbols, np.repeat(np.arange(len(texts)), [len(t) for t in texts])
 
-    def words(self, symbols: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of tokens in order, with their texts' numbers: owning token, three slots and value of each bit."""
+    def words(self, symbols: np.ndarray, doc: np.ndarray, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of tokens with their texts' numbers: owning token, three slots and value of each bit, token by token as ``order`` says."""
         one = np.concatenate([[self.escape], symbols[:-1]]).astype(np.uint64) + np.uint64(1)
         fresh = np.concatenate([[True], doc[1:] != doc[:-1]])
         one[fresh] = 0
         two = np.concatenate([[0], one[:-1]]).astype(np.uint64)
         two[fresh] = 0
-        owner, at = _expand(self.code.start[symbols], self.code.size[symbols])
-        node = self.code.nodes[at]
         h1 = _mix(one, 1)
         h2 = _mix(_mix(two, 2), h1)
+        if order is not None:
+            symbols, h1, h2 = symbols[order], h1[order], h2[order]
+        owner, at = _expand(self.code.start[symbols], self.code.size[symbols])
+        node = self.code.nodes[at]
         shift = np.uint64(64 - self.options.word_bits)
         n64 = node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         slots = np.stack([node, (_mix(h1[owner], n64) >> shift).astype(np.int64) + self.offsets[1], (_mix(h2[owner], n64) >> shift).astype(np.int64) + self.offsets[2]])
@@ -217,15 +219,16 @@ class Mixer:
         self.by_count = math.log10(max(1e-9, 1 - unseen) / escapes)
         self.by_spelling = math.log10(min(1.0, unseen))
         zero, one = seen[0::2].astype(np.float32), seen[1::2].astype(np.float32)
-        self.odds = np.clip(np.log((one + 0.4) / (zero + 0.4)), -12, 12).astype(np.float32)
-        self.evidence = np.digitize(zero + one, [2, 30]).astype(np.int8)
+        odds = np.clip(np.log((one + 0.4) / (zero + 0.4)), -12, 12).astype(np.float32)
+        self.odds = ((odds.view(np.int32) & ~3) | np.digitize(zero + one, [2, 30]).astype(np.int32)).view(np.float32)
         scale = total + 0.1 * (distinct + 1)
         #: Base log10 probability of each symbol; escapes are looked up.
         self.base_of = np.array([*[math.log10((counts[w] + 0.1) / scale) for w in bits.symbol], 0.0])
         rest = [w for w in counts if w not in bits.symbol]
-        spelled = self.spelled_costs(rest)
-        #: Of the head's other tokens: base, and cost after the escape.
-        self.known = {w: (math.log10((counts[w] + 0.1) / scale), self.escaped(counts[w], x)) for w, x in zip(rest, spelled.tolist(), strict=True)}
+        #: Numbers of all head tokens: symbols, then (after the escape's) the others, with their base and cost after the escape.
+        self.number = dict(bits.symbol) | {w: bits.escape + 1 + i for i, w in enumerate(rest)}
+        self.rest_base = np.array([math.log10((counts[w] + 0.1) / scale) for w in rest])
+        self.rest_cost = np.array([self.escaped(counts[w], x) for w, x in zip(rest, self.spelled_costs(rest).tolist(), strict=True)])
 
     def _start(self, lanes: int) -> np.ndarray:
         """First weights by gate (evidence of the second and third context), for each text."""
@@ -240,17 +243,18 @@ class Mixer:
     def word_costs(self, symbols: np.ndarray, doc: np.ndarray, lanes: int) -> np.ndarray:
         """Log10 probability of the coded words of each text, by online mixing."""
         options = self.bits.options
-        owner, slots, value = self.bits.words(symbols, doc)
         place = np.arange(len(symbols)) - np.searchsorted(doc, np.arange(lanes))[doc]
-        step, lane = (place // options.block)[owner], doc[owner]
-        if step[-1] or lanes > 1:
-            order = np.argsort(step.astype(np.int32), kind="stable")
-            slots, value, lane, step = slots[:, order], value[order], lane[order], step[order]
+        block = place // options.block
+        order = np.argsort(block.astype(np.int32), kind="stable")
+        owner, slots, value = self.bits.words(symbols, doc, order)
+        lane = doc[order][owner]
         odds = self.odds[slots]
-        gate = 3 * self.evidence[slots[1]] + self.evidence[slots[2]]
         value = value.astype(np.float32)
-        cell, bucket0 = lane * 9 + gate, lane * 24 + 12
-        ends = np.searchsorted(step, np.arange(step[-1] + 2))
+        # the two lowest bits of the odds tell the evidence
+        evidence = odds.view(np.int32)[1:] & 3
+        cell, bucket0 = lane * 9 + (3 * evidence[0] + evidence[1]), lane * 24 + 12
+        size = np.concatenate([[0], np.cumsum(self.bits.code.size[symbols[order]])])
+        ends = size[np.searchsorted(block[order], np.arange(block[order[-1]] + 2))]
         weights, refined = self._start(lanes).reshape(-1, 3).T.astype(np.float32).copy(), np.zeros(lanes * 24, np.float32)
         cost = np.zeros(lanes)
         for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
@@ -263,11 +267,9 @@ class Mixer:
             p = 1 / (1 + np.exp(-mixed))
             error = y - p
             cost += np.bincount(lane[i:j], np.log(1 - np.abs(error)), lanes)
-            step_size = options.rate / np.sqrt(np.maximum(1.0, np.bincount(at, minlength=lanes * 9)))
             for k in range(3):
-                weights[k] += step_size * np.bincount(at, error * x[k], lanes * 9)
-            many = np.bincount(bucket, minlength=lanes * 24)
-            refined += options.refine_rate * np.bincount(bucket, error, lanes * 24) / np.sqrt(np.maximum(1.0, many))
+                weights[k] += options.rate * np.bincount(at, error * x[k], lanes * 9)
+            refined += options.refine_rate * np.bincount(bucket, error, lanes * 24)
         return cost / math.log(10)
 
     def spelled_costs(self, words: list[bytes]) -> np.ndarray:
@@ -276,7 +278,7 @@ class Mixer:
         for i in range(0, len(words), 5_000):
             owner, slots, value = self.bits.spelled(words[i : i + 5_000])
             odds = self.odds[slots]
-            second = np.array([0.0, 0.6, 0.85], np.float32)[self.evidence[slots[1]]]
+            second = np.array([0.0, 0.6, 0.85], np.float32)[odds[1].view(np.int32) & 3]
             mixed = odds[0] + second * (odds[1] - odds[0])
             p = 1 / (1 + np.exp(-mixed))
             out[i : i + 5_000] = np.bincount(owner, np.log10(1 - np.abs(value - p)), len(words[i : i + 5_000]))
@@ -294,27 +296,26 @@ class Mixer:
         The sums leave out those rare tokens: what they add depends on counts that aren't here.
         """
         found: list[tuple] = []
+        get, escape = self.number.get, self.bits.escape
         for group in _grouped(texts, self.bits.options.chunk_tokens):
-            n = len(group)
-            symbols, doc = self.bits.coded(group)
+            n, sizes = len(group), np.array([len(t) for t in group])
+            numbers = np.array([get(w, -1) for t in group for w in t], np.int64)
+            doc = np.repeat(np.arange(n), sizes)
+            symbols = np.where((numbers < 0) | (numbers > escape), escape, numbers)
             cost = self.word_costs(symbols, doc, n)
             base = np.bincount(doc, self.base_of[symbols], n)
+            told = np.flatnonzero(numbers > escape)
+            which = numbers[told] - escape - 1
+            base += np.bincount(doc[told], self.rest_base[which], n)
+            cost += np.bincount(doc[told], self.rest_cost[which], n)
+            at = np.flatnonzero(numbers < 0)
             flat = [w for t in group for w in t]
-            at = np.flatnonzero(symbols == self.bits.escape)
             words = [flat[i] for i in at.tolist()]
-            entries = [self.known.get(w) for w in words]
-            told = np.array([e is not None for e in entries], bool)
-            own = doc[at]
-            pairs = np.array([e for e in entries if e is not None]).reshape(-1, 2)
-            base += np.bincount(own[told], pairs[:, 0], n)
-            cost += np.bincount(own[told], pairs[:, 1], n)
-            rare_words = [w for w, e in zip(words, entries, strict=True) if e is None]
-            spelled = self._spell(rare_words)
+            spelled = self._spell(words)
             rare: list[list[tuple[bytes, float]]] = [[] for _ in group]
-            for i, w in zip(own[~told].tolist(), rare_words, strict=True):
+            for i, w in zip(doc[at].tolist(), words, strict=True):
                 rare[i].append((w, spelled[w]))
-            known = np.array([len(t) for t in group]) - np.array([len(r) for r in rare])
-            found.append((base, cost, known, rare))
+            found.append((base, cost, sizes - np.bincount(doc[at], minlength=n), rare))
         if not found:
             return np.zeros(0), np.zeros(0), np.zeros(0, np.int64), []
         return *[np.concatenate([f[k] for f in found]) for k in range(3)], [r for f in found for r in f[3]]
@@ -328,16 +329,6 @@ class Mixer:
         return self.met
 
 
-#: Rows of a batch handled at once.
-ROWS = 500
-
-
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, ROWS):
-            yield batch.slice(at, ROWS)
-
-
 def token_counts(train: DataFrame) -> DataFrame:
     """Return ``token, c``: occurrences in all texts of ``train(text)``, summed in each task first."""
 
@@ -349,7 +340,7 @@ def token_counts(train: DataFrame) -> DataFrame:
             counts.clear()
             return made
 
-        for batch in _slices(batches):
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 counts.update(tokens_of(text))
             if len(counts) > 200_000:
@@ -395,7 +386,7 @@ def train_tables(train: DataFrame, counts: DataFrame, bits: Bits) -> np.ndarray:
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = Tables(shared.value)
-        for batch in _slices(batches):
+        for batch in slices(batches):
             tables.learn([tokens_of(t) for t in batch.column(0).to_pylist()])
         yield from pieces(tables, 0)
 
@@ -451,7 +442,7 @@ def lm_scores(docs: DataFrame, options: Options = Options()) -> DataFrame:
     mixer = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             tokens = [tokens_of(t) for t in texts]
             base, cost, known, rare = mixer.value.score(tokens)
