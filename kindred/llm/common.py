@@ -34,13 +34,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch that are Python objects at once.
+ROWS = 500
+
+
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of at most ``ROWS`` rows, without copies."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
-    """Apply ``fn`` to batches of columns (as Python lists), Arrow in and out, with no shuffle."""
+    """Apply ``fn`` to columns of a few hundred rows (as Python lists), Arrow in and out, with no shuffle."""
     out = T._parse_datatype_string(schema)
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             got = fn({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
             yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in arrow], schema=arrow)
 
@@ -83,7 +94,7 @@ def keep_rows(df: DataFrame, keep: Callable[[list], list[bool]], column: str = "
     """Rows of ``df``, all columns, for which ``keep`` of the column's values is true; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array(keep(batch.column(column).to_pylist()), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

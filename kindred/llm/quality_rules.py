@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.llm.common import map_rows, materialise, words_of
+from kindred.llm.common import map_rows, materialise, slices, words_of
 
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -110,7 +110,7 @@ def language_references(docs: DataFrame, options: Options = Options()) -> DataFr
             counts.clear()
             return out
 
-        for batch in batches:
+        for batch in slices(batches):
             by_lang: dict[str, Counter] = {}
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text:
