@@ -1,0 +1,329 @@
+"""Operators against libraries, brute force, exact round trips and held-out labels."""
+
+from __future__ import annotations
+
+import hashlib
+import itertools
+import math
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import sentencepiece
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from kindred.llm import chat_format, components, decontaminate, lm_mixing, quality_rules, secret_scan, sentencepiece_codec, simhash_dedup, token_counts, toxicity
+from kindred.llm.common import words_of
+from kindred.llm.queries import QUERIES, model_path
+
+SF = "/root/testdata/sf0.001"
+TEXTS = st.text(alphabet=st.sampled_from(list("aeinrst  ▁thou\n.,0169é😀汉́ßXT\t-_#<>/\\:")), max_size=60)
+
+
+@pytest.fixture(scope="module")
+def library():
+    return sentencepiece.SentencePieceProcessor(model_file=model_path())
+
+
+@pytest.fixture(scope="module")
+def counter():
+    return token_counts.Counter(model_path())
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+
+
+@settings(max_examples=300, deadline=None)
+@given(TEXTS, st.integers(1, 12))
+def test_transducer_counts_as_the_library(text, chunk):
+    counter, library = _shared()
+    assert counter.count(text) == counter.count(text, chunk) == len(library.encode(text))
+
+
+def _shared(cache={}):  # noqa: B006
+    if not cache:
+        cache[0] = (token_counts.Counter(model_path()), sentencepiece.SentencePieceProcessor(model_file=model_path()), sentencepiece_codec.ChunkTable(model_path()))
+    return cache[0][:2]
+
+
+def test_state_maps_compose_associatively(counter):
+    text = "▁the▁quick▁brown▁fox▁▁jumps▁over"
+    maps = [counter.summarise(text[i : i + 4]) for i in range(0, len(text), 4)]
+    left = maps[0]
+    for m in maps[1:]:
+        left = counter.compose(left, m)
+    right = maps[-1]
+    for m in maps[-2::-1]:
+        right = counter.compose(m, right)
+    assert left == right == counter.prefix_scan(maps)[-1]
+
+
+@settings(max_examples=300, deadline=None)
+@given(TEXTS)
+def test_codec_is_the_library(text):
+    library = _shared()[1]
+    table = _table()
+    found = table.entries(text)
+    ids = library.encode(text)
+    assert ",".join(map(str, ids)) == ",".join(e[0] for e in found)
+    assert library.decode(ids) == "".join(e[2] for e in found)[1:]
+
+
+def _table(cache=[]):  # noqa: B006
+    if not cache:
+        cache.append(sentencepiece_codec.ChunkTable(model_path()))
+    return cache[0]
+
+
+def test_token_queries(spark, documents, library):
+    for r in QUERIES["op1_token_counts"](spark, SF).collect():
+        assert r["n_tokens"] == len(library.encode(documents[r["doc_id"]])) and r["n_bytes"] == len(documents[r["doc_id"]].encode())
+    for r in QUERIES["op2_sentencepiece"](spark, SF).collect():
+        ids = library.encode(documents[r["doc_id"]])
+        assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+
+
+def test_encode_and_decode_tables(spark, documents):
+    docs = spark.createDataFrame([(i, t) for i, t in list(documents.items())[:20]], "doc_id long, text string")
+    back = sentencepiece_codec.decode_ids(sentencepiece_codec.encode_ids(docs, model_path()), model_path())
+    assert {r["doc_id"]: r["text"] for r in back.collect()} == dict(list(documents.items())[:20])
+
+
+def test_quality_counts(spark, documents):
+    for r in QUERIES["op3_quality_rules"](spark, SF).collect():
+        text = documents[r["doc_id"]]
+        words = words_of(text)
+        windows = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+        repeat = {k for i in range(len(words) - 4) if windows[tuple(words[i : i + 5])] > 1 for k in range(i, i + 5)}
+        lines = [x for x in text.split("\n") if words_of(x)]
+        assert (r["n_words"], r["word_chars"], r["n_repeat_words"]) == (len(words), sum(map(len, words)), len(repeat))
+        assert r["n_dup_lines"] == len(lines) - len(set(lines)) and r["n_symbols"] == sum(c in "#*$%&|<>" for c in text)
+        assert r["base_failed"] == (len(words) < 10 or 100 * len(repeat) > 20 * len(words)) and not (r["kept"] and r["base_failed"])
+
+
+def test_divergence():
+    p, q = np.array([1.0, 1.0, 0]), np.array([0, 0, 2.0])
+    assert quality_rules.js_distance(p, q) == 1 and quality_rules.js_distance(p, 3 * p) == 0
+
+
+def test_fingerprints_match_the_rule(documents):
+    for text in list(documents.values())[:20]:
+        words = words_of(text.translate({c: c + 32 for c in range(65, 91)}))
+        h = [xxhash.xxh64_intdigest(" ".join(words[i : i + 4]).encode(), 42) for i in range(max(1, len(words) - 3))] if words else []
+        want = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+        assert simhash_dedup.fingerprint(simhash_dedup.shingles(text, 4)) == want
+
+
+def _components(n, pairs):
+    at = list(range(n))
+
+    def find(i):
+        while at[i] != i:
+            i = at[i]
+        return i
+
+    for a, b in pairs:
+        at[max(find(a), find(b))] = min(find(a), find(b))
+    return [find(i) for i in range(n)]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_trie_join_is_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 2**64, 20, dtype=np.uint64)
+    x = base[rng.integers(0, 20, 200)]
+    for _ in range(3):
+        x = x ^ (np.uint64(1) << rng.integers(0, 64, 200, dtype=np.uint64)) * (rng.random(200) < 0.7).astype(np.uint64)
+    x, k = np.unique(x), int(rng.integers(1, 8))
+    turned = np.sort((x << np.uint64(32)) | (x >> np.uint64(32)))
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(x)), 2) if int(x[i] ^ x[j]).bit_count() <= k]
+    at = {int(v): i for i, v in enumerate(x)}
+    found = []
+    for leaves, back in ((x, lambda v: v), (turned, lambda v: (v << 32 | v >> 32) & (2**64 - 1))):
+        for a, b in simhash_dedup.trie_join(leaves, len(leaves), k).edges:
+            found += [(at[back(int(leaves[i]))], at[back(int(leaves[j]))]) for i, j in zip(a, b, strict=True)]
+    assert set(map(tuple, map(sorted, found))) <= set(pairs)
+    assert _components(len(x), found) == _components(len(x), pairs)
+
+
+def test_near_duplicate_query(spark, documents):
+    got = {r["doc_id"]: (int(r["fingerprint"], 16), r["component_id"]) for r in QUERIES["op5_simhash_dedup"](spark, SF).collect()}
+    ids = sorted(got)
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(ids)), 2) if (got[ids[i]][0] ^ got[ids[j]][0]).bit_count() <= 4]
+    assert [got[i][1] for i in ids] == [ids[c] for c in _components(len(ids), pairs)]
+
+
+def test_long_chain_is_one_component(spark):
+    edges = spark.range(300).selectExpr("id as a", "id + 1 as b")
+    roots = components.connected_components(edges)
+    assert roots.select("root").distinct().count() == 1 and roots.count() == 301
+
+
+def test_near_copies_by_shingles(spark):
+    rng = random.Random(3)
+    words = [rng.choice("abcdefgh") + str(rng.randrange(500)) for _ in range(300)]
+    near = [*words[:100], "changed", *words[101:]]
+    far = [w if i % 9 else "other" for i, w in enumerate(words)]
+    texts = [" ".join(words), " ".join(words).upper(), " ".join(near), " ".join(far), " ".join(words[::-1])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in simhash_dedup.near_copies(docs).collect()} == {(1, 0), (2, 0)}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(TEXTS, TEXTS), max_size=5))
+def test_chat_template_is_reversible(turns):
+    text, spans = chat_format.format_turns(turns, trained=turns[0][0] if turns else "x")
+    assert chat_format.read_turns(text) == turns
+    assert [chat_format.unescape(text[a:b]) for a, b in spans] == [t for r, t in turns if r == turns[0][0]]
+
+
+def test_best_branch_of_a_tree(spark):
+    rows = [("t", "r", None, 1.0), ("t", "a", "r", 5.0), ("t", "b", "r", 2.0), ("t", "c", "b", 9.0), ("t", "d", "c", 9.0), ("t", "x", "y", 50.0), ("t", "y", "x", 50.0), ("u", "s", "gone", None)]
+    df = spark.createDataFrame(rows, "tree string, node string, parent string, score double")
+    got = sorted((r["path"], r["rank"], r["back"], r["node"]) for r in chat_format.best_paths(df, 2).collect())
+    assert got == [("a", 2, 0, "a"), ("a", 2, 1, "r"), ("d", 1, 0, "d"), ("d", 1, 1, "c"), ("d", 1, 2, "b"), ("d", 1, 3, "r"), ("s", 1, 0, "s")]
+
+
+def test_chat_query(spark):
+    said = spark.read.parquet(f"{SF}/conversations.parquet").orderBy("conv_id", "turn").collect()
+    awkward = r"\### Assistant: </turn> ok"
+    by = {k: [(r["role"], r["text"]) for r in g] for k, g in itertools.groupby(said, lambda r: r["conv_id"])} | {-7: [("user", awkward), ("assistant", awkward)]}
+    got = {r["conv_id"]: r for r in QUERIES["op6_chat_format"](spark, SF).collect()}
+    assert got.keys() == by.keys()
+    for k, turns in by.items():
+        loss = "".join(t for r, t in turns if r == "assistant")
+        assert got[k]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+        assert (got[k]["n_turns"], got[k]["loss_chars"], got[k]["loss_sha256"]) == (len(turns), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
+def test_base_secrets():
+    text = 'é PassWord = "abc12345" token:short api_key=\'x.y/z+w=-_9\' AKIAABCDEFGHIJKL AKIASHORT ' + "0a" * 16 + " " + "0a" * 15
+    assert [(k, text[a:b]) for k, a, b in secret_scan.base_spans(text)] == [("assign", 'PassWord = "abc12345'), ("assign", "api_key='x.y/z+w=-_9"), ("access", "AKIAABCDEFGHIJKL"), ("hex", "0a" * 16)]
+    assert secret_scan.base_spans("paſſword=abc123456789") == []
+
+
+def test_grammar_inference_tells_formats_apart():
+    rng = random.Random(1)
+    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(200)]
+    words = ["".join(rng.choice("aeiounrstl") for _ in range(20)) for _ in range(200)] + ["".join(rng.choice("0123456789") for _ in range(16)) for _ in range(200)]
+    scanner = secret_scan.Scanner({"hex": hexes[:150], "ordinary": words[::2]})
+    assert min(map(scanner.score, hexes[150:])) > 0.3 > max(map(scanner.score, words[1::2]))
+    text = f"see {hexes[-1].upper()[:0]}{hexes[-1][:30]} and {words[1]}"
+    assert [k for k, _, _ in scanner.spans(text)[1]] == ["format"]
+
+
+def test_merged_automaton_keeps_counts():
+    runs = ["ab" * k for k in range(1, 6)] * 20
+    a = secret_scan.Automaton(runs, 0.05)
+    reach, todo = {0}, [0]
+    while todo:
+        for t, _ in a.arcs[todo.pop()].values():
+            if t not in reach:
+                reach.add(t)
+                todo.append(t)
+    assert sum(a.ends[s] for s in reach) == len(runs) and len(reach) < 11
+    assert a.log2_likelihood("abab") > a.log2_likelihood("aabb")
+
+
+def test_secret_query_keeps_base(spark, documents):
+    for r in QUERIES["op7_secret_scan"](spark, SF).collect():
+        base = secret_scan.base_spans(documents[r["doc_id"]])
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
+        assert set(filter(None, joined.split(","))) <= set(r["spans"].split(",")) and r["n_hex"] == sum(k == "hex" for k, _, _ in base)
+
+
+def _shingle_bag(words):
+    return Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else Counter()
+
+
+def test_contamination_is_brute_force(spark):
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(300)]
+    items = [[rng.choice(vocabulary) for _ in range(rng.randint(5, 60))] for _ in range(15)] + [["w1"] * 12]
+    docs = []
+    for i in range(60):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(0, 150))]
+        if i % 2:
+            passage = list(rng.choice(items))
+            if i % 3 == 0:
+                passage[rng.randrange(len(passage))] = "edited"
+            words[len(words) // 2 : len(words) // 2] = passage
+        docs.append(words)
+    want = set()
+    for d, words in enumerate(docs):
+        for k, item in enumerate(items):
+            bag = _shingle_bag(item)
+            n = bag.total()
+            grams = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+            for s in range(max(1, len(grams) - n + 1)):
+                window = Counter(grams[s : s + n])
+                shared = (window & bag).total()
+                if grams and shared / (window.total() + n - shared) >= 0.8:
+                    want.add((d, k))
+    df = spark.createDataFrame([(i, " ".join(w).upper() + ("!" if w else "")) for i, w in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(df, bench).collect()} == want
+
+
+def test_block_max_index_is_exact():
+    rng = random.Random(2)
+    vectors = []
+    for _ in range(300):
+        v = {t: rng.random() for t in rng.sample(range(20), 3)}
+        size = math.sqrt(sum(w * w for w in v.values()))
+        vectors.append({t: w / size for t, w in v.items()})
+    index = toxicity.BlockMaxIndex(vectors, 20, 16)
+    for q in vectors[:40]:
+        want = sorted((-sum(q.get(t, 0) * w for t, w in v.items()), i) for i, v in enumerate(vectors))
+        got = index.nearest(q, 7)
+        assert [round(s, 9) for _, s in got] == [round(-s, 9) for s, _ in want if s < 0][: len(got)] and len(got) == 7
+
+
+def test_toxicity_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = QUERIES["op9_toxicity"](spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("toxic", "predicted", "score").collect()
+    caught = sum(r["predicted"] for r in rows if r["toxic"])
+    wrong = sum(r["predicted"] for r in rows if not r["toxic"])
+    assert caught >= 0.85 * sum(r["toxic"] for r in rows) and wrong <= 0.02 * len(rows) and all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_huffman_code_is_a_prefix_code():
+    code = lm_mixing.Code([5, 9, 12, 13, 16, 45])
+    assert abs(sum(2.0 ** -int(n) for n in code.size) - 1) < 1e-12 and code.size[5] == 1
+
+
+def test_lm_query(spark, documents):
+    counts = Counter(w for i, t in documents.items() if zlib.crc32(str(i).encode()) % 10 for w in lm_mixing.tokens_of(t))
+    total, distinct = counts.total(), len(counts)
+    rows = QUERIES["op10_lm_mixing"](spark, SF).collect()
+    assert len(rows) == len(documents)
+    for r in rows:
+        tokens = lm_mixing.tokens_of(documents[r["doc_id"]])
+        base = sum(math.log10((counts[w] + 0.1) / (total + 0.1 * (distinct + 1))) for w in tokens)
+        assert math.isclose(r["base_score"], base, rel_tol=1e-9) and r["n_known"] == sum(counts[w] > 0 for w in tokens)
+        assert r["n_tokens"] == len(tokens) and r["train_tokens"] == total and r["score"] < 0 and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0)
+
+
+def test_lm_beats_the_base_on_held_out_texts(spark):
+    held = QUERIES["op10_lm_mixing"](spark, "/root/testdata/sf0.01").where("held_out").collect()
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+def test_lm_probabilities_of_next_words_sum_to_one():
+    words = [b"a", b"b", b"c"]
+    bits = lm_mixing.Bits([(w, 3) for w in words], 12, lm_mixing.Options(vocabulary=3, word_bits=8, byte_bits=8))
+    tables = lm_mixing.Tables(bits)
+    tables.learn([[b"a", b"b", b"a"], [b"c"]])
+    mixer = lm_mixing.Mixer(bits, tables.seen, dict.fromkeys(words, 3), 12, 3, 0)
+    symbols = range(len(words) + 1)
+    after = [mixer.word_costs(np.array([0, s]), np.array([0, 0]), 1)[0] for s in symbols]
+    first = mixer.word_costs(np.array([0]), np.array([0]), 1)[0]
+    assert abs(sum(10 ** (x - first) for x in after) - 1) < 1e-5
