@@ -34,8 +34,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of an Arrow batch that are Python objects at once.
-ROWS = 500
+#: Rows of an Arrow batch, and those of them that are Python objects at once. Texts can be long: both bound memory.
+BATCH, ROWS = 1000, 200
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on sends Arrow batches of at most ``BATCH`` rows."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH:
+        conf.set(name, BATCH)
+    return df
 
 
 def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,7 +63,7 @@ def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], sc
             got = fn({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
             yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, out)
+    return bounded(df).mapInArrow(run, out)
 
 
 def held_out(doc_id: Column, folds: int) -> Column:
@@ -97,7 +105,7 @@ def keep_rows(df: DataFrame, keep: Callable[[list], list[bool]], column: str = "
         for batch in slices(batches):
             yield batch.filter(pa.array(keep(batch.column(column).to_pylist()), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return bounded(df).mapInArrow(run, df.schema)
 
 
 #: Most ids that are broadcast to be dropped (8 bytes each, some 20 in a hash table).

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.llm.common import map_rows, materialise, slices, words_of
+from kindred.llm.common import bounded, map_rows, materialise, slices, words_of
 
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -125,7 +125,7 @@ def language_references(docs: DataFrame, options: Options = Options()) -> DataFr
                 yield rows()
         yield rows()
 
-    total = docs.select("text", "lang").mapInArrow(count, "lang string, kind string, key string, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
+    total = bounded(docs.select("text", "lang")).mapInArrow(count, "lang string, kind string, key string, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
     order = [F.desc("n"), "key"]
     first = Window.partitionBy("lang", "kind", F.pmod(F.xxhash64("key"), F.lit(64))).orderBy(*order)
     last = Window.partitionBy("lang", "kind").orderBy(*order)

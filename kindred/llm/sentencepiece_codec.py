@@ -19,7 +19,7 @@ from kindred.llm.common import map_rows
 MARK = "▁"
 _MARKED = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Distinct words kept by a worker before its table starts afresh.
-MAX_WORDS = 600_000
+MAX_WORDS = 250_000
 
 
 class ChunkTable(dict):

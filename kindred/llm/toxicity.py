@@ -150,7 +150,7 @@ class Model:
             at = [i for i, _ in near]
             w = np.array([s for _, s in near]) * self.weights[at] / self.weights.max()
             score = float((w @ self.labels[at] + self.options.smoothing * self.base) / (w.sum() + self.options.smoothing))
-            if len(self._seen) > 100_000:
+            if len(self._seen) > 20_000:
                 self._seen.clear()
             self._seen[key] = (score, [self.ids[i] for i in at[:3]])
         return self._seen[key]
