@@ -22,6 +22,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ BINS = 64
 class Options:
     """``head`` tokens with counts travel to the executors; ``vocabulary`` of them have codes; tables have 2**bits slots."""
 
-    head: int = 120_000
+    head: int = 250_000
     vocabulary: int = 8192
     word_bits: int = 20
     byte_bits: int = 18
@@ -58,6 +59,25 @@ def _mix(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+class Numbers(dict):
+    """Numbers of tokens; ``other`` for the rest."""
+
+    def __init__(self, numbers: dict[bytes, int], other: int) -> None:
+        super().__init__(numbers)
+        self.other = other
+
+    def __missing__(self, token: bytes) -> int:
+        return self.other
+
+    def of(self, texts: list[list[bytes]]) -> tuple[list[bytes], np.ndarray]:
+        """All tokens in a row, and their numbers."""
+        flat = list(chain.from_iterable(texts))
+        return flat, np.fromiter(map(self.__getitem__, flat), np.int64, len(flat))
+
+    def __reduce__(self):
+        return Numbers, (dict(self), self.other)
+
+
 class Code:
     """Huffman code of the vocabulary: per symbol the inner nodes passed and the branches taken."""
 
@@ -98,8 +118,8 @@ class Bits:
     def __init__(self, head: list[tuple[bytes, int]], total: int, options: Options) -> None:
         self.options = options
         words = head[: options.vocabulary]
-        self.symbol = {w: i for i, (w, _) in enumerate(words)}
         self.escape = len(words)
+        self.symbol = Numbers({w: i for i, (w, _) in enumerate(words)}, self.escape)
         self.code = Code([*[c for _, c in words], max(0, total - sum(c for _, c in words))])
         self.sizes = [len(self.code.size), 1 << options.word_bits, 1 << options.word_bits, 1 << 16, 1 << options.byte_bits]
         self.offsets = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
@@ -110,8 +130,7 @@ class Bits:
 
     def coded(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of all tokens, and the number of the text that each is of."""
-        get, escape = self.symbol.get, self.escape
-        symbols = np.array([get(w, escape) for t in texts for w in t], np.int64)
+        _, symbols = self.symbol.of(texts)
         return symbols, np.repeat(np.arange(len(texts)), [len(t) for t in texts])
 
     def words(self, symbols: np.ndarray, doc: np.ndarray, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -226,7 +245,7 @@ class Mixer:
         self.base_of = np.array([*[math.log10((counts[w] + 0.1) / scale) for w in bits.symbol], 0.0])
         rest = [w for w in counts if w not in bits.symbol]
         #: Numbers of all head tokens: symbols, then (after the escape's) the others, with their base and cost after the escape.
-        self.number = dict(bits.symbol) | {w: bits.escape + 1 + i for i, w in enumerate(rest)}
+        self.number = Numbers(dict(bits.symbol) | {w: bits.escape + 1 + i for i, w in enumerate(rest)}, -1)
         self.rest_base = np.array([math.log10((counts[w] + 0.1) / scale) for w in rest])
         self.rest_cost = np.array([self.escaped(counts[w], x) for w, x in zip(rest, self.spelled_costs(rest).tolist(), strict=True)])
 
@@ -296,10 +315,10 @@ class Mixer:
         The sums leave out those rare tokens: what they add depends on counts that aren't here.
         """
         found: list[tuple] = []
-        get, escape = self.number.get, self.bits.escape
+        escape = self.bits.escape
         for group in _grouped(texts, self.bits.options.chunk_tokens):
             n, sizes = len(group), np.array([len(t) for t in group])
-            numbers = np.array([get(w, -1) for t in group for w in t], np.int64)
+            flat, numbers = self.number.of(group)
             doc = np.repeat(np.arange(n), sizes)
             symbols = np.where((numbers < 0) | (numbers > escape), escape, numbers)
             cost = self.word_costs(symbols, doc, n)
@@ -309,7 +328,6 @@ class Mixer:
             base += np.bincount(doc[told], self.rest_base[which], n)
             cost += np.bincount(doc[told], self.rest_cost[which], n)
             at = np.flatnonzero(numbers < 0)
-            flat = [w for t in group for w in t]
             words = [flat[i] for i in at.tolist()]
             spelled = self._spell(words)
             rare: list[list[tuple[bytes, float]]] = [[] for _ in group]
