@@ -87,7 +87,8 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kindred.llm.decontaminate import contaminated
 
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "similarity")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +109,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 _RULES_SQL = ", ".join(f"('{host}{path}', '{host}', '{path}', '{verdict}')" for verdict, host, path in URL_RULES)
 _SITES_SQL = ", ".join(f"('{site}')" for site in LISTED_SITES)
 
+_WORDS_SQL = r"list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+', ' ', 'g'), ' '), lambda w: w <> '')"
+_SHINGLES_SQL = "CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[pos + 1:pos + 5], ' ') END AS s, greatest(len(w) - 4, 1) AS n"
+#: Escapes in a text: backslashes, each # before two more, each </turn>.
+_ESCAPES_SQL = r"(length({x}) - length(replace({x}, '\', '')) + coalesce(list_sum(list_transform(regexp_extract_all({x}, '#{{3,}}'), lambda r: length(r) - 2)), 0) + (length({x}) - length(replace({x}, '</turn>', ''))) // 7)"
+
 ORACLE_SQL: dict[str, str] = {
+    "op6_chat_format": rf"""
+WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+whole AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns, coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+sum(4 + length(role) + 2 + length(text) + {_ESCAPES_SQL.format(x='text')} + 8) AS formatted FROM said GROUP BY conv_id)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted AS BIGINT) AS formatted_chars FROM whole
+""",
+    "op8_decontaminate": f"""
+WITH d AS (SELECT DISTINCT doc_id, {_WORDS_SQL} AS w FROM documents), b AS (SELECT DISTINCT item_id, {_WORDS_SQL} AS w FROM benchmark),
+dp AS (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 4, 1))) AS pos FROM d WHERE len(w) > 0), ds AS (SELECT doc_id, pos, {_SHINGLES_SQL} FROM dp),
+bp AS (SELECT item_id, w, unnest(range(0, greatest(len(w) - 4, 1))) AS pos FROM b WHERE len(w) > 0), bs AS (SELECT item_id, pos, {_SHINGLES_SQL} FROM bp),
+windows AS (SELECT DISTINCT doc_id, item_id, greatest(0, least(ds.pos - bs.pos, ds.n - bs.n)) AS start, ds.n AS n_doc, bs.n AS n_item FROM ds JOIN bs USING (s)),
+own AS (SELECT w.doc_id, w.item_id, w.start, ds.s, count(*) AS k FROM windows w JOIN ds ON ds.doc_id = w.doc_id AND ds.pos >= w.start AND ds.pos < w.start + w.n_item GROUP BY ALL),
+items AS (SELECT item_id, s, count(*) AS k FROM bs GROUP BY ALL),
+shared AS (SELECT own.doc_id, own.item_id, own.start, sum(least(own.k, items.k)) AS shared FROM own JOIN items ON items.item_id = own.item_id AND items.s = own.s GROUP BY ALL),
+scored AS (SELECT doc_id, item_id, start, shared / (least(n_item, n_doc - start) + n_item - shared) AS similarity FROM windows JOIN shared USING (doc_id, item_id, start))
+SELECT doc_id, item_id, CAST(start AS INTEGER) AS start, round(similarity, 6) AS similarity FROM scored WHERE similarity >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
+""",
     "op4_url_filters": f"""
 WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 parts AS (SELECT page_id, row_number() OVER () AS row_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
