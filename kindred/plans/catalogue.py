@@ -400,7 +400,7 @@ def prof_id_prefix(spark, sf_dir):
 
 @query(sql.PROF_SIGNALS)
 def prof_signal_volumes(spark, sf_dir):
-    return profile.signal_volumes(normal_entities(spark, sf_dir, "part"), doc_truth(spark, sf_dir))
+    return profile.signal_volumes(normal_entities(spark, sf_dir, "part"))
 
 
 @query()

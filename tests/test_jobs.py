@@ -9,8 +9,8 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from kindred.operators import blocking
-from kindred.plans import catalogue, cli, matching
+from kindred.operators import blocking, profile
+from kindred.plans import catalogue, cli, matching, reports
 from kindred.sources import tables
 from kindred.streaming.arrivals import match_arrivals
 
@@ -116,6 +116,13 @@ def test_other_queries_run(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
 
 
+def test_reports(spark):
+    rows = catalogue.entities(spark, SF, "part")
+    parts = {"columns": profile.columns(rows), "none": rows.limit(0)}
+    text = reports.as_markdown("Profile", parts)
+    assert text.startswith("# Profile") and "| source | field |" in text and "No rows." in text and '"n_rows"' in reports.as_json(parts)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
