@@ -337,6 +337,12 @@ def error_taxonomy(spark, sf_dir):
     return scoring.error_taxonomy(scoring.errors(scored, doc_truth(spark, sf_dir), everyone(rows), THRESHOLD))
 
 
+@query(sql.error_examples(THRESHOLD))
+def error_examples(spark, sf_dir):
+    scored, rows = doc_scored(spark, sf_dir)
+    return scoring.error_examples(scoring.errors(scored, doc_truth(spark, sf_dir), everyone(rows), THRESHOLD))
+
+
 @query(sql.validate(THRESHOLD))
 def out_validate(spark, sf_dir):
     scored, rows = doc_scored(spark, sf_dir)
@@ -419,6 +425,17 @@ def prof_true_pairs(spark, sf_dir):
     return profile.true_pairs(features.with_fields(doc_truth(spark, sf_dir), rows))
 
 
+@query(sql.PAIR_SUMMARY)
+def prof_pair_summary(spark, sf_dir):
+    rows = normal_entities(spark, sf_dir, "doc")
+    return profile.pair_summary(features.with_fields(doc_truth(spark, sf_dir), rows))
+
+
+@query(sql.RESERVOIR)
+def prof_reservoir(spark, sf_dir):
+    return sampling.reservoir(entities(spark, sf_dir, "part").select("entity_id", "business_name"), 100, "entity_id")
+
+
 @query(sql.RELATIONS)
 def prof_relations(spark, sf_dir):
     rows = normal_entities(spark, sf_dir, "doc")
@@ -448,6 +465,11 @@ def gt_components(spark, sf_dir):
     return graph.components(doc_truth(spark, sf_dir).select(F.col("s1_id").alias("a"), F.col("candidate_id").alias("b")))
 
 
+@query(sql.GT_COMPONENT_SIZES)
+def gt_component_sizes(spark, sf_dir):
+    return graph.component_sizes(gt_components(spark, sf_dir))
+
+
 # learned scorers
 
 

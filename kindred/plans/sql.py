@@ -210,10 +210,19 @@ def lists(threshold: float) -> str:
     return SCORED + f"SELECT e.s1_id AS source1_entity_id, coalesce(string_agg(candidate_id, ',' ORDER BY candidate_id), '') AS matched_entity_ids FROM everyone e LEFT JOIN scored s ON s.s1_id = e.s1_id AND score >= {threshold} GROUP BY e.s1_id"
 
 
-def errors(threshold: float) -> str:
+def _errors(threshold: float) -> str:
     return SCORED + f""", tt AS (SELECT DISTINCT s1_id, candidate_id, TRUE AS is_true FROM truth),
-w AS (SELECT *, coalesce(score >= {threshold}, FALSE) AS acc, coalesce(is_true, FALSE) AS tru FROM scored FULL JOIN tt USING (s1_id, candidate_id))
-SELECT error, count(*) AS n FROM (SELECT CASE WHEN acc AND NOT tru THEN CASE WHEN n1 = n2 AND n1 <> '' THEN 'same_name_diff_addr' WHEN a1 = a2 AND a1 <> '' THEN 'same_addr_diff_name' ELSE 'high_similarity' END WHEN tru AND NOT acc THEN CASE WHEN score IS NULL THEN 'retrieval_failure' ELSE 'threshold_too_high' END END AS error FROM w) WHERE error IS NOT NULL GROUP BY error"""
+w AS (SELECT *, coalesce(score >= {threshold}, FALSE) AS acc, coalesce(is_true, FALSE) AS tru FROM scored FULL JOIN tt USING (s1_id, candidate_id)),
+errs AS (SELECT * FROM (SELECT s1_id, candidate_id, CASE WHEN acc AND NOT tru THEN CASE WHEN n1 = n2 AND n1 <> '' THEN 'same_name_diff_addr' WHEN a1 = a2 AND a1 <> '' THEN 'same_addr_diff_name' ELSE 'high_similarity' END WHEN tru AND NOT acc THEN CASE WHEN score IS NULL THEN 'retrieval_failure' ELSE 'threshold_too_high' END END AS error FROM w) WHERE error IS NOT NULL)
+"""
+
+
+def errors(threshold: float) -> str:
+    return _errors(threshold) + "SELECT error, count(*) AS n FROM errs GROUP BY error"
+
+
+def error_examples(threshold: float) -> str:
+    return _errors(threshold) + "SELECT * FROM errs QUALIFY row_number() OVER (PARTITION BY error ORDER BY s1_id, candidate_id) <= 20"
 
 
 def validate(threshold: float) -> str:
@@ -248,3 +257,6 @@ GT_CARDINALITY = _TRUTH_ONLY + """, k AS (SELECT a.id, count(DISTINCT candidate_
 SELECT count(*) FILTER (n = 0) AS n_0, count(*) FILTER (n = 1) AS n_1, count(*) FILTER (n = 2) AS n_2, count(*) FILTER (n >= 3) AS n_3_plus, round(avg(n), 6) AS mean, max(n) AS most,
 CASE WHEN (SELECT max(c) FROM (SELECT count(DISTINCT s1_id) AS c FROM truth GROUP BY candidate_id)) > 1 THEN 'many-to-many' WHEN max(n) > 1 THEN 'one-to-many' ELSE 'one-to-one' END AS mapping FROM k"""
 GT_COMPONENTS = _TRUTH_ONLY + ", node AS (SELECT s1_id AS id FROM truth UNION SELECT candidate_id FROM truth) SELECT id AS node, min(id) OVER (PARTITION BY h) AS component FROM node JOIN same USING (id)"
+GT_COMPONENT_SIZES = _TRUTH_ONLY + ", node AS (SELECT s1_id AS id FROM truth UNION SELECT candidate_id FROM truth) SELECT size, count(*) AS n FROM (SELECT h, count(*) AS size FROM node JOIN same USING (id) GROUP BY h) GROUP BY size"
+RESERVOIR = view("part") + f"SELECT entity_id, business_name FROM e ORDER BY md5(concat_ws('|', '{SAMPLE.seed}', entity_id)), entity_id LIMIT 100"
+PAIR_SUMMARY = _TRUE_WIDE + f", m AS (SELECT source, c1 AS country, {_jaccard('n')} AS x, abs(length(a1) - length(a2)) AS y FROM wide) SELECT CASE WHEN grouping(source) = 0 THEN 'source' WHEN grouping(country) = 0 THEN 'country' ELSE 'all' END AS level, coalesce(CAST(source AS VARCHAR), country, '') AS grp, " + ", ".join([f"round(quantile_cont(x, {q}), 6) AS jaccard_{int(q * 100)}" for q in (0.1, 0.5, 0.9)] + [f"round(quantile_cont(y, {q}), 6) AS length_diff_{int(q * 100)}" for q in (0.5, 0.9, 0.99)]) + ", round(avg(x), 6) AS mean_jaccard, count(*) AS n FROM m GROUP BY GROUPING SETS ((source), (country), ())"

@@ -61,13 +61,16 @@ def load_cached(spark: SparkSession, path: str, cache: str, options: NormOptions
 
 
 def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
-    """``s1_id, matched``: lines split at the first tab, ids at commas, blanks dropped; of a repeated id the last line counts."""
-    lines = spark.read.text(path).select("value", "_metadata.file_path", F.monotonically_increasing_id().alias("line"))
+    """``s1_id, matched``: lines split at the first tab, ids at commas, blanks dropped; of a repeated id the last line counts.
+
+    Lines are ordered by file, then block, then place in the block, however blocks are dealt to tasks.
+    """
+    lines = spark.read.text(path).select("value", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line")).alias("at"))
     at = F.instr("value", "\t")
     s1 = F.trim(F.when(at > 0, F.expr("substring(value, 1, instr(value, '\t') - 1)")).otherwise(F.col("value")))
     rest = F.when(at > 0, F.expr("substring(value, instr(value, '\t') + 1)")).otherwise(F.lit(""))
     ids = F.filter(F.transform(F.split(rest, ","), lambda x: F.trim(x)), lambda x: x != "")
-    rows = lines.select(s1.alias("s1_id"), ids.alias("matched"), F.struct("file_path", "line").alias("at")).where("s1_id not in ('', 'source1_entity_id')")
+    rows = lines.select(s1.alias("s1_id"), ids.alias("matched"), "at").where("s1_id not in ('', 'source1_entity_id')")
     return rows.groupBy("s1_id").agg(F.max_by("matched", "at").alias("matched"))
 
 
@@ -96,9 +99,9 @@ def id_lists(pairs: DataFrame, everyone: DataFrame, column: str) -> DataFrame:
     return ids.join(lists, "s1_id", "left").select(F.col("s1_id").alias("source1_entity_id"), F.coalesce(column, F.lit("")).alias(column)).orderBy("source1_entity_id")
 
 
-def write_lists(lists: DataFrame, path: str) -> None:
-    """A tab-separated file with a header."""
-    lists.coalesce(1).write.mode("overwrite").option("sep", "\t").option("header", True).option("emptyValue", "").csv(path)
+def write_lists(lists: DataFrame, path: str, files: int | None = None) -> None:
+    """Tab-separated files with headers, in the order of ids; one file only if asked for, since one task then writes all."""
+    (lists.coalesce(files) if files else lists).write.mode("overwrite").option("sep", "\t").option("header", True).option("emptyValue", "").csv(path)
 
 
 def validate_outputs(matching: DataFrame, candidates: DataFrame, everyone: DataFrame) -> DataFrame:
