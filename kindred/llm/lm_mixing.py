@@ -172,9 +172,15 @@ class Bits:
         return np.repeat(owner, 8), np.stack([first.ravel(), second.ravel()]), bit.ravel()
 
 
-def tokens_of(text: str | None) -> list[bytes]:
+def tokens_of(text: str | bytes | None) -> list[bytes]:
     """Words of the text with A-Z lower-cased, then the end; bytes split at ASCII white space, as words do."""
-    return [*text.encode().lower().split(), END] if text else [END]
+    if not text:
+        return [END]
+    return [*(text.encode() if isinstance(text, str) else text).lower().split(), END]
+
+
+def _utf8(texts: pa.Array) -> list[bytes | None]:
+    return texts.cast(pa.binary()).to_pylist()
 
 
 class Tables:
@@ -309,17 +315,18 @@ class Mixer:
         high, low = max(a, b), min(a, b)
         return high + math.log10(1 + 10 ** max(low - high, -300))
 
-    def score(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[tuple[bytes, float]]]]:
-        """Of each text: base and model log10 probability, tokens known, and (token, spelled cost) of tokens outside the head.
+    def score(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+        """Of each text: base and model log10 probability, and how many tokens are outside the head; those tokens in a row, and their spelled costs.
 
-        The sums leave out those rare tokens: what they add depends on counts that aren't here.
+        The probabilities leave those tokens out: what they add depends on counts that aren't here.
         """
-        found: list[tuple] = []
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        rare: list[bytes] = []
         escape = self.bits.escape
         for group in _grouped(texts, self.bits.options.chunk_tokens):
-            n, sizes = len(group), np.array([len(t) for t in group])
+            n = len(group)
             flat, numbers = self.number.of(group)
-            doc = np.repeat(np.arange(n), sizes)
+            doc = np.repeat(np.arange(n), [len(t) for t in group])
             symbols = np.where((numbers < 0) | (numbers > escape), escape, numbers)
             cost = self.word_costs(symbols, doc, n)
             base = np.bincount(doc, self.base_of[symbols], n)
@@ -328,15 +335,12 @@ class Mixer:
             base += np.bincount(doc[told], self.rest_base[which], n)
             cost += np.bincount(doc[told], self.rest_cost[which], n)
             at = np.flatnonzero(numbers < 0)
-            words = [flat[i] for i in at.tolist()]
-            spelled = self._spell(words)
-            rare: list[list[tuple[bytes, float]]] = [[] for _ in group]
-            for i, w in zip(doc[at].tolist(), words, strict=True):
-                rare[i].append((w, spelled[w]))
-            found.append((base, cost, sizes - np.bincount(doc[at], minlength=n), rare))
-        if not found:
-            return np.zeros(0), np.zeros(0), np.zeros(0, np.int64), []
-        return *[np.concatenate([f[k] for f in found]) for k in range(3)], [r for f in found for r in f[3]]
+            rare += [flat[i] for i in at.tolist()]
+            parts.append((base, cost, np.bincount(doc[at], minlength=n)))
+        if not parts:
+            return np.zeros(0), np.zeros(0), np.zeros(0, np.int64), [], np.zeros(0)
+        spelled = self._spell(rare)
+        return *[np.concatenate([x[k] for x in parts]) for k in range(3)], rare, np.fromiter(map(spelled.__getitem__, rare), float, len(rare))
 
     def _spell(self, words: list[bytes]) -> dict[bytes, float]:
         """Spelled costs by a table of words met before."""
@@ -359,7 +363,7 @@ def token_counts(train: DataFrame) -> DataFrame:
             return made
 
         for batch in slices(batches):
-            for text in batch.column(0).to_pylist():
+            for text in _utf8(batch.column(0)):
                 counts.update(tokens_of(text))
             if len(counts) > 200_000:
                 yield out()
@@ -405,13 +409,13 @@ def train_tables(train: DataFrame, counts: DataFrame, bits: Bits) -> np.ndarray:
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = Tables(shared.value)
         for batch in slices(batches):
-            tables.learn([tokens_of(t) for t in batch.column(0).to_pylist()])
+            tables.learn([tokens_of(t) for t in _utf8(batch.column(0))])
         yield from pieces(tables, 0)
 
     def learn_spelling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = Tables(shared.value)
         for batch in batches:
-            rows = [(w, c) for w, c in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True) if w not in shared.value.symbol]
+            rows = [(w, c) for w, c in zip(_utf8(batch.column(0)), batch.column(1).to_pylist(), strict=True) if w not in shared.value.symbol]
             tables.learn_spelling([w for w, _ in rows], np.array([c for _, c in rows], np.uint64))
         yield from pieces(tables, 1)
 
@@ -454,22 +458,23 @@ def lm_scores(docs: DataFrame, options: Options = Options()) -> DataFrame:
     total, distinct, single = (x or 0 for x in counts.agg(F.sum("c"), F.count(F.lit(1)), F.count_if(F.col("c") == 1)).first())
     least = head_bin(counts, options.head)
     top = counts.where(count_bin() >= least).toArrow()
-    head = sorted(zip(top.column("token").cast(pa.binary()).to_pylist(), top.column("c").to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
+    head = sorted(zip(_utf8(top.column("token")), top.column("c").to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
     bits = Bits(head, total, options)
     model = Mixer(bits, train_tables(train, counts, bits), dict(head), total, distinct, single)
     mixer = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = batch.column(1).to_pylist()
+            texts = _utf8(batch.column(1))
             tokens = [tokens_of(t) for t in texts]
-            base, cost, known, rare = mixer.value.score(tokens)
+            base, cost, n_rare, rare, spelled = mixer.value.score(tokens)
+            n_tokens = np.array([len(t) for t in tokens], np.int64)
+            pairs = pa.StructArray.from_arrays([pa.array(rare, pa.binary()).cast(pa.string()), pa.array(spelled, pa.float64())], ["token", "spelled"])
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column(0).cast(pa.int64()), "held_out": batch.column(2), "text_hash": batch.column(3),
-                "n_bytes": pa.array([len(t.encode()) if t else 0 for t in texts], pa.int64()),
-                "n_tokens": pa.array([len(t) for t in tokens], pa.int64()), "known": pa.array(known, pa.int64()),
+                "n_bytes": pa.array([len(t or b"") for t in texts], pa.int64()), "n_tokens": pa.array(n_tokens), "known": pa.array(n_tokens - n_rare, pa.int64()),
                 "base": pa.array(base, pa.float64()), "score": pa.array(cost, pa.float64()),
-                "rare": pa.array([[{"token": w.decode(), "spelled": x} for w, x in r] for r in rare], pa.list_(pa.struct([("token", pa.string()), ("spelled", pa.float64())]))),
+                "rare": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_rare)]), pa.int32()), pairs),
             })
 
     keyed = rows.withColumn("text_hash", F.xxhash64("text"))
