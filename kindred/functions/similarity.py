@@ -34,30 +34,50 @@ def ratio(a: str, b: str) -> float:
     return 2 * lcs_length(a, b) / (len(a) + len(b))
 
 
+def window_lcs(a: str, b: str) -> list[int]:
+    """LCS lengths of ``a`` with every window of ``b`` of its length, those cut at the ends included, from left to right.
+
+    Strands of a grid of both texts are combed once: a strand that enters above position i of
+    ``b`` and leaves below before j stands for a character of the window [i, j) that no common
+    subsequence uses. Windows are then counted by sliding.
+    """
+    m, n = len(a), len(b)
+    below = list(range(m, m + n))
+    for i in range(m):
+        ch, strand = a[i], m - 1 - i
+        for j in range(n):
+            if b[j] == ch or strand > below[j]:
+                strand, below[j] = below[j], strand
+    leaves_at = {s - m: j for j, s in enumerate(below) if s >= m}
+    enters_at = {j: i for i, j in leaves_at.items()}
+    unused, found, low = 0, [], 0
+    for end in range(1, n + m):
+        high = min(end, n)
+        if end <= n and enters_at.get(end - 1, -1) >= low:
+            unused += 1
+        if end > m:
+            if leaves_at.get(low, n + 1) < high:
+                unused -= 1
+            low += 1
+        found.append(high - low - unused)
+    return found
+
+
 def partial_ratio(a: str, b: str) -> float:
     """Best ratio of the shorter text against windows of the longer, those cut at the ends included."""
     if not a or not b:
         return 1.0 if a == b else 0.0
     if len(a) > len(b):
         a, b = b, a
-    m, n = len(a), len(b)
     if a in b:
         return 1.0
-    letters = set(a)
-    best = 0.0
-    for i in range(1 - m, n):
-        window = b[max(0, i) : min(n, i + m)]
-        # a window can be best only if its outer character is one that can match
-        if (window[-1] in letters if i <= 0 or i + m < n else True) or window[0] in letters:
-            best = max(best, 2 * lcs_length(a, window) / (m + len(window)))
-    return max(best, partial_ratio_equal(b, a)) if m == n else best
-
-
-def partial_ratio_equal(a: str, b: str) -> float:
-    """Windows of ``b`` against ``a`` of the same length."""
-    m = len(a)
-    windows = (b[max(0, i) : min(m, i + m)] for i in range(1 - m, m))
-    return max(2 * lcs_length(a, w) / (m + len(w)) for w in windows)
+    best = _best_window(a, b)
+    return max(best, _best_window(b, a)) if len(a) == len(b) else best
+
+
+def _best_window(a: str, b: str) -> float:
+    m, n = len(a), len(b)
+    return max(2 * k / (m + min(end, n) - max(0, end - m)) for end, k in enumerate(window_lcs(a, b), 1))
 
 
 def token_sort_ratio(a: str, b: str) -> float:
