@@ -6,8 +6,11 @@ Everything is DataFrame expressions: no Python runs on the executors.
 
 Which windows: a window that reaches the similarity shares at least ``t * L`` of an item's L
 shingles, so it has one of any ``L - ceil(t * L) + 1`` of them. Those rarest among the items
-are the item's seeds; each place where a text has a seed aligns one window of the item's
-size. That leaves out no window that could pass, and spares all others their fingerprint.
+are the item's seeds; each place where a text has a seed aligns windows of the item's size.
+Words put in or left out shift an alignment by no more than the shingles that they cost, so
+all shifts up to the L - ceil(2 t L / (1 + t)) shingles that a passing window can lack are
+tried: passages that keep the item's order are found whatever their edits. Other places of
+the text are spared their fingerprint.
 The seeds are matched inside the scan, block by block of a bounded size, so a passage that
 many texts share never meets in one task: a bitmap of their hashes first picks the places of
 a text worth looking up, so that only those become rows.
@@ -121,8 +124,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8)
     for b in range(n_blocks):
         some = seeds if n_blocks == 1 else seeds.where(F.pmod(F.xxhash64("seed"), F.lit(n_blocks)) == b)
         places = places_of(texts, some, n_seeds // n_blocks + 1)
-        start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("offset"), F.size("sh") - F.col("size")))
-        found = places.join(F.broadcast(some), "seed").withColumn("start", start).select("doc_id", "sig", "start", F.expr("slice(sh, start + 1, size)").alias("window"))
+        spare = (F.col("size") - F.ceil(F.lit(2 * threshold / (1 + threshold)) * F.col("size"))).cast("int")
+        aligned = places.join(F.broadcast(some), "seed").withColumn("shift", F.explode(F.sequence(-spare, spare)))
+        start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("offset") + F.col("shift"), F.size("sh") - F.col("size")))
+        found = aligned.withColumn("start", start).select("doc_id", "sig", "start", F.expr("slice(sh, start + 1, size)").alias("window"))
         windows = found if windows is None else windows.unionByName(found)
     windows = windows.distinct().withColumn("fp", simhash("window"))
 

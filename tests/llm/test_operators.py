@@ -247,14 +247,19 @@ def _shingle_bag(words):
 def test_contamination_is_brute_force(spark):
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(300)]
-    items = [[rng.choice(vocabulary) for _ in range(rng.randint(5, 60))] for _ in range(15)] + [["w1"] * 12]
+    items = [[rng.choice(vocabulary) for _ in range(rng.randint(5, 120))] for _ in range(15)] + [["w1"] * 12]
     docs = []
-    for i in range(60):
+    for i in range(120):
         words = [rng.choice(vocabulary) for _ in range(rng.randint(0, 150))]
         if i % 2:
             passage = list(rng.choice(items))
+            at = rng.randrange(len(passage))
             if i % 3 == 0:
-                passage[rng.randrange(len(passage))] = "edited"
+                passage[at] = "edited"
+            elif i % 5 == 0:
+                passage.insert(at, "added")
+            elif i % 7 == 0:
+                del passage[at]
             words[len(words) // 2 : len(words) // 2] = passage
         docs.append(words)
     want = set()
