@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from kindred.llm.common import drop_ids
 
 WIDTH = 5
-#: Most seeds broadcast at once; more are matched in as many further scans.
+#: Most seeds broadcast at once, each with the shifts of its item's size; more are matched in as many further scans.
 SEED_BLOCK = 50_000
 #: Bits of the bitmap for each seed, and its least and most size as powers of two.
 BITS_PER_SEED, LEAST_BITS, MOST_BITS = 128, 12, 20
@@ -125,8 +125,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8)
         some = seeds if n_blocks == 1 else seeds.where(F.pmod(F.xxhash64("seed"), F.lit(n_blocks)) == b)
         places = places_of(texts, some, n_seeds // n_blocks + 1)
         spare = (F.col("size") - F.ceil(F.lit(2 * threshold / (1 + threshold)) * F.col("size"))).cast("int")
-        aligned = places.join(F.broadcast(some), "seed").withColumn("shift", F.explode(F.sequence(-spare, spare)))
-        start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("offset") + F.col("shift"), F.size("sh") - F.col("size")))
+        shifted = some.select("seed", "sig", "size", "offset", F.explode(F.sequence(-spare, spare)).alias("shift"))
+        aligned = places.join(F.broadcast(shifted.select("seed", "sig", "size", (F.col("offset") - F.col("shift")).alias("offset")).distinct()), "seed")
+        start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("offset"), F.size("sh") - F.col("size")))
         found = aligned.withColumn("start", start).select("doc_id", "sig", "start", F.expr("slice(sh, start + 1, size)").alias("window"))
         windows = found if windows is None else windows.unionByName(found)
     windows = windows.distinct().withColumn("fp", simhash("window"))
