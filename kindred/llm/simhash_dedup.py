@@ -8,14 +8,17 @@ with each half on top, and the budget down to depth 32 is k // 2: few pairs surv
 
 The work is dealt by pairs of prefixes: a unit holds the fingerprints of two prefixes within
 the budget. Prefixes lengthen until no unit is large, and exact copies share one
-fingerprint, so neither copies nor crowded prefixes gather in a task. A unit returns a
-spanning forest of what it has linked, not its pairs; node pairs whose leaves are already
-in one component are dropped.
+fingerprint, so neither copies nor crowded prefixes gather in a task. Where a link within the
+radius is all that counts, a unit returns a spanning forest of what it has linked, not its
+pairs; node pairs whose leaves are already in one component are dropped. Where the texts of a
+link are compared too, a unit returns all links but those inside one component of links that
+have passed.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -29,8 +32,8 @@ from kindred.llm.components import connected_components
 
 #: Most fingerprints of one prefix in a unit, and the prefix lengths tried for it.
 UNIT_ROWS, PREFIX_BITS = 100_000, (4, 6, 8, 10, 12, 14, 16)
-#: Node pairs expanded at once, and leaf pairs of a node pair that are compared directly.
-BLOCK, LEAF_PAIRS = 1 << 15, 64
+#: Node pairs expanded at once, leaf pairs of a node pair that are compared directly, and leaf pairs compared at once.
+BLOCK, LEAF_PAIRS, AT_ONCE = 1 << 15, 64, 1 << 21
 
 
 def shingles(text: str | None, width: int) -> list[str]:
@@ -48,6 +51,39 @@ def fingerprint(features: list[str]) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(features)).tobytes(), "big")
 
 
+def shingle_hashes(words: list[str], hashes: dict[str, int], width: int) -> np.ndarray:
+    """Distinct 64-bit hashes of the words' shingles, made of ``hashes`` of the words, in order."""
+    word = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    n = max(1, len(words) - width + 1) if words else 0
+    made = np.zeros(n, np.uint64)
+    for i in range(min(width, len(words))):
+        made = (made ^ word[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        made ^= made >> np.uint64(29)
+    return np.unique(made)
+
+
+def bitmap(hashes: np.ndarray) -> bytes:
+    """One bit for each hash; as many bits as hashes or up to twice that, a power of two, 64 at least."""
+    size = max(64, 1 << (len(hashes) - 1).bit_length()) if len(hashes) else 64
+    bits = np.zeros(size, np.uint8)
+    bits[(hashes & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def may_agree(a: bytes, n_a: int, b: bytes, n_b: int, threshold: float) -> bool:
+    """False only if sets of ``n_a`` and ``n_b`` hashes with these bitmaps have a Jaccard similarity below ``threshold``.
+
+    A bit that is set on one side only is a hash at least that the other set doesn't have.
+    """
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    most = min(n_a - int(np.bitwise_count(x & ~y).sum()), n_b - int(np.bitwise_count(y & ~x).sum()))
+    return most + 1e-6 >= threshold * (n_a + n_b - most)
+
+
 def word_fingerprint(words: list[str]) -> int:
     """SimHash of the words with the square roots of their counts as weights."""
     if not words:
@@ -70,12 +106,19 @@ def fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
 
 
 class Forest:
-    """Components of leaves, joined as pairs come; labels are kept flat so that ranges can be compared."""
+    """Components of leaves, joined as pairs come; labels are kept flat so that ranges can be compared.
+
+    Labels given are those of components that the leaves are already in.
+    """
 
-    def __init__(self, n: int) -> None:
+    def __init__(self, n: int, label: np.ndarray | None = None) -> None:
         self.edges: list[tuple[np.ndarray, np.ndarray]] = []
-        self.label = np.arange(n)
-        self.until = np.arange(1, n + 1)
+        self.label = np.arange(n) if label is None else label
+        self._ranges()
+
+    def _ranges(self) -> None:
+        ends = np.append(np.flatnonzero(np.diff(self.label)) + 1, len(self.label))
+        self.until = ends[np.searchsorted(ends, np.arange(len(self.label)), side="right")]
 
     def join(self, a: np.ndarray, b: np.ndarray) -> None:
         if not len(a):
@@ -95,8 +138,7 @@ class Forest:
             while (label[label] != label).any():
                 label = label[label]
         self.label = label
-        ends = np.append(np.flatnonzero(np.diff(label)) + 1, len(label))
-        self.until = ends[np.searchsorted(ends, np.arange(len(label)), side="right")]
+        self._ranges()
 
     def settled(self, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> np.ndarray:
         """Node pairs of which all leaves are in one component."""
@@ -110,13 +152,23 @@ def trie_join(leaves: np.ndarray, split: int, radius: int, depth: int = 0, fores
     the leaves of two trie nodes to be joined. ``split`` = all of them: one node with itself.
     A forest given goes on from the components that it has.
     """
+    forest = Forest(len(leaves)) if forest is None else forest
+    for x, y in near_pairs(leaves, split, radius, depth, forest):
+        forest.join(x, y)
+    return forest
+
+
+def near_pairs(leaves: np.ndarray, split: int, radius: int, depth: int, forest: Forest) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of leaves, as ``trie_join`` takes them, within ``radius`` bits; some or all of those inside one component of ``forest`` are left out.
+
+    In a node with itself a pair may come both ways round.
+    """
     n, half = len(leaves), radius // 2
-    forest = Forest(n) if forest is None else forest
     one = np.uint64(1)
     same = split == n
     apart = 0 if same or not split else int(np.bitwise_count((leaves[0] ^ leaves[-1]) >> np.uint64(64 - depth))) if depth else 0
     if n < 2 or not split or apart > (half if depth <= 32 else radius):
-        return forest
+        return
     first = np.array([[0, split, 0 if same else split, n, apart]])
     stack = [(depth, first)]
     while stack:
@@ -133,12 +185,16 @@ def trie_join(leaves: np.ndarray, split: int, radius: int, depth: int = 0, fores
         if small.any():
             x0, x1, y0, y1 = a0[small], a1[small], b0[small], b1[small]
             wide = y1 - y0
-            count = (x1 - x0) * wide
-            at = np.repeat(np.arange(len(count)), count)
-            k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            x, y = x0[at] + k // wide[at], y0[at] + k % wide[at]
-            linked = (x != y) & (np.bitwise_count(leaves[x] ^ leaves[y]) <= radius)
-            forest.join(x[linked], y[linked])
+            every = (x1 - x0) * wide
+            group = np.cumsum(every) // AT_ONCE
+            for lo, hi in zip(np.flatnonzero(np.diff(group, prepend=-1)).tolist(), [*np.flatnonzero(np.diff(group) > 0) + 1, len(group)], strict=True):
+                count = every[lo:hi]
+                at = lo + np.repeat(np.arange(len(count)), count)
+                k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                x, y = x0[at] + k // wide[at], y0[at] + k % wide[at]
+                linked = (x != y) & (np.bitwise_count(leaves[x] ^ leaves[y]) <= radius)
+                if linked.any():
+                    yield x[linked], y[linked]
         pairs = pairs[~small]
         if depth == 64 or not len(pairs):
             continue
@@ -160,7 +216,6 @@ def trie_join(leaves: np.ndarray, split: int, radius: int, depth: int = 0, fores
         children = np.concatenate([np.stack([a0, am, b0, bm, acc], 1), np.stack([am, a1, bm, b1, acc], 1), np.stack([a0, am, bm, b1, acc + 1], 1), np.stack([am, a1, b0, bm, acc + 1], 1)[~itself]])
         live = (children[:, 0] < children[:, 1]) & (children[:, 2] < children[:, 3]) & (children[:, 4] <= most)
         stack.append((depth + 1, children[live]))
-    return forest
 
 
 def _prefix_masks(bits: int, differ: int) -> list[int]:
@@ -177,36 +232,85 @@ def _prefix_length(leaves: DataFrame) -> int:
     return min((r["bits"] for r in largest if r["n"] <= UNIT_ROWS), default=longest)
 
 
+def _dealt(fps: DataFrame, radius: int, *more: str) -> tuple[DataFrame, int]:
+    """Rows ``turn, low, high, leaf`` and columns ``more`` of ``fps(fp)`` in the units that join them, and the length of their prefixes."""
+    turned = F.shiftleft("fp", 32).bitwiseOR(F.shiftrightunsigned("fp", 32))
+    leaves = fps.select(F.lit(0).alias("turn"), F.col("fp").alias("leaf"), *more).unionByName(fps.select(F.lit(1).alias("turn"), turned.alias("leaf"), *more))
+    bits = _prefix_length(leaves)
+    own = F.shiftrightunsigned("leaf", 64 - bits).cast("int")
+    dealt = leaves.select("turn", "leaf", *more, own.alias("own"), F.explode(F.array(*map(F.lit, _prefix_masks(bits, radius // 2)))).alias("mask"))
+    dealt = dealt.withColumn("other", F.col("own").bitwiseXOR(F.col("mask")))
+    return dealt.select("turn", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "leaf", *more), bits
+
+
+def _split(leaf: np.ndarray, low: int, high: int, bits: int) -> int:
+    """Where the leaves of the prefix ``high`` begin; all of them if there is one prefix."""
+    return len(leaf) if low == high else int(np.searchsorted(leaf >> np.uint64(64 - bits), np.uint64(high)))
+
+
+def _turned_back(leaf: np.ndarray) -> np.ndarray:
+    return (leaf << np.uint64(32)) | (leaf >> np.uint64(32))
+
+
 def link_forest(fps: DataFrame, radius: int, nearest: bool = False) -> DataFrame:
     """Spanning edges ``a, b`` of the links within ``radius`` between the distinct values of ``fps(fp)``.
 
     ``nearest``: of least Hamming distance, by joins of growing radius.
     """
-    half = radius // 2
-    turned = F.shiftleft("fp", 32).bitwiseOR(F.shiftrightunsigned("fp", 32))
-    leaves = fps.select(F.lit(0).alias("turn"), F.col("fp").alias("leaf")).unionByName(fps.select(F.lit(1).alias("turn"), turned.alias("leaf")))
-    bits = _prefix_length(leaves)
-    own = F.shiftrightunsigned("leaf", 64 - bits).cast("int")
-    dealt = leaves.select("turn", "leaf", own.alias("own"), F.explode(F.array(*map(F.lit, _prefix_masks(bits, half)))).alias("mask"))
-    dealt = dealt.withColumn("other", F.col("own").bitwiseXOR(F.col("mask"))).select("turn", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "leaf")
+    dealt, bits = _dealt(fps, radius)
 
     def join_unit(key: tuple, rows: pa.Table) -> pa.Table:
         turn, low, high = (k.as_py() for k in key)
         leaf = np.sort(rows.column("leaf").to_numpy().view(np.uint64))
-        top = leaf >> np.uint64(64 - bits)
-        split = len(leaf) if low == high else int(np.searchsorted(top, np.uint64(high)))
+        split = _split(leaf, low, high, bits)
         forest = Forest(len(leaf))
         for r in range(1, radius + 1) if nearest else [radius]:
             trie_join(leaf, split, r, bits, forest)
         none = np.zeros(0, np.int64)
         ends = [leaf[np.concatenate([none, *[e[i] for e in forest.edges]])] for i in range(2)]
         if turn:
-            ends = [(x << np.uint64(32)) | (x >> np.uint64(32)) for x in ends]
+            ends = [_turned_back(x) for x in ends]
         return pa.table({"a": ends[0].view(np.int64), "b": ends[1].view(np.int64)})
 
     return dealt.groupBy("turn", "low", "high").applyInArrow(join_unit, "a long, b long")
 
 
+def open_links(fps: DataFrame, radius: int, threshold: float) -> DataFrame:
+    """All links ``a, b`` within ``radius`` between values of ``fps(fp, label, least_size, most_size)``, once each, but those that can't tell anything.
+
+    Those are links of equal labels (null: equal to none) and those of sizes that rule out a
+    Jaccard similarity of ``threshold``. ``fp`` is unique.
+    """
+    dealt, bits = _dealt(fps, radius, "label", "least_size", "most_size")
+
+    def join_unit(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn, low, high = (k.as_py() for k in key)
+        rows = pa.Table.from_batches(list(batches))
+        leaf = rows.column("leaf").to_numpy().view(np.uint64)
+        order = np.argsort(leaf)
+        leaf = leaf[order]
+        label = rows.column("label").combine_chunks()
+        _, number = np.unique(label.fill_null(0).to_numpy(zero_copy_only=False)[order], return_inverse=True)
+        # a null label is one of its own
+        alone = label.is_null().to_numpy(zero_copy_only=False)[order]
+        number = np.where(alone, -1 - np.arange(len(leaf)), number)
+        least, most = (rows.column(c).to_numpy()[order] for c in ("least_size", "most_size"))
+        for x, y in near_pairs(leaf, _split(leaf, low, high, bits), radius, bits, Forest(len(leaf), number)):
+            x, y = np.minimum(x, y), np.maximum(x, y)
+            open_ = (number[x] != number[y]) & (most[x] + 1e-6 >= threshold * least[y]) & (most[y] + 1e-6 >= threshold * least[x])
+            # a pair is of the first turn if few of its differences are in the upper half
+            upper = np.bitwise_count((leaf[x] ^ leaf[y]) & np.uint64(0xFFFFFFFF if turn else 0xFFFFFFFF << 32))
+            open_ &= upper > radius // 2 if turn else upper <= radius // 2
+            pairs = np.unique(np.stack([x[open_], y[open_]], 1), axis=0)
+            a, b = leaf[pairs[:, 0]], leaf[pairs[:, 1]]
+            if turn:
+                a, b = _turned_back(a), _turned_back(b)
+            if len(a):
+                yield pa.RecordBatch.from_pydict({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
+
+    return dealt.groupBy("turn", "low", "high").applyInArrow(join_unit, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 5) -> DataFrame:
     """Return ``doc_id, fp, component_id`` for every row of ``docs(doc_id, text)``.
 
@@ -246,41 +350,74 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, width: int = 5) -> Data
 
     Texts of the same lower-cased words are one class. Classes are joined by the trie join
     on word fingerprints, which differ in few bits where a few words do, unlike those of
-    shingles; a spanning forest of least distances is kept, and of its links those stay whose
-    sets of ``width``-word shingles have a Jaccard similarity of ``threshold`` or more.
-    Texts with no words are one class. Rows with a null id are never copies.
+    shingles. All links within the radius are tried, and those stay whose sets of
+    ``width``-word shingles have a Jaccard similarity of ``threshold`` or more. A spanning
+    forest of least distances is tried first: what its similar links hold together need not be
+    tried pair by pair. Texts with no words are one class. Rows with a null id are never copies.
     """
 
     def run(rows: dict[str, list]) -> dict[str, list]:
-        words = [words_of(lower_ascii(t or "")) for t in rows["text"]]
-        fps = [word_fingerprint(w) for w in words]
-        same = [xxhash.xxh3_128_hexdigest(" ".join(w).encode()) for w in words]
-        return {"doc_id": rows["doc_id"], "same": same, "fp": [x - (1 << 64) if x >> 63 else x for x in fps]}
-
-    rows = materialise(map_rows(docs.select("doc_id", "text").where("doc_id is not null"), run, "doc_id long, same string, fp long"), "words")
-    classes = materialise(rows.groupBy("same").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n")), "classes")
-    heads = classes.groupBy("fp").agg(F.min("least").alias("head"))
-    # classes of one fingerprint hang from its head, fingerprints from each other; classes go by their least id
-    inside = classes.join(heads, "fp").where("least <> head").select(F.col("head").alias("a"), F.col("least").alias("b"))
-    forest = link_forest(classes.select("fp").distinct(), WORD_RADIUS, nearest=True).distinct()
-    across = forest.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b")
-    links = materialise(inside.unionByName(across.select(F.col("x").alias("a"), F.col("y").alias("b"))), "links")
+        out: dict[str, list] = {"doc_id": rows["doc_id"], "same": [], "alike": [], "fp": [], "size": [], "bits": []}
+        for t in rows["text"]:
+            words = words_of(lower_ascii(t or ""))
+            fp = word_fingerprint(words)
+            found = shingle_hashes(words, {w: xxhash.xxh64_intdigest(w.encode(), 42) for w in set(words)}, width)
+            out["same"].append(xxhash.xxh3_128_hexdigest(" ".join(words).encode()))
+            out["alike"].append(xxhash.xxh3_128_hexdigest(found.tobytes()))
+            out["fp"].append(fp - (1 << 64) if fp >> 63 else fp)
+            out["size"].append(len(found))
+            out["bits"].append(bitmap(found))
+        return out
+
+    schema = "doc_id long, same string, alike string, fp long, size int, bits binary"
+    rows = materialise(map_rows(docs.select("doc_id", "text").where("doc_id is not null"), run, schema), "words")
+    # equal words have equal hashes, fingerprints and bitmaps; classes go by their least id
+    facts = [F.min(c).alias(c) for c in ("alike", "fp", "size", "bits")]
+    classes = materialise(rows.groupBy("same").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), *facts), "classes")
 
     def shingle_sets(rows: dict[str, list]) -> dict[str, list]:
         return {"doc_id": rows["doc_id"], "sh": [sorted({xxhash.xxh64_intdigest(x) - (1 << 63) for x in shingles(t, width)}) for t in rows["text"]]}
 
-    ends = links.select(F.col("a").alias("doc_id")).unionByName(links.select(F.col("b").alias("doc_id"))).distinct()
-    few = ends.count() <= MAX_BROADCAST_IDS
-    texts = docs.select("doc_id", "text").join(F.broadcast(ends) if few else ends, "doc_id")
-    sets = materialise(map_rows(texts, shingle_sets, "doc_id long, sh array<long>").dropDuplicates(["doc_id"]), "sets")
-    both = links.join(sets.select(F.col("doc_id").alias("a"), F.col("sh").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("sh").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    similar = both.where(shared >= F.lit(threshold) * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
-    roots = connected_components(similar)
+    def agreeing(rows: dict[str, list]) -> dict[str, list]:
+        both = [(x, y) for x, a, n, y, b, m in zip(*(rows[c] for c in ("x", "bits_x", "size_x", "y", "bits_y", "size_y")), strict=True) if may_agree(a, n, b, m, threshold)]
+        return {"a": [x for x, _ in both], "b": [y for _, y in both]}
+
+    def side(c: str) -> DataFrame:
+        return classes.select(F.col("fp").alias("a" if c == "x" else "b"), F.col("least").alias(c), F.col("size").alias(f"size_{c}"), F.col("bits").alias(f"bits_{c}"))
+
+    def similar(pairs: DataFrame, name: str) -> DataFrame:
+        """Those of ``pairs(x, bits_x, size_x, y, bits_y, size_y)`` that pass, as ``a, b``: by bitmaps, then by the texts' shingles."""
+        close = F.least("size_x", "size_y") + F.lit(1e-6) >= F.lit(threshold) * F.greatest("size_x", "size_y")
+        links = materialise(map_rows(pairs.where(close), agreeing, "a long, b long"), f"{name}_links")
+        ends = links.select(F.col("a").alias("doc_id")).unionByName(links.select(F.col("b").alias("doc_id"))).distinct()
+        few = ends.count() <= MAX_BROADCAST_IDS
+        texts = docs.select("doc_id", "text").join(F.broadcast(ends) if few else ends, "doc_id")
+        sets = materialise(map_rows(texts, shingle_sets, "doc_id long, sh array<long>").dropDuplicates(["doc_id"]), f"{name}_sets")
+        both = links.join(sets.select(F.col("doc_id").alias("a"), F.col("sh").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("sh").alias("sb")), "b")
+        shared = F.size(F.array_intersect("sa", "sb"))
+        return materialise(both.where(shared >= F.lit(threshold) * (F.size("sa") + F.size("sb") - shared)).select("a", "b"), f"{name}_similar")
+
+    # classes of the same shingles hang from the least of them
+    first = classes.where("size > 0").groupBy("alike").agg(F.min("least").alias("a"))
+    equal = classes.join(first, "alike").where("least <> a").select("a", F.col("least").alias("b"))
+    forest = link_forest(classes.select("fp").distinct(), WORD_RADIUS, nearest=True).distinct()
+    heads = classes.groupBy("fp").agg(F.min("least").alias("head"))
+    ends = [side(c).join(heads.select(F.col("head").alias(c)), c) for c in "xy"]
+    known = materialise(equal.unionByName(similar(forest.join(ends[0], "a").join(ends[1], "b"), "forest")), "known")
+    roots = connected_components(known)
+    labels = classes.join(roots.withColumnRenamed("node", "least"), "least", "left").select("least", "fp", "size", F.coalesce("root", "least").alias("label"))
+    labels = materialise(labels, "labels")
+    one_label = F.when(F.min("label") == F.max("label"), F.min("label"))
+    fps = materialise(labels.groupBy("fp").agg(one_label.alias("label"), F.min("size").alias("least_size"), F.max("size").alias("most_size")), "fps")
+    inside = fps.where("label is null").select(F.col("fp").alias("a"), F.col("fp").alias("b"))
+    named_x, named_y = (labels.select(F.col("least").alias(c), F.col("label").alias(f"label_{c}")) for c in "xy")
+    links = materialise(open_links(fps, WORD_RADIUS, threshold).unionByName(inside), "open")
+    left = links.join(side("x").join(named_x, "x"), "a").join(side("y").join(named_y, "y"), "b").where("label_x <> label_y and (a <> b or x < y)")
+    roots = connected_components(known.unionByName(similar(left.drop("a", "b", "label_x", "label_y"), "open")))
     least = roots.groupBy("root").agg(F.min("node").alias("component_id"))
     moved = materialise(roots.join(least, "root").select(F.col("node").alias("least"), "component_id"), "moved")
     named = classes.join(moved, "least", "left").select("same", "n", F.coalesce("component_id", "least").alias("component_id"))
-    return place(rows, named, "same").where("doc_id <> component_id").select("doc_id", "component_id")
+    return place(rows.select("doc_id", "same"), named, "same").where("doc_id <> component_id").select("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, threshold: float = 0.8, width: int = 5) -> DataFrame:

@@ -176,6 +176,53 @@ def test_near_copies_by_shingles(spark):
     assert {(r["doc_id"], r["component_id"]) for r in simhash_dedup.near_copies(docs).collect()} == {(1, 0), (2, 0)}
 
 
+def test_near_copies_past_nearer_unlike_texts(spark):
+    """Similar texts that hang together through unlike ones of nearer fingerprints, or share one with them, are found."""
+    rng = random.Random(3)
+    words = [rng.choice("abcdefgh") + str(rng.randrange(500)) for _ in range(300)]
+    near = [*words[:100], "changed", *words[101:]]
+    unlike = [[*words] for _ in range(3)]
+    for w in unlike:
+        rng.shuffle(w)
+    texts = [unlike[0], words, unlike[1], near, unlike[2]]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    # unlike texts of the same words share a fingerprint with the first of the similar two
+    assert len({simhash_dedup.word_fingerprint(w) for w in texts[:3]}) == 1
+    assert {(r["doc_id"], r["component_id"]) for r in simhash_dedup.near_copies(docs).collect()} == {(3, 1)}
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_bitmaps_never_rule_out_similar_sets(seed):
+    rng = np.random.default_rng(seed)
+    for size in (1, 3, 60, 64, 65, 500):
+        every = np.unique(rng.integers(0, 2**64, 2 * size, dtype=np.uint64))
+        for drop in (0, 1, size // 10, size // 5, size):
+            a, b = every[: len(every) - drop], every[drop // 3 :]
+            shared, union = len(np.intersect1d(a, b)), len(every)
+            if len(a) and len(b) and shared >= 0.8 * union:
+                assert simhash_dedup.may_agree(simhash_dedup.bitmap(a), len(a), simhash_dedup.bitmap(b), len(b), 0.8)
+    a, b = (rng.integers(0, 2**64, 500, dtype=np.uint64) for _ in range(2))
+    assert not simhash_dedup.may_agree(simhash_dedup.bitmap(a), 500, simhash_dedup.bitmap(b), 500, 0.8)
+
+
+def test_open_links_are_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**64, 12, dtype=np.uint64)
+    x = base[rng.integers(0, 12, 150)]
+    for _ in range(5):
+        x = x ^ (np.uint64(1) << rng.integers(0, 64, 150, dtype=np.uint64)) * (rng.random(150) < 0.7).astype(np.uint64)
+    x = np.unique(x)
+    label, size = rng.integers(0, 40, len(x)), rng.integers(5, 9, len(x))
+    rows = [(int(v), int(k) if k else None, int(n), int(n)) for v, k, n in zip(x.view(np.int64), label, size, strict=True)]
+    fps = spark.createDataFrame(rows, "fp long, label long, least_size int, most_size int")
+    want = {
+        tuple(sorted((a[0], b[0]))) for a, b in itertools.combinations(rows, 2)
+        if ((a[0] ^ b[0]) & (2**64 - 1)).bit_count() <= 7 and (a[1] != b[1] or a[1] is None) and min(a[2], b[2]) >= 0.8 * max(a[2], b[2])
+    }
+    got = [tuple(sorted((r["a"], r["b"]))) for r in simhash_dedup.open_links(fps, 7, 0.8).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.tuples(TEXTS, TEXTS), max_size=5))
 def test_chat_template_is_reversible(turns):
