@@ -1,11 +1,18 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms are chosen from labelled rows: words that stand in clearly more contexts of toxic
-texts than of others. Counting distinct contexts (the words around) instead of occurrences
-keeps copies of one text from making its words look toxic. Labelled examples become TF-IDF
-vectors over these terms in a block-max inverted index, which finds the exact nearest
-examples: blocks are visited by their upper bound until no block can hold a nearer one.
-Votes weighted by similarity and smoothed towards the base rate give a score and its evidence.
+Every word of a text, and the beginnings of long words, are terms. A term's weight is its
+TF-IDF times a *relevance*: a floor that all terms have, and more where a word stands in clearly
+more contexts of toxic than of other labelled texts. No term is left out. Plain TF-IDF, with
+equal relevances, finds neighbours by subject instead (see the README's figures). Counting
+distinct contexts (the words around) instead of occurrences keeps copies of one text from
+making its words look toxic.
+
+Labelled examples form a block-max inverted index: for each term, the blocks of examples that
+have it, its largest weight in each, and its postings there. A search bounds every block by
+the query's terms, then reads blocks from the highest bound down, until the next bound is below
+the worst of the k nearest: the neighbours are exact. Their votes, weighted by similarity, are
+calibrated by a logistic curve that is fitted on examples voted on by other folds only, with
+relevances of those other folds.
 """
 
 from __future__ import annotations
@@ -13,7 +20,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Container
+from collections.abc import Iterable
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -27,22 +34,25 @@ _TERM = re.compile(r"\w+")
 FOLDS = 5
 #: Lengths of the beginnings that count as terms.
 STEMS = (5, 7)
-#: Least numbers of words with a chosen term, and the weight of that number beside the terms.
-INTENSITY, INTENSITY_WEIGHT = (1, 2, 3, 5), 2.0
 
 
 @dataclass(frozen=True)
 class Options:
-    """``max_examples`` bounds the labelled rows of each class that are learned from (those of least hash)."""
+    """Bounds on the labelled rows learned from (those of least hash) and constants of the vote.
 
-    max_examples: int = 4000
-    max_terms: int = 512
-    min_contexts: int = 8
-    min_ratio: float = 5.0
-    min_g2: float = 30.0
+    ``max_examples`` of each label are indexed, ``max_weighed`` of each label give the terms'
+    relevances, ``calibrate`` of each label and fold are voted on for the calibration.
+    """
+
+    max_examples: int = 1000
+    max_weighed: int = 4000
     neighbours: int = 15
     smoothing: float = 1.0
-    block: int = 64
+    block: int = 32
+    floor: float = 0.02
+    caution: float = 3.0
+    folds: int = 3
+    calibrate: int = 120
 
 
 def terms_of(text: str | None) -> list[str]:
@@ -55,169 +65,278 @@ def features_of(word: str) -> tuple[str, ...]:
     return (word, *[word[:k] + "*" for k in STEMS if len(word) > k])
 
 
-def count_terms(words: list[str], chosen: Container[str]) -> Counter:
-    """Chosen terms of a text, and how many of its words have one as a further term ("#1", "#2", "#3", "#5": at least)."""
+def count_terms(words: Iterable[str]) -> Counter:
+    """How often a text has each term."""
     found: Counter = Counter()
-    hits = 0
     for word, n in Counter(words).items():
-        before = len(found), found.total()
-        if word in chosen:
-            found[word] += n
-        for k in STEMS:
-            if len(word) > k and (stem := word[:k] + "*") in chosen:
-                found[stem] += n
-        hits += n * (before != (len(found), found.total()))
-    if hits:
-        found[f"#{max(x for x in INTENSITY if x <= hits)}"] = 1
+        for term in features_of(word):
+            found[term] += n
     return found
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All positions of the ranges (start, size), and the range that each is of."""
+    owner = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(owner)) + np.repeat(start - np.cumsum(size) + size, size), owner
+
+
 class BlockMaxIndex:
-    """Unit vectors by term, with the largest weight of each term in each block of consecutive examples."""
+    """Unit vectors by term, cut into blocks of consecutive examples, with the largest weight of each term in each block."""
 
-    def __init__(self, vectors: list[dict[int, float]], n_terms: int, block: int) -> None:
-        self.block, self.n = block, len(vectors)
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int) -> None:
+        """``vectors``: term numbers and weights of each example."""
+        self.n, self.block = len(vectors), block
         self.blocks = -(-self.n // block)
-        self.postings: list[tuple[np.ndarray, np.ndarray]] = []
-        by_term: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for i, v in enumerate(vectors):
-            for t, w in v.items():
-                by_term[t].append((i, w))
-        self.highest = np.zeros((n_terms, self.blocks))
-        for t, found in enumerate(by_term):
-            ids = np.array([i for i, _ in found], np.int64)
-            weights = np.array([w for _, w in found])
-            np.maximum.at(self.highest[t], ids // block, weights)
-            self.postings.append((ids, weights))
-
-    def nearest(self, query: dict[int, float], k: int) -> list[tuple[int, float]]:
+        none = [np.zeros(0, np.int64)]
+        example = np.repeat(np.arange(self.n), [len(t) for t, _ in vectors])
+        term = np.concatenate(none + [t for t, _ in vectors])
+        order = np.lexsort((example, term))
+        self.example = example[order].astype(np.int32)
+        self.weight = np.concatenate([*none, *[w for _, w in vectors]])[order].astype(np.float64)
+        term = term[order]
+        key = term * max(1, self.blocks) + self.example // block
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        #: Of each (term, block) entry: its block, its largest weight, and where its postings begin and how many there are.
+        self.entry_block = (self.example[first] // block).astype(np.int32)
+        self.entry_max = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.entry_start = first
+        self.entry_size = np.diff(np.append(first, len(term)))
+        self.term_start = np.searchsorted(term[first], np.arange(n_terms + 1))
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[int, float]]:
         """The k nearest examples with a positive cosine, nearest first, lower positions first on ties; exact."""
-        terms = list(query)
-        bounds = np.array([query[t] for t in terms]) @ self.highest[terms]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or (len(best) == k and bounds[b] < -best[-1][0] - 1e-12):
+        entry, of = _ranges(self.term_start[terms], self.term_start[terms + 1] - self.term_start[terms])
+        if not len(entry):
+            return []
+        block, weight = self.entry_block[entry], weights[of]
+        bounds = np.bincount(block, weight * self.entry_max[entry], self.blocks)
+        order = np.argsort(-bounds, kind="stable")
+        best, score, done, wave = np.zeros(0, np.int64), np.zeros(self.n), 0, 4
+        while done < self.blocks and bounds[order[done]] > 0:
+            if len(best) == k and bounds[order[done]] < score[best[-1]] - 1e-12:
                 break
-            low, high = b * self.block, min(self.n, (b + 1) * self.block)
-            score = np.zeros(high - low)
-            for t in terms:
-                ids, weights = self.postings[t]
-                i, j = np.searchsorted(ids, (low, high))
-                score[ids[i:j] - low] += query[t] * weights[i:j]
-            best = sorted(best + [(-score[i], low + int(i)) for i in np.flatnonzero(score > 0)])[:k]
-        return [(i, -s) for s, i in best]
+            chosen = np.zeros(self.blocks, bool)
+            chosen[order[done : done + wave]] = True
+            mine = np.flatnonzero(chosen[block])
+            at, owner = _ranges(self.entry_start[entry[mine]], self.entry_size[entry[mine]])
+            score += np.bincount(self.example[at], weight[mine][owner] * self.weight[at], self.n)
+            done, wave = done + wave, 4 * wave
+            top = np.flatnonzero(score > 0)
+            if len(top) > k:
+                least = np.partition(score[top], len(top) - k)[len(top) - k]
+                top = top[score[top] >= least]
+            best = top[np.lexsort((top, -score[top]))][:k]
+        return [(int(i), float(score[i])) for i in best]
+
+
+@dataclass
+class Example:
+    """A labelled row: its term numbers and counts, and how many labelled rows it stands for."""
+
+    doc_id: int
+    label: int
+    fold: int
+    terms: np.ndarray
+    counts: np.ndarray
+    rate: float
+
+
+class Space:
+    """Weighted vectors of examples, their index, and votes of the nearest."""
+
+    def __init__(self, examples: list[Example], n_terms: int, relevance: np.ndarray, options: Options) -> None:
+        self.options = options
+        df = np.bincount(np.concatenate([np.zeros(0, np.int64), *[e.terms for e in examples]]), minlength=n_terms)
+        self.scale = (np.log((1 + len(examples)) / (1 + df)) + 1) * relevance
+        vectors = [self.vector(e.terms, e.counts) for e in examples]
+        # alike examples in a block give tight bounds: by label, then by the heaviest term
+        heaviest = [int(t[np.argmax(w)]) if len(t) else -1 for t, w in vectors]
+        order = sorted(range(len(examples)), key=lambda i: (examples[i].label, heaviest[i], examples[i].doc_id))
+        self.ids = [examples[i].doc_id for i in order]
+        self.labels = np.array([examples[i].label for i in order], float)
+        self.rates = np.array([examples[i].rate for i in order])
+        self.prior = float((self.labels @ self.rates + 0.5) / (self.rates.sum() + 1)) if order else 0.0
+        self.index = BlockMaxIndex([vectors[i] for i in order], n_terms, options.block)
+
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Unit vector of term counts."""
+        w = (1 + np.log(counts)) * self.scale[terms]
+        return terms, w / (math.sqrt(float(w @ w)) or 1.0)
+
+    def vote(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[int]]:
+        """Share of toxic among the nearest examples, weighted by similarity and smoothed towards the prior; their positions."""
+        near = self.index.nearest(*self.vector(terms, counts), self.options.neighbours)
+        at = [i for i, _ in near]
+        w = np.array([s for _, s in near]) * self.rates[at] / max(self.rates.max(initial=1.0), 1.0)
+        return float((w @ self.labels[at] + self.options.smoothing * self.prior) / (w.sum() + self.options.smoothing)), at
+
+
+def logit(p: float) -> float:
+    p = min(max(p, 1e-4), 1 - 1e-4)
+    return math.log(p / (1 - p))
+
+
+def fit_curve(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
+    """Offset and slope (0 at least) of the logistic curve from logits of votes to probabilities; a slight pull to the identity."""
+    a, b = 0.0, 1.0
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(a + b * votes, -30, 30)))
+        g = np.array([weights @ (p - labels) + 0.1 * a, weights @ ((p - labels) * votes) + 0.1 * (b - 1)])
+        s = weights * p * (1 - p)
+        h = np.array([[s.sum() + 0.1, s @ votes], [s @ votes, s @ (votes * votes) + 0.1]])
+        step = np.linalg.solve(h, g)
+        a, b = a - float(np.clip(step[0], -2, 2)), b - float(np.clip(step[1], -2, 2))
+        if np.abs(step).max() < 1e-6:
+            break
+    return a, max(b, 0.0)
 
 
 class Model:
-    """Terms, labelled examples and their index."""
+    """The space of labelled examples and the calibration of its votes."""
 
-    def __init__(self, terms: list[str], examples: list[tuple[int, int, dict[str, int]]], rates: dict[int, float], options: Options) -> None:
-        """``examples``: (doc_id, label, counts of chosen terms); ``rates``: labelled rows an example of a label stands for."""
+    def __init__(self, terms: list[str], examples: list[Example], contexts: dict[str, tuple[np.ndarray, np.ndarray]], totals: tuple[np.ndarray, np.ndarray], options: Options) -> None:
+        """``contexts``: by term, the contexts of other and of toxic texts in each fold; ``totals``: the same of all terms."""
         self.options = options
-        terms = [*terms, *[f"#{x}" for x in INTENSITY]]
         self.terms = {t: i for i, t in enumerate(terms)}
-        n = len(examples)
-        df = Counter(t for _, _, counts in examples for t in counts)
-        self.idf = [math.log((1 + n) / (1 + df[t])) + 1 for t in terms]
-        blank = [(y, rates[y]) for _, y, counts in examples if not counts]
-        self.base = (sum(r for y, r in blank if y) + 0.5) / (sum(r for _, r in blank) + 1)
-        self.base = min(self.base, 0.49)
-        known = sorted((e for e in examples if e[2]), key=lambda e: (sorted(e[2]), e[0]))
-        self.ids = [e[0] for e in known]
-        self.labels = np.array([e[1] for e in known], float)
-        self.weights = np.array([rates[e[1]] for e in known])
-        self.index = BlockMaxIndex([self.vector(e[2]) for e in known], len(terms), options.block)
-        self._seen: dict[tuple, tuple[float, list]] = {}
-
-    def vector(self, counts: dict[str, int]) -> dict[int, float]:
-        """Unit TF-IDF vector of term counts."""
-        v = {self.terms[t]: (1 + math.log(c)) * self.idf[self.terms[t]] * (INTENSITY_WEIGHT if t[0] == "#" else 1) for t, c in counts.items()}
-        size = math.sqrt(sum(w * w for w in v.values())) or 1.0
-        return {t: w / size for t, w in v.items()}
-
-    def counts(self, words: list[str]) -> Counter:
-        """Chosen terms of a text."""
-        return count_terms(words, self.terms)
+        known = [(self.terms[t], n0, n1) for t, (n0, n1) in contexts.items() if t in self.terms]
+        at = np.array([i for i, _, _ in known], np.int64)
+        n0, n1 = (np.array([x[k] for x in known], float).reshape(-1, options.folds) for k in (1, 2))
+        everything = np.ones(options.folds)
+
+        def space(those: list[Example], folds: np.ndarray) -> Space:
+            relevance = np.full(len(terms), options.floor)
+            relevance[at] += self._relevance(n0 @ folds, n1 @ folds, float(totals[0] @ folds), float(totals[1] @ folds))
+            return Space(those, len(terms), relevance, options)
+
+        self.space = space(examples, everything)
+        votes, labels, weights = [], [], []
+        for f in range(options.folds):
+            mine = [e for e in examples if e.fold == f]
+            if not mine or len({e.label for e in examples if e.fold != f}) < 2:
+                continue
+            other = space([e for e in examples if e.fold != f], everything - (np.arange(options.folds) == f))
+            for y in (0, 1):
+                asked = [e for e in mine if e.label == y][: options.calibrate]
+                share = sum(e.rate for e in mine if e.label == y) / max(1, len(asked))
+                for e in asked:
+                    votes.append(logit(other.vote(e.terms, e.counts)[0]))
+                    labels.append(y)
+                    weights.append(share)
+        self.curve = (0.0, 1.0)
+        if len(set(labels)) == 2:
+            w = np.array(weights)
+            self.curve = fit_curve(np.array(votes), np.array(labels, float), w * len(w) / w.sum())
+        self._numbers: dict[str, tuple[int, ...]] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_numbers": {}}
+
+    def _relevance(self, n0: np.ndarray, n1: np.ndarray, t0: float, t1: float) -> np.ndarray:
+        """Square of how far the log ratio of context rates stays above zero after ``caution`` standard errors."""
+        ratio = np.log((n1 + 0.5) / (t1 + 1)) - np.log((n0 + 0.5) / (t0 + 1))
+        return np.maximum(0, ratio - self.options.caution * np.sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5))) ** 2
+
+    def numbers(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of a text's terms that some example has, ascending, and their counts."""
+        if len(self._numbers) > 200_000:
+            self._numbers.clear()
+        met, flat, often = self._numbers, [], []
+        for word, n in Counter(words).items():
+            if (own := met.get(word)) is None:
+                own = met[word] = tuple(self.terms[t] for t in features_of(word) if t in self.terms)
+            flat += own
+            often += [n] * len(own)
+        terms, where = np.unique(np.array(flat, np.int64), return_inverse=True)
+        return terms, np.bincount(where, np.array(often, float), len(terms))
 
     def score(self, text: str | None) -> tuple[float, list[int]]:
-        """Score of a text and the ids of its three nearest examples."""
-        counts = self.counts(terms_of(text))
-        if not counts or not self.ids:
-            return self.base, []
-        key = tuple(sorted(counts.items()))
-        if key not in self._seen:
-            near = self.index.nearest(self.vector(counts), self.options.neighbours)
-            at = [i for i, _ in near]
-            w = np.array([s for _, s in near]) * self.weights[at] / self.weights.max()
-            score = float((w @ self.labels[at] + self.options.smoothing * self.base) / (w.sum() + self.options.smoothing))
-            if len(self._seen) > 20_000:
-                self._seen.clear()
-            self._seen[key] = (score, [self.ids[i] for i in at[:3]])
-        return self._seen[key]
-
-
-def labelled_sample(docs: DataFrame, labels: DataFrame, options: Options) -> tuple[DataFrame, dict[int, float]]:
-    """Texts of the labelled rows learned from, and how many labelled rows each stands for by label."""
+        """Calibrated probability that a text is toxic, and the ids of its three nearest examples."""
+        if not self.space.ids:
+            return 0.0, []
+        vote, at = self.space.vote(*self.numbers(terms_of(text)))
+        a, b = self.curve
+        p = 1 / (1 + math.exp(-min(30.0, max(-30.0, a + b * logit(vote)))))
+        return p, [self.space.ids[i] for i in at[:3]]
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, options: Options) -> tuple[DataFrame, dict[int, int]]:
+    """Texts of the labelled rows learned from with their place by hash among those of their label, and how many rows have each label."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id"), FOLDS)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    parts = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(options.max_examples) for y in (0, 1)]
-    sample = parts[0].unionByName(parts[1])  # at most 2 * max_examples rows
-    rates = {y: max(1.0, sizes.get(y, 0) / options.max_examples) for y in (0, 1)}
-    return materialise(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), "labelled"), rates
+    rank = F.monotonically_increasing_id()
+    parts = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(options.max_weighed).coalesce(1).withColumn("place", rank) for y in (0, 1)]
+    sample = parts[0].unionByName(parts[1])  # at most 2 * max_weighed rows
+    return materialise(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]), "labelled"), sizes
+
 
+def fold_of(doc_id: int, folds: int) -> int:
+    return crc32(f"fold {doc_id}".encode()) % folds
 
-def choose_terms(sample: DataFrame, options: Options) -> list[str]:
-    """Words in clearly more contexts of toxic than of other texts, most telling first; at most ``max_terms``."""
+
+def count_contexts(sample: DataFrame, options: Options) -> tuple[dict[str, tuple[np.ndarray, np.ndarray]], tuple[np.ndarray, np.ndarray]]:
+    """Distinct contexts of each term by label and fold, of the terms that can be relevant, and of all terms together."""
 
     def contexts(rows: dict[str, list]) -> dict[str, list]:
-        seen: dict[tuple[str, int], set] = {}
-        for text, y in zip(rows["text"], rows["toxic"], strict=True):
+        seen: dict[tuple[str, int, int], set] = {}
+        for doc_id, text, y in zip(rows["doc_id"], rows["text"], rows["toxic"], strict=True):
             words = ["", *terms_of(text), ""]
+            f = fold_of(doc_id, options.folds)
             for i in range(1, len(words) - 1):
                 around = crc32(f"{words[i - 1]} {words[i + 1]}".encode())
                 for term in features_of(words[i]):
-                    seen.setdefault((term, y), set()).add(around)
-        flat = [(w, y, a) for (w, y), around in seen.items() for a in around]
-        return {k: [x[i] for x in flat] for i, k in enumerate(("term", "toxic", "around"))}
-
-    spread = map_rows(sample.select("text", "toxic"), contexts, "term string, toxic int, around long").distinct()
-    totals = {r["toxic"]: r["n"] for r in spread.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    t1, t0 = totals.get(1, 0), totals.get(0, 0)
-    if not t1:
-        return []
-    counts = spread.groupBy("term").agg(F.sum("toxic").alias("n1"), F.sum(1 - F.col("toxic")).alias("n0"))
-    n1, n0 = F.col("n1"), F.col("n0")
-    expected1, expected0 = (n1 + n0) * t1 / (t1 + t0), (n1 + n0) * t0 / (t1 + t0)
-    g2 = 2 * (n1 * F.log(n1 / expected1) + F.when(n0 > 0, n0 * F.log(n0 / expected0)).otherwise(0.0))
-    ratio = ((n1 + 0.5) / (t1 + 1)) / ((n0 + 0.5) / (t0 + 1))
-    telling = counts.where(n1 >= options.min_contexts).withColumn("g2", g2).where((ratio >= options.min_ratio) & (F.col("g2") >= options.min_g2))
-    return [r["term"] for r in telling.orderBy(F.desc("g2"), "term").limit(options.max_terms).select("term").collect()]
+                    seen.setdefault((term, y, f), set()).add(around)
+        flat = [(w, y, f, a) for (w, y, f), around in seen.items() for a in around]
+        return {k: [x[i] for x in flat] for i, k in enumerate(("term", "toxic", "fold", "around"))}
+
+    spread = map_rows(sample.select("doc_id", "text", "toxic"), contexts, "term string, toxic int, fold int, around long").groupBy("term", "around", "toxic").agg(F.min("fold").alias("fold"))
+    cells = [F.count_if((F.col("toxic") == y) & (F.col("fold") == f)).alias(f"n{y}_{f}") for y in (0, 1) for f in range(options.folds)]
+    counts = materialise(spread.groupBy("term").agg(*cells), "contexts")
+    names = [[f"n{y}_{f}" for f in range(options.folds)] for y in (0, 1)]
+    totals = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for cs in names for c in cs]).first()
+    often = sum((F.col(c) for c in names[1]), F.lit(0))
+    found = {r["term"]: tuple(np.array([r[c] for c in cs], float) for cs in names) for r in counts.where(often >= 3).collect()}
+    return found, tuple(np.array([totals[c] for c in cs], float) for cs in names)
 
 
 def fit(docs: DataFrame, labels: DataFrame, options: Options = Options()) -> Model:
-    """Learn from the labelled rows outside the held-out fold; at most ``max_examples`` of each label reach the driver, as counts of chosen terms."""
-    sample, rates = labelled_sample(docs, labels, options)
-    terms = choose_terms(sample, options)
-    chosen = set(terms)
+    """Learn, at once, from labelled rows outside the held-out fold.
 
-    def count(rows: dict[str, list]) -> dict[str, list]:
-        return {"doc_id": rows["doc_id"], "toxic": rows["toxic"], "counts": [list(count_terms(terms_of(t), chosen).items()) for t in rows["text"]]}
+    To the driver go the term counts of ``max_examples`` rows of each label, and the contexts of
+    terms in three or more toxic contexts of ``max_weighed`` rows of each label.
+    """
+    sample, sizes = labelled_sample(docs, labels, options)
+    contexts, totals = count_contexts(sample, options)
 
-    vectors = map_rows(sample.select("doc_id", "toxic", "text"), count, "doc_id long, toxic int, counts map<string, int>")
-    vectors = vectors.limit(4 * options.max_examples)
-    return Model(terms, [(r["doc_id"], r["toxic"], r["counts"]) for r in vectors.collect()], rates, options)
+    def count(rows: dict[str, list]) -> dict[str, list]:
+        found = [count_terms(terms_of(t)) for t in rows["text"]]
+        return {"doc_id": rows["doc_id"], "toxic": rows["toxic"], "terms": [list(c) for c in found], "counts": [list(c.values()) for c in found]}
+
+    indexed = sample.where(F.col("place") < options.max_examples).select("doc_id", "toxic", "text")
+    table = map_rows(indexed, count, "doc_id long, toxic int, terms array<string>, counts array<int>").toArrow()
+    terms: dict[str, int] = {}
+    examples = []
+    taken = {y: max(1, min(sizes.get(y, 0), options.max_examples)) for y in (0, 1)}
+    for batch in table.to_batches(max_chunksize=100):
+        for doc_id, label, own, counts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            numbers = np.array([terms.setdefault(t, len(terms)) for t in own], np.int64)
+            examples.append(Example(doc_id, label, fold_of(doc_id, options.folds), numbers, np.array(counts, float), sizes[label] / taken[label]))
+    examples.sort(key=lambda e: e.doc_id)
+    return Model(list(terms), examples, contexts, totals, options)
 
 
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """Return ``doc_id, held_out, score, predicted, evidence`` for every row of ``docs(doc_id, text)``.
 
-    Null and empty texts, and texts without a chosen term, get the base rate of such examples.
-    Repeated rows stay repeated, an empty table gives an empty result, other columns are
-    ignored. ``evidence`` has the ids of the three nearest labelled examples.
+    Null and empty texts, and texts without a known term, have no neighbours: their vote is the
+    prior. Very long texts are scored whole. Repeated rows stay repeated, an empty table gives
+    an empty result, other columns are ignored; without labelled rows all scores are zero.
+    Ties between neighbours go to the one of lower position in the index. ``evidence`` has the
+    ids of the three nearest labelled examples.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(rows: dict[str, list]) -> dict[str, list]:
-        found = [model.score(t) for t in rows["text"]]
+        found = [shared.value.score(t) for t in rows["text"]]
         return {"doc_id": rows["doc_id"], "held_out": rows["held_out"], "score": [s for s, _ in found], "predicted": [int(s >= 0.5) for s, _ in found], "evidence": [e for _, e in found]}
 
     keyed = docs.select("doc_id", "text", held_out(F.col("doc_id"), FOLDS).alias("held_out"))
@@ -225,5 +344,9 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """Rows of ``docs``, all columns, that aren't predicted toxic."""
-    return keep_rows(docs, lambda texts: [model.score(t)[0] < 0.5 for t in texts])
+    """Rows of ``docs``, all columns (those of clashing names too), that aren't predicted toxic.
+
+    Null and empty texts stay, repeated rows stay or go together, an empty table gives an empty result.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return keep_rows(docs, lambda texts: [shared.value.score(t)[0] < 0.5 for t in texts])
