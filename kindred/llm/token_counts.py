@@ -7,18 +7,22 @@ last token of the text before it. A transition carries the number of tokens by w
 count of the prefix changes (it can be negative: a merge takes tokens back), so a text's
 count is the sum along its path.
 
-White space synchronises the transducer: no piece has a marker after another character,
-so the state after "character, marker" is the start state whatever came before. A chunk
-of text is thus summarised as a *state map*: the part before its first synchronising
-point (which depends on the entry state), a fixed count, and a fixed end state. State
-maps compose associatively; ``prefix_scan`` composes those of a text in a balanced tree.
+Every text is cut into chunks, and every chunk becomes a *state map*: a table from entry
+states to the end state and the tokens emitted on the way. White space synchronises the
+transducer (no piece has a marker after another character, so the state after "character,
+marker" is the start state whatever came before): the left context of a chunk, read from its
+last synchronising point, tells the entry state that its table is made for. Without such a
+point the state is a guess, and a table gets an entry for any other state that it is asked
+for. State maps compose associatively; ``prefix_scan`` composes those of a text in a balanced
+tree. Words between synchronising points are macro transitions from the start state to itself,
+kept by a worker with what they emit.
 """
 
 from __future__ import annotations
 
 import functools
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
@@ -26,8 +30,10 @@ from kindred.llm.common import map_rows
 
 MARK = "▁"
 _MARKED = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-#: Code points in a chunk of a long text.
-CHUNK = 1 << 16
+#: A character that is no marker and the marker after it.
+_SYNC = re.compile(f"[^{MARK}]{MARK}")
+#: Code points in a chunk, and those before it that are read for its entry state.
+CHUNK, CONTEXT = 1 << 12, 1 << 8
 #: States and words kept by a worker before it starts afresh.
 MAX_STATES, MAX_WORDS = 200_000, 1_000_000
 
@@ -120,14 +126,12 @@ class Transducer:
         return state, total
 
 
-@dataclass(frozen=True)
+@dataclass
 class StateMap:
-    """What a chunk does to any entry state: read ``head`` from it; if ``synced``, then add ``body`` and end in ``end``."""
+    """What a chunk, or the two maps that it is made of, does to entry states: ``table[entry] = (end, emitted)``."""
 
-    head: str
-    synced: bool = False
-    body: int = 0
-    end: int = Transducer.START
+    of: str | tuple[StateMap, StateMap]
+    table: dict[int, tuple[int, int]] = field(default_factory=dict)
 
 
 class WordCounts(dict):
@@ -150,16 +154,6 @@ class Counter:
         self.machine = Transducer(Vocabulary(model_path))
         self.words = WordCounts(self.machine)
 
-    def summarise(self, chunk: str) -> StateMap:
-        """State map of a chunk of marked text."""
-        cut = next((m.start() for m in re.finditer(f"(?<=[^{MARK}]){MARK}", chunk)), None)
-        if cut is None:
-            return StateMap(chunk)
-        last = max(m.start() for m in re.finditer(f"(?<=[^{MARK}]){MARK}", chunk))
-        body = self._whole(chunk[cut:last])
-        end, tail = self.machine.run(Transducer.START, chunk[last:])
-        return StateMap(chunk[:cut], True, body + tail, end)
-
     def _whole(self, marked: str) -> int:
         """Tokens of marked words that each begin in the start state."""
         if not marked:
@@ -169,12 +163,50 @@ class Counter:
         run = self.machine.run
         return sum(self.words[w[1:]] if w[1:2] != MARK else run(Transducer.START, w)[1] for w in _MARKED.findall(marked))
 
+    def read(self, state: int, chunk: str) -> tuple[int, int]:
+        """End state and emissions of a chunk of marked text: step by step to its first synchronising point and from its last, by words between."""
+        points = self._points(chunk)
+        if points is None:
+            return self.machine.run(state, chunk)
+        first, last = points
+        count = self.machine.run(state, chunk[:first])[1] if first else 0
+        end, tail = self.machine.run(Transducer.START, chunk[last:])
+        return end, count + self._whole(chunk[first:last]) + tail
+
+    @staticmethod
+    def _points(chunk: str) -> tuple[int, int] | None:
+        """Places of the first and the last marker after another character."""
+        first = _SYNC.search(chunk)
+        if not first:
+            return None
+        last = chunk.rfind(MARK)
+        while chunk[last - 1] == MARK:
+            last -= 1
+        return first.start() + 1, last
+
+    def summarise(self, chunk: str, before: str = "") -> StateMap:
+        """State map of a chunk, with the entry state that the text ``before`` it leads to."""
+        points = self._points(before)
+        entry = self.machine.run(Transducer.START, before[points[1] :] if points else before)[0]
+        return StateMap(chunk, {entry: self.read(entry, chunk)})
+
+    def apply(self, m: StateMap, state: int) -> tuple[int, int]:
+        """End state and emissions of a map from an entry state; worked out and kept if it isn't in the table yet."""
+        if state not in m.table:
+            if isinstance(m.of, str):
+                m.table[state] = self.read(state, m.of)
+            else:
+                middle, count = self.apply(m.of[0], state)
+                end, more = self.apply(m.of[1], middle)
+                m.table[state] = end, count + more
+        return m.table[state]
+
     def compose(self, a: StateMap, b: StateMap) -> StateMap:
         """First ``a``, then ``b``; associative."""
-        if not a.synced:
-            return StateMap(a.head + b.head, b.synced, b.body, b.end)
-        end, count = self.machine.run(a.end, b.head)
-        return StateMap(a.head, True, a.body + count + b.body, b.end) if b.synced else StateMap(a.head, True, a.body + count, end)
+        both = StateMap((a, b))
+        for state in list(a.table):
+            self.apply(both, state)
+        return both
 
     def prefix_scan(self, maps: list[StateMap]) -> list[StateMap]:
         """All inclusive prefixes of ``maps`` under ``compose``, by recursive doubling of pairs."""
@@ -189,26 +221,13 @@ class Counter:
         if not text:
             return 0
         if len(self.machine.states) > MAX_STATES:
+            self.words.clear()
             self.machine.reset()
         if len(self.words) > MAX_WORDS:
             self.words.clear()
         marked = MARK + text.replace(" ", MARK)
-        if len(marked) <= chunk:
-            return self._whole(marked)
-        maps = [self.summarise(marked[i : i + chunk]) for i in range(0, len(marked), chunk)]
-        # a cut before a marker hides the synchronising point between two chunks: the marker itself restores it
-        for i in range(1, len(maps)):
-            at = i * chunk
-            if marked[at] == MARK and marked[at - 1] != MARK:
-                maps[i] = self._from_start(marked[at : at + chunk])
-        total = self.prefix_scan(maps)[-1]
-        return self.machine.run(Transducer.START, total.head)[1] + total.body
-
-    def _from_start(self, chunk: str) -> StateMap:
-        """State map of a chunk that begins at a synchronising point."""
-        got = self.summarise(chunk)
-        end, count = self.machine.run(Transducer.START, got.head)
-        return StateMap("", True, count + got.body, got.end if got.synced else end)
+        maps = [self.summarise(marked[i : i + chunk], marked[max(0, i - CONTEXT) : i]) for i in range(0, len(marked), chunk)]
+        return self.apply(self.prefix_scan(maps)[-1], Transducer.START)[1]
 
 
 @functools.lru_cache(maxsize=2)
@@ -220,9 +239,9 @@ def counter(model_path: str) -> Counter:
 def token_counts(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFrame:
     """Return ``doc_id, n_bytes, n_tokens, over_limit`` for every row of ``docs(doc_id, text)``.
 
-    Null texts count as empty (0 bytes, 0 tokens); repeated rows stay repeated; an empty
-    table gives an empty result; other columns are ignored. No shuffle; memory per worker
-    is bounded by ``MAX_STATES`` and ``MAX_WORDS``.
+    Null texts count as empty (0 bytes, 0 tokens); very long texts are read whole, chunk by
+    chunk; repeated rows stay repeated; an empty table gives an empty result; other columns are
+    ignored. No shuffle; memory per worker is bounded by ``MAX_STATES`` and ``MAX_WORDS``.
     """
 
     def count(rows: dict[str, list]) -> dict[str, list]:
