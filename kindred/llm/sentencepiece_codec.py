@@ -3,7 +3,11 @@
 No piece has a white-space marker after another character, so a piece never crosses
 from one marked word (markers, then other characters) to the next. A worker keeps a
 table of the distinct marked words it has met; each is segmented once by the library,
-and texts are put together from the table by position, in both directions.
+and the ids of a text are put together from the table by position. Decoding is the library's,
+of all ids of a text together.
+
+The table is a worker's, not the corpus's: a joined table of all words would move every
+text's words over the network twice (see the README's figures).
 """
 
 from __future__ import annotations
@@ -11,6 +15,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+from itertools import chain
 
 from pyspark.sql import DataFrame
 
@@ -23,7 +28,7 @@ MAX_WORDS = 250_000
 
 
 class ChunkTable(dict):
-    """Marked word (without its first mark) -> (ids as text, number of ids, decoded text)."""
+    """Marked word (without its first mark) -> (ids as text, ids)."""
 
     def __init__(self, model_path: str) -> None:
         import sentencepiece
@@ -34,18 +39,13 @@ class ChunkTable(dict):
         if any(MARK in p.lstrip(MARK) for p in pieces):
             raise ValueError("pieces cross white space: words can't be segmented alone")
 
-    def __missing__(self, word: str) -> tuple[str, int, str]:
+    def __missing__(self, word: str) -> tuple[str, list[int]]:
         # the library puts a mark before the text itself; a lone mark can only come from it that way
-        if word:
-            ids = self.library.encode(word)
-            entry = (",".join(map(str, ids)), len(ids), " " + self.library.decode(ids))
-        else:
-            i = self.library.piece_to_id(MARK)
-            entry = (str(i), 1, " ")
-        self[word] = entry
+        ids = self.library.encode(word) if word else [self.library.piece_to_id(MARK)]
+        self[word] = entry = (",".join(map(str, ids)), ids)
         return entry
 
-    def entries(self, text: str | None) -> list[tuple[str, int, str]]:
+    def entries(self, text: str | None) -> list[tuple[str, list[int]]]:
         """Table entries of a text's marked words, in order."""
         if not text:
             return []
@@ -64,18 +64,22 @@ def chunk_table(model_path: str) -> ChunkTable:
 
 
 def encode_ids(docs: DataFrame, model_path: str) -> DataFrame:
-    """Return ``doc_id, ids array<int>`` of whole texts, without begin or end ids; null texts give an empty array."""
+    """Return ``doc_id, ids array<int>`` of whole texts, without begin or end ids.
+
+    Null and empty texts give an empty array, very long texts are encoded whole, repeated rows
+    stay repeated, an empty table gives an empty result, other columns are ignored.
+    """
 
     def run(rows: dict[str, list]) -> dict[str, list]:
         table = chunk_table(model_path)
-        ids = [[int(i) for e in table.entries(t) for i in e[0].split(",")] for t in rows["text"]]
+        ids = [list(chain.from_iterable(e[1] for e in table.entries(t))) for t in rows["text"]]
         return {"doc_id": rows["doc_id"], "ids": ids}
 
     return map_rows(docs.select("doc_id", "text"), run, "doc_id long, ids array<int>")
 
 
 def decode_ids(encoded: DataFrame, model_path: str) -> DataFrame:
-    """Return ``doc_id, text`` decoded from ``ids``; null ids give an empty text."""
+    """Return ``doc_id, text`` decoded from ``ids``; null or no ids give an empty text, repeated rows stay repeated, other columns are ignored."""
 
     def run(rows: dict[str, list]) -> dict[str, list]:
         return {"doc_id": rows["doc_id"], "text": [chunk_table(model_path).library.decode(list(i or [])) for i in rows["ids"]]}
@@ -86,17 +90,19 @@ def decode_ids(encoded: DataFrame, model_path: str) -> DataFrame:
 def codec_digest(docs: DataFrame, model_path: str) -> DataFrame:
     """Return ``doc_id, n_tokens, ids_sha256, decoded_sha256`` of the round trip of every text.
 
-    Null and empty texts have no ids (digests of the empty string). Repeated rows stay
-    repeated, an empty table gives an empty result, other columns are ignored.
+    Null and empty texts have no ids (digests of the empty string), very long texts are taken
+    whole. Repeated rows stay repeated, an empty table gives an empty result, other columns are
+    ignored.
     """
 
     def run(rows: dict[str, list]) -> dict[str, list]:
         table, n, ids, decoded = chunk_table(model_path), [], [], []
         for text in rows["text"]:
             found = table.entries(text)
-            n.append(sum([e[1] for e in found]))
+            whole = list(chain.from_iterable([e[1] for e in found]))
+            n.append(len(whole))
             ids.append(hashlib.sha256(",".join([e[0] for e in found]).encode()).hexdigest())
-            decoded.append(hashlib.sha256("".join([e[2] for e in found])[1:].encode()).hexdigest())
+            decoded.append(hashlib.sha256(table.library.decode(whole).encode()).hexdigest())
         return {"doc_id": rows["doc_id"], "n_tokens": n, "ids_sha256": ids, "decoded_sha256": decoded}
 
     return map_rows(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
