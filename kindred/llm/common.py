@@ -73,13 +73,17 @@ def held_out(doc_id: Column, folds: int) -> Column:
 
 
 def ensure_checkpoints(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: what the session says, else one of our own (local runs, tests)."""
+    """The shared folder for checkpoints: what the session says, else, in a local session only, one of our own."""
     sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="kindred-checkpoints-"))
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            import tempfile
+
+            at = tempfile.mkdtemp(prefix="kindred-checkpoints-")
+        sc.setCheckpointDir(at)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
