@@ -14,8 +14,12 @@ from kindred.options import NORM, NormOptions
 # Characters deleted, punctuation that becomes a space, scripts kept as they are written.
 ZERO_WIDTH = "​-‏‪-‮⁠-⁤﻿"
 DANDAS = "।॥،؛؟۔"
-PROTECTED = "DEVANAGARI BENGALI GURMUKHI GUJARATI ORIYA TAMIL TELUGU KANNADA MALAYALAM SINHALA MYANMAR KHMER THAI LAO TIBETAN ETHIOPIC CHEROKEE MONGOLIAN HANGUL HIRAGANA KATAKANA".split()
-_PROTECTED_START = tuple(PROTECTED)
+PROTECTED = ("DEVANAGARI", "BENGALI", "GURMUKHI", "GUJARATI", "ORIYA", "TAMIL", "TELUGU", "KANNADA", "MALAYALAM", "SINHALA", "MYANMAR", "KHMER", "THAI", "LAO", "TIBETAN", "ETHIOPIC", "CHEROKEE", "MONGOLIAN", "HANGUL", "HIRAGANA", "KATAKANA")
+# First and last code points of the marks that are kept where not all are.
+KEPT_MARKS = (
+    (0x0300, 0x036F), (0x0483, 0x0489), (0x0591, 0x05BD), (0x0610, 0x061A), (0x064B, 0x065F), (0x0670, 0x0670), (0x06D6, 0x06DC), (0x0900, 0x0903), (0x093A, 0x094F),
+    (0x0951, 0x0957), (0x0962, 0x0963), (0x0E31, 0x0E31), (0x0E34, 0x0E3A), (0x0E47, 0x0E4E), (0x1AB0, 0x1AFF), (0x1DC0, 0x1DFF), (0x20D0, 0x20F0), (0xFE00, 0xFE0F), (0xFE20, 0xFE2F),
+)
 
 
 def trimmed(c: str | Column) -> Column:
@@ -33,7 +37,7 @@ def norm_plain(c: str | Column) -> Column:
 
 
 def _is_protected(text: str) -> bool:
-    return any(not ch.isascii() and unicodedata.name(ch, "").startswith(_PROTECTED_START) for ch in text)
+    return any(not ch.isascii() and unicodedata.name(ch, "").startswith(PROTECTED) for ch in text)
 
 
 _DELETE = re.compile(f"[{ZERO_WIDTH}]")
@@ -41,6 +45,12 @@ _DELETE_HYPHEN = re.compile(f"[-{ZERO_WIDTH}]")
 _DANDA = re.compile(f"[{DANDAS}]")
 
 
+def _is_kept_mark(ch: str, options: NormOptions) -> bool:
+    if options.keep_all_marks:
+        return unicodedata.category(ch)[0] == "M"
+    return any(a <= ord(ch) <= b for a, b in KEPT_MARKS)
+
+
 def norm_python(text: str | None, options: NormOptions = NORM) -> str:
     """Script-aware normal form of one text."""
     if not text:
@@ -48,7 +58,7 @@ def norm_python(text: str | None, options: NormOptions = NORM) -> str:
     text = (_DELETE_HYPHEN if options.delete_hyphen else _DELETE).sub("", text)
     text = _DANDA.sub(" ", text) if _is_protected(text) else unicodedata.normalize("NFKC", text)
     text = text.casefold().replace("&", " and ")
-    kept = (ch if ch == "_" or ch.isalnum() or (options.keep_all_marks and unicodedata.category(ch)[0] == "M") else " " for ch in text)
+    kept = (ch if ch == "_" or ch.isalnum() or _is_kept_mark(ch, options) else " " for ch in text)
     return " ".join("".join(kept).split())
 
 

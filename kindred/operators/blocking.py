@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions.channels import ADDRESS_DIGITS, EXACT_ADDRESS, EXACT_NAME, RARE_TOKEN, bits_to_channels, has, n_channels
-from kindred.functions.text import pair_keys, token_set, window_keys
+from kindred.functions.text import token_set, window_keys
 from kindred.options import BUDGET, Budget
 
 KEYS = {EXACT_NAME: "name_norm", EXACT_ADDRESS: "address_norm", ADDRESS_DIGITS: "address_dig"}
@@ -70,6 +70,12 @@ def token_df(rows: DataFrame, columns: tuple[str, ...] = ("name_norm", "address_
     return both.groupBy("source", "field", "token").agg(F.count(F.lit(1)).alias("df"))
 
 
+def token_df_of_records(rows: DataFrame, least: int = BUDGET.min_token_len) -> DataFrame:
+    """``source, token, df``: in how many records of a source either field has the token."""
+    both = rows.select("source", F.concat_ws(" ", "name_norm", "address_norm").alias("both"))
+    return both.select("source", F.explode(token_set("both", least)).alias("token")).groupBy("source", "token").agg(F.count(F.lit(1)).alias("df"))
+
+
 def postings(targets: DataFrame, column: str, most: int) -> DataFrame:
     """``source, token, df, candidate_id, row_id`` of tokens in at most ``most`` records; common tokens go before the join."""
     rows = tokens_of(targets, column)
@@ -77,19 +83,30 @@ def postings(targets: DataFrame, column: str, most: int) -> DataFrame:
     return rows.join(common, ["source", "token"]).select("source", "token", "df", F.col("entity_id").alias("candidate_id"), "row_id")
 
 
-def rare_token_channel(queries: DataFrame, targets: DataFrame, found: DataFrame, budget: Budget = BUDGET) -> DataFrame:
+def listed_postings(targets: DataFrame, budget: Budget = BUDGET) -> DataFrame:
+    """Postings of names (``index`` 0) and addresses (1) that the rare-token channel probes; may be written once and read again."""
+    most = min(budget.max_token_df, budget.token_bucket_cap)
+    indexes = [postings(targets, c, most).withColumn("index", F.lit(i)) for i, c in enumerate(("name_norm", "address_norm"))]
+    return indexes[0].unionByName(indexes[1])
+
+
+def rare_token_channel(queries: DataFrame, targets: DataFrame, found: DataFrame, budget: Budget = BUDGET, listed: DataFrame | None = None) -> DataFrame:
     """Pairs that only a rare token finds, filling each record's budget in posting order.
 
     Name and address tokens of a record probe the name index, then the address index. Within a
     field rarer tokens come first, then tokens seen first, then target rows. A pair counts at
     its first place; pairs already ``found`` are left out and use up the budget of their source.
+    ``listed``: the targets' ``listed_postings``, if they are at hand.
     """
-    most = min(budget.max_token_df, budget.token_bucket_cap)
     probes = [tokens_of(queries, c, budget.min_token_len).select(F.col("entity_id").alias("s1_id"), "token", F.col("pos"), F.lit(i).alias("field")) for i, c in enumerate(("name_norm", "address_norm"))]
     probe = probes[0].unionByName(probes[1])
-    indexes = [postings(targets, c, most).withColumn("index", F.lit(i)) for i, c in enumerate(("name_norm", "address_norm"))]
+    listed = listed_postings(targets, budget).persist() if listed is None else listed
+    # a posting of per_s1 targets or more fills the budget whatever is found already: none after it counts
+    known = listed.groupBy("source", "index", "token").agg(F.max("df").alias("df"))
+    before = Window.partitionBy("s1_id", "source").orderBy("index", "field", "df", "pos").rowsBetween(Window.unboundedPreceding, -1)
+    probe = probe.join(known, "token").withColumn("before", F.coalesce(F.max("df").over(before), F.lit(0))).where(F.col("before") < budget.per_s1).drop("before", "df")
     place = F.struct("index", "field", "df", "pos", "row_id")
-    first = probe.join(indexes[0].unionByName(indexes[1]), "token").groupBy(*PAIR, "source").agg(F.min(place).alias("place"))
+    first = probe.join(listed, ["source", "index", "token"]).groupBy(*PAIR, "source").agg(F.min(place).alias("place"))
     held = found.groupBy("s1_id", "source").agg(F.count(F.lit(1)).alias("held"))
     fresh = first.join(found.select(*PAIR), PAIR, "left_anti").join(held, ["s1_id", "source"], "left")
     rank = F.row_number().over(Window.partitionBy("s1_id", "source").orderBy("place"))
@@ -98,10 +115,14 @@ def rare_token_channel(queries: DataFrame, targets: DataFrame, found: DataFrame,
     return ranked.where(F.col("rank") <= room).select(*PAIR, "source", F.lit(RARE_TOKEN).alias("bits"))
 
 
-def retrieve(queries: DataFrame, targets: DataFrame, budget: Budget = BUDGET) -> DataFrame:
-    """Exact channels and the rare-token channel."""
-    found = exact_union(queries, targets, budget)
-    return found.unionByName(rare_token_channel(queries, targets, found, budget))
+def retrieve(queries: DataFrame, targets: DataFrame, budget: Budget = BUDGET, listed: DataFrame | None = None) -> DataFrame:
+    """Exact channels and the rare-token channel.
+
+    What the exact channels find is needed three times; it is cached (on disk where memory
+    is short) and worked out again only where a lost executor had it.
+    """
+    found = exact_union(queries, targets, budget).persist()
+    return found.unionByName(rare_token_channel(queries, targets, found, budget, listed))
 
 
 def rarest_token(queries: DataFrame, targets: DataFrame, column: str, most: int) -> DataFrame:
@@ -119,31 +140,52 @@ def any_token(queries: DataFrame, targets: DataFrame, column: str, most: int) ->
 
 
 def digits_and_token(queries: DataFrame, targets: DataFrame, most: int) -> DataFrame:
-    """Pairs with equal digits that also share a name or address token of at most ``most`` target records."""
-    def keyed(rows: DataFrame, id_name: str) -> DataFrame:
-        return rows.where("address_dig <> ''").select(F.col("entity_id").alias(id_name), "address_dig", *(["source"] if id_name == "candidate_id" else []))
+    """Pairs with equal digits that also share a name or address token of at most ``most`` target records.
 
-    pairs = keyed(queries, "s1_id").join(keyed(targets, "candidate_id"), "address_dig").select(*PAIR, "source")
-    shared = any_token(queries, targets, "name_norm", most).unionByName(any_token(queries, targets, "address_norm", most)).distinct()
-    return pairs.join(shared, [*PAIR, "source"], "left_semi")
+    Digits and token are one key of the join, so records of common digits don't meet pair by pair.
+    """
+    parts = []
+    for column in ("name_norm", "address_norm"):
+        known = targets.where("address_dig <> ''").select(F.col("entity_id").alias("candidate_id"), "address_dig")
+        right = postings(targets, column, most).join(known, "candidate_id").select("address_dig", "token", "candidate_id", "source")
+        left = queries.where("address_dig <> ''").select(F.col("entity_id").alias("s1_id"), "address_dig", F.explode(token_set(column)).alias("token"))
+        parts.append(left.join(right, ["address_dig", "token"]).select(*PAIR, "source"))
+    return parts[0].unionByName(parts[1]).distinct()
+
+
+def hashed(*columns: str | Column) -> list[Column]:
+    """128 bits of a key, as two longs."""
+    return [F.xxhash64(*columns).alias("key"), F.xxhash64(F.lit(1), *columns).alias("key2")]
 
 
-def shared_key(queries: DataFrame, targets: DataFrame, keys: Column, most: int) -> DataFrame:
-    """Pairs that share one of an array of keys which at most ``most`` targets of the source have."""
-    right = targets.select("source", F.col("entity_id").alias("candidate_id"), F.explode(keys).alias("key"))
-    few = right.groupBy("source", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most).select("source", "key")
-    left = queries.select(F.col("entity_id").alias("s1_id"), F.explode(keys).alias("key"))
-    return left.join(right.join(few, ["source", "key"]), "key").select(*PAIR, "source").distinct()
+def shared_key(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
+    """Pairs of ``left(s1_id, key, key2)`` and ``right(source, candidate_id, key, key2)`` that share a key which at most ``most`` targets of the source have.
+
+    Keys that too many targets have go before the join. ``right`` is needed twice and cached.
+    """
+    right = right.persist()
+    few = right.groupBy("source", "key", "key2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most).select("source", "key", "key2")
+    return left.join(right.join(few, ["source", "key", "key2"]), ["key", "key2"]).select(*PAIR, "source").distinct()
 
 
 def window_block(queries: DataFrame, targets: DataFrame, column: str, k: int, most: int) -> DataFrame:
     """Pairs sharing a window of k consecutive sorted tokens."""
-    return shared_key(queries, targets, window_keys(token_set(column), k), most)
+    def keyed(rows: DataFrame, *own: Column) -> DataFrame:
+        return rows.select(*own, F.explode(window_keys(token_set(column), k)).alias("window")).select("*", *hashed("window")).drop("window")
+
+    return shared_key(keyed(queries, F.col("entity_id").alias("s1_id")), keyed(targets, F.col("source"), F.col("entity_id").alias("candidate_id")), most)
 
 
 def pair_block(queries: DataFrame, targets: DataFrame, column: str, most: int) -> DataFrame:
-    """Pairs sharing two tokens."""
-    return shared_key(queries, targets, pair_keys(token_set(column)), most)
+    """Pairs sharing two tokens. Pairs of tokens become rows, of hashes, in generated code."""
+    def keyed(rows: DataFrame, *own: Column) -> DataFrame:
+        tokens = F.array_sort(F.transform(token_set(column), lambda t: F.struct(F.xxhash64(t).alias("a"), F.xxhash64(F.lit(1), t).alias("b"))))
+        each = rows.select(*own, tokens.alias("tokens")).select("*", F.posexplode("tokens").alias("i", "x"))
+        others = F.slice("tokens", F.col("i") + 2, F.size("tokens"))
+        both = each.select(*[n for n in each.columns if n not in ("tokens", "i")], F.explode(others).alias("y"))
+        return both.select("*", *hashed("x.a", "x.b", "y.a", "y.b")).drop("x", "y")
+
+    return shared_key(keyed(queries, F.col("entity_id").alias("s1_id")), keyed(targets, F.col("source"), F.col("entity_id").alias("candidate_id")), most)
 
 
 def same_name_collisions(rows: DataFrame, truth: DataFrame, per_name: int = 6, limit: int = 10_000) -> DataFrame:
@@ -153,3 +195,10 @@ def same_name_collisions(rows: DataFrame, truth: DataFrame, per_name: int = 6, l
     left = kept.where("source = 1").select("name_key", F.col("entity_id").alias("s1_id"), F.col("address_norm").alias("a"))
     right = kept.where("source > 1").select("name_key", F.col("entity_id").alias("candidate_id"), F.col("address_norm").alias("b"))
     return left.join(right, "name_key").where("a <> b").join(truth.select(*PAIR), PAIR, "left_anti").select(*PAIR).orderBy(*PAIR).limit(limit)
+
+
+def sample_collisions(rows: DataFrame, per_source: int = 100, limit: int = 1000) -> DataFrame:
+    """Pairs of equal names and different sources among the first ``per_source`` records of each source: ``left_id, right_id, name``."""
+    few = first_by(rows.select("source", "entity_id", "row_id", F.col("name_norm").alias("name")), ["source"], ["row_id"], per_source).where("name <> ''")
+    left, right = (few.select("name", F.col("source").alias(f"{k}_source"), F.col("entity_id").alias(f"{k}_id")) for k in ("left", "right"))
+    return left.join(right, "name").where("left_source < right_source").select("left_id", "right_id", "name").orderBy("left_id", "right_id").limit(limit)

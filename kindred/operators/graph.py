@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -14,20 +15,24 @@ def inverse_links(truth: DataFrame) -> DataFrame:
 
 
 def cardinalities(truth: DataFrame, everyone: DataFrame) -> DataFrame:
-    """One row: records with 0, 1, 2, 3 or more links, mean, most and the kind of mapping."""
+    """One row: records with 0, 1, 2, 3 or more links, mean, percentiles, most, rates in percent and the kind of mapping."""
     n = truth.groupBy("s1_id").agg(F.countDistinct("candidate_id").alias("n"))
     whole = everyone.select("s1_id").distinct().join(n, "s1_id", "left").fillna(0)
     shared = truth.groupBy("candidate_id").agg(F.countDistinct("s1_id").alias("k")).agg(F.coalesce(F.max("k"), F.lit(0)).alias("most_shared"))
-    out = whole.agg(*[F.count_if(F.col("n") == k).alias(f"n_{k}") for k in range(3)], F.count_if(F.col("n") >= 3).alias("n_3_plus"), F.round(F.avg("n"), 6).alias("mean"), F.max("n").alias("most")).join(F.broadcast(shared), F.lit(True))
+    out = whole.agg(*[F.count_if(F.col("n") == k).alias(f"n_{k}") for k in range(3)], F.count_if(F.col("n") >= 3).alias("n_3_plus"), F.round(F.avg("n"), 6).alias("mean"), *[F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY n)").cast("long").alias(f"p{int(q * 100)}") for q in (0.5, 0.9, 0.95, 0.99)],
+        F.max("n").alias("most"), *[F.round(100 * F.avg(c.cast("int")), 4).alias(k) for k, c in {"zero_percent": F.col("n") == 0, "one_percent": F.col("n") == 1, "many_percent": F.col("n") > 1}.items()]).join(F.broadcast(shared), F.lit(True))
     kind = F.when(F.col("most_shared") > 1, "many-to-many").when(F.col("most") > 1, "one-to-many").otherwise("one-to-one")
     return out.withColumn("mapping", kind).drop("most_shared")
 
 
 def _saved(df: DataFrame) -> DataFrame:
-    """Checkpoint in the session's folder, or in one of our own where none is set."""
+    """Checkpoint in the session's folder, or, in a local session only, in one of our own."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kindred-"))
+        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not at and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="kindred-"))
     return df.checkpoint()
 
 

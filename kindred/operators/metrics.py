@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions.channels import CHANNELS, has
-from kindred.operators.blocking import PAIR, score_budget, tokens_of
+from kindred.operators.blocking import PAIR, evidence_score, tokens_of
 
 
 def per_record(pairs: DataFrame, truth: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -50,12 +50,23 @@ def channel_histogram(pairs: DataFrame) -> DataFrame:
 
 
 def budget_grid(pairs: DataFrame, truth: DataFrame, budgets: list[int], full_size: int) -> DataFrame:
-    """``per_s1, recall, mean_candidates, full_pairs`` for budgets by evidence; ``full_pairs`` at ``full_size`` records."""
-    rows = None
-    for per_s1 in budgets:
-        one = per_record(score_budget(pairs, per_s1), truth).agg(F.lit(per_s1).alias("per_s1"), F.round(F.sum("recalled") / F.sum("n_true"), 6).alias("recall"), F.round(F.avg("n_cand"), 4).alias("mean_candidates"), F.round(F.avg("n_cand") * full_size).cast("long").alias("full_pairs"))
-        rows = one if rows is None else rows.unionByName(one)
-    return rows
+    """``per_s1, recall, mean_candidates, p50, p95, full_pairs, full_gb`` for budgets by evidence; ``full_pairs`` and their GB (12 bytes each) at ``full_size`` records.
+
+    Pairs are ranked once; each budget counts those up to its rank.
+    """
+    rank = F.row_number().over(Window.partitionBy("source", "s1_id").orderBy(F.desc(evidence_score()), "candidate_id"))
+    ranked = pairs.withColumn("rank", rank).where(F.col("rank") <= max(budgets)).select(*PAIR, "rank")
+    true = truth.select(*PAIR).distinct()
+    counts = [F.count_if(F.col("rank") <= b).alias(f"n{b}") for b in budgets] + [F.count_if((F.col("rank") <= b) & F.col("hit")).alias(f"h{b}") for b in budgets]
+    found = ranked.join(true.withColumn("hit", F.lit(True)), PAIR, "left").withColumn("hit", F.coalesce("hit", F.lit(False))).groupBy("s1_id").agg(*counts)
+    each = true.groupBy("s1_id").agg(F.count(F.lit(1)).alias("n_true")).join(found, "s1_id", "left").fillna(0)
+    rows = F.array(*[
+        F.struct(
+            F.lit(b).alias("per_s1"), F.round(F.sum(f"h{b}") / F.sum("n_true"), 6).alias("recall"), F.round(F.avg(f"n{b}"), 4).alias("mean_candidates"), F.percentile(f"n{b}", F.lit(0.5)).alias("p50"), F.percentile(f"n{b}", F.lit(0.95)).alias("p95"),
+            F.round(F.avg(f"n{b}") * full_size).cast("long").alias("full_pairs"), F.round(F.avg(f"n{b}") * full_size * 12 / 2**30, 6).alias("full_gb"),
+        ) for b in budgets
+    ])
+    return each.agg(rows.alias("rows")).select(F.explode("rows").alias("r")).select("r.*")
 
 
 def rarity_curve(rows: DataFrame, truth: DataFrame, column: str, limits: list[int]) -> DataFrame:

@@ -10,17 +10,17 @@ from pyspark.sql import functions as F
 from kindred.functions.similarity import block_similarity
 from kindred.functions.text import address_digits, digit_runs, norm_text, profile_form, token_set
 from kindred.operators import blocking, features, graph, metrics, ml, profile, sampling, scoring
-from kindred.options import Budget
+from kindred.options import BUDGET
 from kindred.plans import sql
 from kindred.sources import tables
-from kindred.sources.views import doc_truth, entities, normal_entities
+from kindred.sources.views import doc_truth, entities, normal_entities, part_truth
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-#: Caps that bind on each view.
-PART, DOC = Budget(per_s1=5, exact_cap=10, digit_cap=10), Budget(per_s1=50, max_token_df=100)
+#: The production budget; tests of the operators use small ones that bind.
+PART = DOC = BENCH = BUDGET
 GRID = [round(t, 4) for t in scoring.thresholds()]
 THRESHOLD = 0.5
 
@@ -38,7 +38,8 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def sides(spark: SparkSession, sf_dir: str, view: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows = normal_entities(spark, sf_dir, view)
+    """All rows, source 1 and the others; normal forms are made once and cached (on disk where memory is short)."""
+    rows = normal_entities(spark, sf_dir, view).persist()
     return rows, rows.where("source = 1"), rows.where("source > 1")
 
 
@@ -64,6 +65,13 @@ def norm_script_aware(spark, sf_dir):
     return entities(spark, sf_dir, "doc").select("entity_id", norm_text("business_name").alias("name_norm"), norm_text("business_address").alias("address_norm"))
 
 
+@query(sql.NORM_FORMS_ASCII)
+def norm_script_aware_ascii(spark, sf_dir):
+    """The script-aware form of the records that are all ASCII, where SQL can check it."""
+    ascii_only = F.col("business_name").rlike(r"^\p{ASCII}*$") & F.col("business_address").rlike(r"^\p{ASCII}*$")
+    return entities(spark, sf_dir, "doc").where(ascii_only).select("entity_id", norm_text("business_name").alias("name_norm"), norm_text("business_address").alias("address_norm"))
+
+
 @query(sql.DIGITS)
 def addr_digits(spark, sf_dir):
     runs = digit_runs("business_address")
@@ -124,6 +132,11 @@ def tok_df(spark, sf_dir):
     return blocking.token_df(normal_entities(spark, sf_dir, "doc"))
 
 
+@query(sql.TOKEN_DF_RECORDS)
+def tok_df_records(spark, sf_dir):
+    return blocking.token_df_of_records(normal_entities(spark, sf_dir, "doc"))
+
+
 @query(sql.POSTINGS)
 def tok_postings(spark, sf_dir):
     _, _, t = sides(spark, sf_dir, "doc")
@@ -149,6 +162,13 @@ def blk_rare_budget(spark, sf_dir):
     return blocking.retrieve(q, t, DOC)
 
 
+@query(sql.rare_token("bench", BENCH))
+def blk_bench_items(spark, sf_dir):
+    """Benchmark items against documents by name alone: no record has an address."""
+    _, q, t = sides(spark, sf_dir, "bench")
+    return blocking.retrieve(q, t, BENCH)
+
+
 @query(sql.DIGIT_TOKEN)
 def blk_digit_and_token(spark, sf_dir):
     _, q, t = sides(spark, sf_dir, "part")
@@ -178,6 +198,11 @@ def same_name_collisions(spark, sf_dir):
     return blocking.same_name_collisions(normal_entities(spark, sf_dir, "doc"), doc_truth(spark, sf_dir))
 
 
+@query(sql.SAMPLE_COLLISIONS)
+def sample_collisions(spark, sf_dir):
+    return blocking.sample_collisions(normal_entities(spark, sf_dir, "doc"))
+
+
 @query(sql.exact_union("part", PART) + "SELECT * FROM (SELECT s1_id, candidate_id, source FROM found WHERE source = 2 UNION ALL SELECT s1_id, candidate_id, source FROM found WHERE source = 3)")
 def cand_union_sources(spark, sf_dir):
     _, q, t = sides(spark, sf_dir, "part")
@@ -203,6 +228,12 @@ def cand_recall(spark, sf_dir):
     return metrics.candidate_recall(*doc_candidates(spark, sf_dir))
 
 
+@query(sql.recall_with_rare())
+def cand_recall_rare(spark, sf_dir):
+    _, q, t = sides(spark, sf_dir, "doc")
+    return metrics.candidate_recall(blocking.retrieve(q, t, DOC), doc_truth(spark, sf_dir))
+
+
 @query(sql.recall("source"))
 def cand_recall_by_source(spark, sf_dir):
     return metrics.recall_by_source(*doc_candidates(spark, sf_dir))
@@ -287,6 +318,14 @@ def score_l0_sqlable(spark, sf_dir):
     return doc_scored(spark, sf_dir)[0].select("s1_id", "candidate_id", "score")
 
 
+@query()
+def score_l0_full(spark, sf_dir):
+    """The rule score over all 41 features."""
+    rows, q, t = sides(spark, sf_dir, "part")
+    found = features.pair_features(blocking.exact_union(q, t, PART), rows)
+    return found.select("s1_id", "candidate_id", F.round(scoring.rule_score(), 6).alias("score"))
+
+
 @query(sql.SPLIT)
 def split_stratified(spark, sf_dir):
     return sampling.stratified_split(doc_truth(spark, sf_dir), everyone(entities(spark, sf_dir, "doc")))
@@ -295,7 +334,7 @@ def split_stratified(spark, sf_dir):
 @query(sql.TRAIN_PAIRS)
 def train_pairs(spark, sf_dir):
     rows, q, t = sides(spark, sf_dir, "doc")
-    pairs = features.with_fields(blocking.retrieve(q, t, DOC), rows)
+    pairs = features.with_fields(blocking.retrieve(q, t, DOC), features.digested(rows))
     return sampling.training_pairs(pairs, doc_truth(spark, sf_dir), everyone(rows))
 
 
@@ -409,6 +448,16 @@ def prof_signal_volumes(spark, sf_dir):
     return profile.signal_volumes(normal_entities(spark, sf_dir, "part"))
 
 
+@query(sql.TOKEN_SIGNALS)
+def prof_token_signals(spark, sf_dir):
+    return profile.token_signal_volumes(normal_entities(spark, sf_dir, "doc").persist(), DOC.max_token_df)
+
+
+@query(sql.REPEATED_ROWS)
+def prof_repeated_rows(spark, sf_dir):
+    return profile.repeated_rows(entities(spark, sf_dir, "part"))
+
+
 @query()
 def prof_heavy_hitters(spark, sf_dir):
     return profile.heavy_hitters(entities(spark, sf_dir, "part"), "country", 20)
@@ -474,20 +523,26 @@ def gt_component_sizes(spark, sf_dir):
 
 
 def _learned(spark, sf_dir, fit):
-    rows, q, t = sides(spark, sf_dir, "doc")
-    truth = doc_truth(spark, sf_dir)
-    pairs = blocking.retrieve(q, t, Budget(per_s1=20, max_token_df=100)).persist()
+    """Train on sampled pairs of the part view and score every candidate."""
+    rows, q, t = sides(spark, sf_dir, "part")
+    truth = part_truth(spark, sf_dir)
+    pairs = blocking.score_budget(blocking.exact_union(q, t, PART), PART.per_s1).persist()
     found = features.pair_features(pairs, rows).persist()
-    sample = sampling.training_pairs(features.with_fields(pairs, rows), truth, everyone(rows)).select("s1_id", "candidate_id", "label")
+    sample = sampling.training_pairs(features.with_fields(pairs, features.digested(rows)), truth, everyone(rows)).select("s1_id", "candidate_id", "label")
     model = fit(found.join(sample, ["s1_id", "candidate_id"]))
-    return ml.score(model, found)
+    return model, found
 
 
 @query()
 def ml_lr(spark, sf_dir):
-    return _learned(spark, sf_dir, ml.fit_logistic)
+    return ml.score(*_learned(spark, sf_dir, ml.fit_logistic))
 
 
 @query()
 def ml_gbt(spark, sf_dir):
-    return _learned(spark, sf_dir, lambda rows: ml.fit_boosted(rows, rounds=10, depth=4))
+    return ml.score(*_learned(spark, sf_dir, ml.fit_boosted))
+
+
+@query()
+def ml_importances(spark, sf_dir):
+    return ml.importances(_learned(spark, sf_dir, ml.fit_logistic)[0])

@@ -7,13 +7,19 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 
-#: Most rows of a table in a report.
-MAX_ROWS = 200
-
-
-def collected(parts: Mapping[str, DataFrame]) -> dict[str, list[dict]]:
-    """The first rows of each table, sorted by all its columns."""
-    return {name: [r.asDict(recursive=True) for r in df.orderBy(*df.columns).limit(MAX_ROWS).collect()] for name, df in parts.items()}
+#: Rows of a table that a report shows; it says how many more there are.
+SHOWN = 200
+
+
+def collected(parts: Mapping[str, DataFrame], shown: int = SHOWN) -> dict[str, list[dict]]:
+    """The first rows of each table, sorted by all its columns; a last one says how many more there are, if any."""
+    out = {}
+    for name, df in parts.items():
+        rows = [r.asDict(recursive=True) for r in df.orderBy(*df.columns).limit(shown + 1).collect()]
+        if len(rows) > shown:
+            rows[shown:] = [dict.fromkeys(df.columns) | {df.columns[0]: f"and {df.count() - shown} more rows"}]
+        out[name] = rows
+    return out
 
 
 def as_json(parts: Mapping[str, DataFrame]) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from kindred.options import BUDGET as BUDGET_OF
 from kindred.options import SAMPLE, Budget
 
 
@@ -15,7 +16,8 @@ def trim(x: str) -> str:
 
 _BASE = {
     "part": "SELECT p_partkey AS row_id, p_name AS business_name, p_brand || ', ' || p_type || ' ' || CAST(p_size AS VARCHAR) AS business_address, p_type AS country FROM part",
-    "doc": "SELECT doc_id AS row_id, split_part(text, chr(10), 1) AS business_name, substr(text, length(split_part(text, chr(10), 1)) + 2, 120) AS business_address, lang AS country FROM documents",
+    "doc": "SELECT doc_id AS row_id, split_part(text, chr(10), 1) AS business_name, substr(text, length(split_part(text, chr(10), 1)) + 2) AS business_address, lang AS country FROM documents",
+    "bench": "SELECT item_id * 3 AS row_id, text AS business_name, '' AS business_address, '' AS country FROM benchmark UNION ALL SELECT doc_id + doc_id // 2 + 1, text, '', lang FROM documents",
 }
 RUNS = r"regexp_extract_all(business_address, '\p{Nd}+')"
 
@@ -63,8 +65,8 @@ def exact_union(name: str, budget: Budget) -> str:
 EVIDENCE = "100 * CAST(bit_count(bits) AS INTEGER) + CASE WHEN bits & 1 > 0 THEN 30 ELSE 0 END + CASE WHEN bits & 2 > 0 THEN 30 ELSE 0 END + CASE WHEN bits & 4 > 0 THEN 10 ELSE 0 END"
 BUDGET = f"SELECT s1_id, candidate_id, source, bits FROM found QUALIFY row_number() OVER (PARTITION BY source, s1_id ORDER BY {EVIDENCE} DESC, candidate_id) <= {{per_s1}}"
 TOKEN_DF = view("doc") + TOKENS + "SELECT * FROM df"
-POSTINGS = view("doc") + TOKENS + "SELECT source, token, max(df) AS df, count(*) AS n, min(row_id) AS first_row, max(row_id) AS last_row FROM tok JOIN df USING (source, field, token) WHERE field = 'name_norm' AND source > 1 AND df <= 100 GROUP BY ALL"
-_LISTED = ", listed AS (SELECT tok.*, df FROM tok JOIN df USING (source, field, token) WHERE source > 1 AND df <= 100)\n"
+POSTINGS = view("doc") + TOKENS + "SELECT source, token, max(df) AS df, count(*) AS n, min(row_id) AS first_row, max(row_id) AS last_row FROM tok JOIN df USING (source, field, token) WHERE field = 'name_norm' AND source > 1 AND df <= " + str(BUDGET_OF.max_token_df) + " GROUP BY ALL"
+_LISTED = f", listed AS (SELECT tok.*, df FROM tok JOIN df USING (source, field, token) WHERE source > 1 AND df <= {BUDGET_OF.max_token_df})\n"
 RAREST = view("doc") + TOKENS + _LISTED + """, known AS (SELECT DISTINCT source, token, df FROM listed WHERE field = 'name_norm'),
 probe AS (SELECT tok.entity_id AS s1_id, known.source, known.token FROM tok JOIN known USING (token) WHERE tok.source = 1 AND tok.field = 'name_norm' QUALIFY row_number() OVER (PARTITION BY tok.entity_id, known.source ORDER BY known.df, tok.pos) = 1)
 SELECT DISTINCT s1_id, l.entity_id AS candidate_id, l.source FROM probe JOIN listed l ON l.source = probe.source AND l.token = probe.token AND l.field = 'name_norm'"""
@@ -95,7 +97,7 @@ SELECT DISTINCT q.entity_id AS s1_id, t.entity_id AS candidate_id, t.source FROM
 
 def windows(k: int) -> str:
     nexts = " || ' ' || ".join(["token", *[f"lead(token, {i}) OVER w" for i in range(1, k)]])
-    return view("doc") + TOKENS + f", keyed AS (SELECT entity_id, source, key FROM (SELECT entity_id, source, {nexts} AS key FROM tok WHERE field = 'name_norm' WINDOW w AS (PARTITION BY entity_id ORDER BY token)) WHERE key IS NOT NULL),\n" + _KEYED.format(most=100)
+    return view("doc") + TOKENS + f", keyed AS (SELECT entity_id, source, key FROM (SELECT entity_id, source, {nexts} AS key FROM tok WHERE field = 'name_norm' WINDOW w AS (PARTITION BY entity_id ORDER BY token)) WHERE key IS NOT NULL),\n" + _KEYED.format(most=BUDGET_OF.max_token_df)
 
 
 PAIR_COMBO = view("doc") + TOKENS + ", keyed AS (SELECT a.entity_id, a.source, a.token || ' ' || b.token AS key FROM tok a JOIN tok b ON a.entity_id = b.entity_id AND a.field = b.field AND a.token < b.token WHERE a.field = 'name_norm'),\n" + _KEYED.format(most=20)
@@ -103,7 +105,7 @@ COLLISIONS = view("doc") + TRUTH + """, kept AS (SELECT *, lower(business_name)
 SELECT a.entity_id AS s1_id, b.entity_id AS candidate_id FROM kept a JOIN kept b USING (name_key) WHERE a.source = 1 AND b.source > 1 AND a.address_norm <> b.address_norm
 AND NOT EXISTS (SELECT 1 FROM truth WHERE s1_id = a.entity_id AND candidate_id = b.entity_id) ORDER BY 1, 2 LIMIT 10000"""
 
-_DOC = Budget(per_s1=50, max_token_df=100)
+_DOC = BUDGET_OF
 _FOUND = exact_union("doc", _DOC) + TRUTH
 
 
@@ -119,8 +121,13 @@ _NAMES = ("exact_name", "exact_address", "address_digits", "rare_token", "ngram"
 PROGRESSIVE = _FOUND + ", hit AS (SELECT DISTINCT t.s1_id, t.candidate_id, coalesce(bits, 0) AS bits FROM truth t LEFT JOIN found f ON t.s1_id = f.s1_id AND t.candidate_id = f.candidate_id)\n" + " UNION ALL ".join(f"SELECT '{n}' AS channel, round(avg(CASE WHEN bits & {1 << i} > 0 THEN 1 ELSE 0 END), 6) AS recall, round(avg(CASE WHEN bits & {(2 << i) - 1} > 0 THEN 1 ELSE 0 END), 6) AS union_recall FROM hit" for i, n in enumerate(_NAMES))
 
 
+def recall_with_rare() -> str:
+    """Recall of the exact channels and rare tokens together."""
+    return recall("").replace(_FOUND, exact_union("doc", _DOC) + _rare(_DOC) + TRUTH).replace("AS n FROM found GROUP", "AS n FROM retrieved GROUP").replace("JOIN found f", "JOIN retrieved f")
+
+
 def budget_grid(budgets: tuple[int, ...]) -> str:
-    one = """SELECT {b} AS per_s1, round(sum(hit) / sum(n_true), 6) AS recall, round(avg(n_cand), 4) AS mean_candidates, CAST(round(avg(n_cand) * 2206821) AS BIGINT) AS full_pairs FROM (SELECT s1_id, count(DISTINCT t.candidate_id) AS n_true,
+    one = """SELECT {b} AS per_s1, round(sum(hit) / sum(n_true), 6) AS recall, round(avg(n_cand), 4) AS mean_candidates, CAST(quantile_cont(n_cand, 0.5) AS DOUBLE) AS p50, CAST(quantile_cont(n_cand, 0.95) AS DOUBLE) AS p95, CAST(round(avg(n_cand) * 2206821) AS BIGINT) AS full_pairs, round(avg(n_cand) * 2206821 * 12 / 1073741824, 6) AS full_gb FROM (SELECT s1_id, count(DISTINCT t.candidate_id) AS n_true,
 (SELECT count(*) FROM ranked f WHERE f.s1_id = t.s1_id AND r <= {b}) AS n_cand, (SELECT count(*) FROM ranked f JOIN tt USING (s1_id, candidate_id) WHERE f.s1_id = t.s1_id AND r <= {b}) AS hit FROM tt t GROUP BY s1_id)"""
     return _FOUND + f", tt AS (SELECT DISTINCT s1_id, candidate_id FROM truth), ranked AS (SELECT *, row_number() OVER (PARTITION BY source, s1_id ORDER BY {EVIDENCE} DESC, candidate_id) AS r FROM found)\n" + " UNION ALL ".join(one.format(b=b) for b in budgets)
 
@@ -129,7 +136,7 @@ RARITY = view("doc") + TRUTH + TOKENS + """, tt AS (SELECT DISTINCT s1_id, candi
 shared AS (SELECT tt.s1_id, tt.candidate_id, min(df.df) AS rarest, count(*) AS n_shared FROM tt JOIN nt a ON a.entity_id = tt.s1_id JOIN nt b ON b.entity_id = tt.candidate_id AND b.token = a.token JOIN df ON df.source = b.source AND df.token = b.token AND df.field = 'name_norm' GROUP BY ALL),
 w AS (SELECT * FROM tt LEFT JOIN shared USING (s1_id, candidate_id))
 """ + " UNION ALL ".join([f"SELECT 'max_df {x}' AS measure, round(avg(CASE WHEN rarest <= {x} THEN 1 ELSE 0 END), 6) AS share FROM w" for x in (1, 5, 20, 100)] + [f"SELECT 'shares {k}', round(avg(CASE WHEN n_shared >= {k} THEN 1 ELSE 0 END), 6) FROM w" for k in (1, 2)])
-EXPECTED_ROWS = view("doc") + TOKENS + """, d AS (SELECT token, count(*) AS df FROM tok WHERE source > 1 AND field = 'name_norm' GROUP BY ALL HAVING count(*) <= 100),
+EXPECTED_ROWS = view("doc") + TOKENS + """, d AS (SELECT token, count(*) AS df FROM tok WHERE source > 1 AND field = 'name_norm' GROUP BY ALL HAVING count(*) <= 1000),
 own AS (SELECT entity_id, sum(df) AS r FROM tok JOIN d USING (token) WHERE source = 1 AND field = 'name_norm' GROUP BY ALL), w AS (SELECT r, coalesce(r, 0) AS x FROM n LEFT JOIN own USING (entity_id) WHERE source = 1)
 SELECT round(avg(x), 4) AS mean_rows, CAST(quantile_cont(x, 0.5) AS DOUBLE) AS p50_rows, CAST(quantile_cont(x, 0.95) AS DOUBLE) AS p95_rows, round(100 * avg(CASE WHEN r IS NOT NULL THEN 1 ELSE 0 END), 4) AS pct_with_rare FROM w"""
 
@@ -254,9 +261,18 @@ _TRUTH_ONLY = "WITH " + TRUTH.lstrip(", ")
 GT_EXPLODE = _TRUTH_ONLY + "SELECT s1_id, candidate_id, source FROM truth"
 GT_INVERSE = _TRUTH_ONLY + "SELECT n_s1, count(*) AS n_targets FROM (SELECT candidate_id, count(DISTINCT s1_id) AS n_s1 FROM truth GROUP BY 1) GROUP BY 1"
 GT_CARDINALITY = _TRUTH_ONLY + """, k AS (SELECT a.id, count(DISTINCT candidate_id) AS n FROM same a LEFT JOIN truth ON s1_id = a.id WHERE a.source = 1 GROUP BY 1)
-SELECT count(*) FILTER (n = 0) AS n_0, count(*) FILTER (n = 1) AS n_1, count(*) FILTER (n = 2) AS n_2, count(*) FILTER (n >= 3) AS n_3_plus, round(avg(n), 6) AS mean, max(n) AS most,
+SELECT count(*) FILTER (n = 0) AS n_0, count(*) FILTER (n = 1) AS n_1, count(*) FILTER (n = 2) AS n_2, count(*) FILTER (n >= 3) AS n_3_plus, round(avg(n), 6) AS mean, CAST(quantile_disc(n, 0.5) AS BIGINT) AS p50, CAST(quantile_disc(n, 0.9) AS BIGINT) AS p90, CAST(quantile_disc(n, 0.95) AS BIGINT) AS p95, CAST(quantile_disc(n, 0.99) AS BIGINT) AS p99, max(n) AS most,
+round(100 * avg(CASE WHEN n = 0 THEN 1 ELSE 0 END), 4) AS zero_percent, round(100 * avg(CASE WHEN n = 1 THEN 1 ELSE 0 END), 4) AS one_percent, round(100 * avg(CASE WHEN n > 1 THEN 1 ELSE 0 END), 4) AS many_percent,
 CASE WHEN (SELECT max(c) FROM (SELECT count(DISTINCT s1_id) AS c FROM truth GROUP BY candidate_id)) > 1 THEN 'many-to-many' WHEN max(n) > 1 THEN 'one-to-many' ELSE 'one-to-one' END AS mapping FROM k"""
 GT_COMPONENTS = _TRUTH_ONLY + ", node AS (SELECT s1_id AS id FROM truth UNION SELECT candidate_id FROM truth) SELECT id AS node, min(id) OVER (PARTITION BY h) AS component FROM node JOIN same USING (id)"
 GT_COMPONENT_SIZES = _TRUTH_ONLY + ", node AS (SELECT s1_id AS id FROM truth UNION SELECT candidate_id FROM truth) SELECT size, count(*) AS n FROM (SELECT h, count(*) AS size FROM node JOIN same USING (id) GROUP BY h) GROUP BY size"
 RESERVOIR = view("part") + f"SELECT entity_id, business_name FROM e ORDER BY md5(concat_ws('|', '{SAMPLE.seed}', entity_id)), entity_id LIMIT 100"
 PAIR_SUMMARY = _TRUE_WIDE + f", m AS (SELECT source, c1 AS country, {_jaccard('n')} AS x, abs(length(a1) - length(a2)) AS y FROM wide) SELECT CASE WHEN grouping(source) = 0 THEN 'source' WHEN grouping(country) = 0 THEN 'country' ELSE 'all' END AS level, coalesce(CAST(source AS VARCHAR), country, '') AS grp, " + ", ".join([f"round(quantile_cont(x, {q}), 6) AS jaccard_{int(q * 100)}" for q in (0.1, 0.5, 0.9)] + [f"round(quantile_cont(y, {q}), 6) AS length_diff_{int(q * 100)}" for q in (0.5, 0.9, 0.99)]) + ", round(avg(x), 6) AS mean_jaccard, count(*) AS n FROM m GROUP BY GROUPING SETS ((source), (country), ())"
+TOKEN_DF_RECORDS = view("doc") + ", spread AS (SELECT DISTINCT source, entity_id, unnest(string_split(name_norm || ' ' || address_norm, ' ')) AS token FROM n) SELECT source, token, count(*) AS df FROM spread WHERE length(token) >= 3 GROUP BY ALL"
+REPEATED_ROWS = view("part") + "SELECT source, CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum(n - 1) AS BIGINT) AS n_repeated FROM (SELECT source, count(*) AS n FROM e GROUP BY source, business_name, business_address, country) GROUP BY source"
+SAMPLE_COLLISIONS = view("doc") + """, few AS (SELECT source, entity_id, name_norm FROM n QUALIFY row_number() OVER (PARTITION BY source ORDER BY row_id) <= 100)
+SELECT a.entity_id AS left_id, b.entity_id AS right_id, a.name_norm AS name FROM few a JOIN few b USING (name_norm) WHERE a.source < b.source AND name_norm <> '' ORDER BY 1, 2 LIMIT 1000"""
+TOKEN_SIGNALS = view("doc") + TOKENS + _LISTED + """, p AS (SELECT DISTINCT q.field, q.entity_id AS s1_id, l.entity_id AS candidate_id, l.source FROM tok q JOIN listed l ON q.token = l.token AND q.field = l.field WHERE q.source = 1)
+SELECT CASE field WHEN 'name_norm' THEN 'name_tokens' ELSE 'address_tokens' END AS signal, source, count(DISTINCT s1_id) AS n_covered, count(*) AS n_pairs FROM p GROUP BY ALL"""
+#: The normalised first line, checked where it is ASCII: there the native and the script-aware form are the same.
+NORM_FORMS_ASCII = view("doc") + r"SELECT entity_id, name_norm, address_norm FROM n WHERE regexp_full_match(business_name, '[\x00-\x7F]*') AND regexp_full_match(business_address, '[\x00-\x7F]*')"

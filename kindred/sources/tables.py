@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kindred.functions.text import address_digits, norm_text, trimmed
-from kindred.options import NORM, NormOptions
+from kindred.options import NORM, Budget, NormOptions
 
 COLUMNS = ["entity_id", "business_name", "business_address", "country"]
 SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in COLUMNS])
@@ -51,11 +51,11 @@ def fingerprint(spark: SparkSession, path: str) -> str:
     return hashlib.md5(json.dumps([facts, NORMALISER]).encode()).hexdigest()[:12]
 
 
-def load_cached(spark: SparkSession, path: str, cache: str, options: NormOptions = NORM, load: bool = True) -> DataFrame | None:
-    """The normalised table of a source, kept as Parquet under ``cache`` by fingerprint; ``load=False`` only makes it."""
+def load_cached(spark: SparkSession, path: str, cache: str, options: NormOptions = NORM, load: bool = True, force: bool = False) -> DataFrame | None:
+    """The normalised table of a source, kept as Parquet under ``cache`` by fingerprint; ``load=False`` only makes it, ``force`` makes it anew."""
     at = f"{cache}/{fingerprint(spark, path)}-{int(options.delete_hyphen)}{int(options.keep_all_marks)}"
     p = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
-    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+    if force or not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
         normalised(read_source(spark, path), options).write.mode("overwrite").option("compression", "snappy").parquet(at)
     return spark.read.parquet(at) if load else None
 
@@ -74,6 +74,27 @@ def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("s1_id").agg(F.max_by("matched", "at").alias("matched"))
 
 
+def load_cached_truth(spark: SparkSession, path: str, cache: str) -> DataFrame:
+    """The ground truth of a file, kept as Parquet under ``cache`` by its fingerprint."""
+    at = f"{cache}/truth-{fingerprint(spark, path)}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        read_ground_truth(spark, path).write.mode("overwrite").parquet(at)
+    return spark.read.parquet(at)
+
+
+def load_cached_postings(targets: DataFrame, cache: str, name: str, budget: Budget, force: bool = False) -> DataFrame:
+    """The targets' postings as Parquet under ``cache``, by ``name`` (of the targets) and the limits that made them: others are made anew."""
+    from kindred.operators.blocking import listed_postings
+
+    spark = targets.sparkSession
+    at = f"{cache}/postings-{name}-{min(budget.max_token_df, budget.token_bucket_cap)}-{budget.min_token_len}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
+    if force or not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        listed_postings(targets, budget).write.mode("overwrite").parquet(at)
+    return spark.read.parquet(at)
+
+
 def lookup(rows: DataFrame, ids: DataFrame, key: str = "entity_id") -> DataFrame:
     """Rows whose id is among ``ids``."""
     return rows.join(ids.select(key).distinct(), key, "left_semi")

@@ -9,12 +9,20 @@ from kindred.functions.text import address_digits, norm_plain, trimmed
 
 
 def entities(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
-    """``entity_id, source, row_id, business_name, business_address, country`` of view ``part`` or ``doc``."""
+    """``entity_id, source, row_id, business_name, business_address, country`` of view ``part``, ``doc`` or ``bench``.
+
+    ``doc``: the first line of a text is the name, all the rest the address. ``bench``: benchmark
+    items (source 1) against whole documents (sources 2 and 3) by name alone; nothing has an address.
+    """
     if view == "part":
         base = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey as row_id", "p_name as business_name", "concat(p_brand, ', ', p_type, ' ', p_size) as business_address", "p_type as country")
-    else:
+    elif view == "doc":
         docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-        base = docs.withColumn("first", F.substring_index("text", "\n", 1)).selectExpr("doc_id as row_id", "first as business_name", "substring(text, length(first) + 2, 120) as business_address", "lang as country")
+        base = docs.withColumn("first", F.substring_index("text", "\n", 1)).selectExpr("doc_id as row_id", "first as business_name", "substring(text, length(first) + 2) as business_address", "lang as country")
+    else:
+        items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").selectExpr("item_id * 3 as row_id", "text as business_name", "'' as business_address", "'' as country")
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id + (doc_id - doc_id % 2) div 2 + 1 as row_id", "text as business_name", "'' as business_address", "lang as country")
+        base = items.unionByName(docs)
     source = (F.col("row_id") % 3 + 1).cast("int")
     return base.select(F.concat(F.lit("S"), source, F.lit("-"), F.col("row_id")).alias("entity_id"), source.alias("source"), "row_id", *[trimmed(c).alias(c) for c in ("business_name", "business_address", "country")])
 
@@ -25,6 +33,15 @@ def normal_entities(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
     return rows.withColumn("name_norm", norm_plain("business_name")).withColumn("address_norm", norm_plain("business_address")).withColumn("address_dig", address_digits("business_address"))
 
 
+def part_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``s1_id, candidate_id, source``: source 1 parts and those of the others with the same name, brand and type."""
+    same = ["p_name", "p_brand", "p_type"]
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(*same, "p_partkey", (F.col("p_partkey") % 3 + 1).cast("int").alias("source"))
+    name = F.concat(F.lit("S"), F.col("source"), F.lit("-"), F.col("p_partkey"))
+    left = parts.where("source = 1").select(*same, name.alias("s1_id"))
+    return left.join(parts.where("source > 1").select(*same, name.alias("candidate_id"), "source"), same).select("s1_id", "candidate_id", "source")
+
+
 def doc_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``s1_id, candidate_id, source``: source 1 documents and those of the others with the same text."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.md5("text").alias("same"), (F.col("doc_id") % 3 + 1).cast("int").alias("source"))

@@ -62,7 +62,7 @@ def test_train_and_infer(spark, tmp_path):
     gt = write(tmp_path / "gt.tsv", [["source1_entity_id", "matched_entity_ids"], *truth])
     loaded = cli.load(spark, paths, str(tmp_path / "cache"))
     links = tables.read_ground_truth(spark, gt).selectExpr("s1_id", "explode(matched) as candidate_id").join(loaded.selectExpr("entity_id as candidate_id", "source"), "candidate_id")
-    trained = matching.train(loaded, links, str(tmp_path / "train"), rounds=3)
+    trained = matching.train(loaded, links, str(tmp_path / "train"), boosting={"rounds": 3})
     assert trained.scores[trained.name] > 0.8 and trained.recall["recall"] > 0.9 and "threshold" in matching.report(trained)
     found, _ = matching.infer(loaded, trained, str(tmp_path / "test"))
     assert found.count() == 120
