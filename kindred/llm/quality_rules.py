@@ -4,12 +4,14 @@ Each language of the corpus gets a reference: the histogram of its character cla
 of its commonest words over all its documents. A document is compared to the reference
 of its language by Jensen-Shannon distance (square root of the base-2 divergence, 0 to 1),
 once for each histogram. Short documents have noisy histograms, so minimum-length guards
-leave them to the base rules alone.
+leave them to the base rules alone. References of the largest languages travel to the
+executors; where there are more languages, documents of the others meet theirs in a join.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 from itertools import islice
 
@@ -40,7 +42,7 @@ _CLASS = _class_table()
 
 @dataclass(frozen=True)
 class Options:
-    """Limits of the rules. ``max_languages`` bounds what is sent to the executors."""
+    """Limits of the rules. References of ``max_languages`` languages are sent to the executors; those of others are joined."""
 
     min_words: int = 10
     max_repeat_percent: int = 20
@@ -95,7 +97,7 @@ def language_references(docs: DataFrame, options: Options = Options()) -> DataFr
 
     Counts are summed in each task before the shuffle and the commonest words are ranked
     in two steps, so that a language with most of the rows doesn't meet in one task. A null
-    language is the language ``''``. Languages beyond the ``max_languages`` largest have no reference.
+    language is the language ``''``.
     """
     flush = 200_000
 
@@ -133,50 +135,73 @@ def language_references(docs: DataFrame, options: Options = Options()) -> DataFr
     return top.select("lang", "kind", "key", "n")
 
 
+class Reference:
+    """Histograms of a language: character classes, and its common words."""
+
+    def __init__(self, rows: Iterable[tuple[str, str, int]]) -> None:
+        """``rows``: (kind, key, n)."""
+        self.classes = np.zeros(N_CLASSES)
+        self.words: dict[str, int] = {}
+        for kind, key, n in sorted(rows):
+            if kind == "class":
+                self.classes[int(key)] = n
+            else:
+                self.words[key] = n
+        self.counts = np.array(list(self.words.values()), float)
+
+    def distances(self, text: str, words: list[str], histogram: np.ndarray, options: Options) -> tuple[float | None, float | None]:
+        """Distances of classes and of common words; null where a text is too short or there is nothing to compare it to."""
+        near = far = None
+        if self.classes.any() and len(text) >= options.guard_chars:
+            near = js_distance(histogram, self.classes)
+        if self.words and len(words) >= options.guard_words:
+            of = Counter(w for w in words if w in self.words)
+            far = js_distance(np.array([of[w] for w in self.words], float), self.counts) if of else 1.0
+        return near, far
+
+
 def quality_rules(docs: DataFrame, options: Options = Options()) -> DataFrame:
     """Judge every row of ``docs(doc_id, text, lang)``.
 
     Returns ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, class_distance, word_distance, kept``. A null text has no words and fails
-    the base rules; distances are null where a guard or a missing reference leaves a
-    document uncompared. Repeated rows stay repeated and other columns are ignored.
+    the base rules; distances are null where a guard leaves a document uncompared. Very long
+    texts are read whole. Repeated rows stay repeated, an empty table gives an empty result and
+    other columns are ignored.
 
     The references of at most ``max_languages`` languages, each of ``common_words`` words and
     the character classes, travel to the executors: their size doesn't follow the corpus.
     """
     found = materialise(language_references(docs, options), "references")
-    chars = found.where("kind = 'class'").groupBy("lang").agg(F.sum("n").alias("chars")).orderBy(F.desc("chars"), "lang").limit(options.max_languages)
-    most = options.max_languages * (options.common_words + N_CLASSES)
-    classes: dict[str, np.ndarray] = {}
-    common: dict[str, dict[str, int]] = {}
-    for lang, kind, key, n in found.join(F.broadcast(chars), "lang").select("lang", "kind", "key", "n").limit(most).collect():
-        if kind == "class":
-            classes.setdefault(lang, np.zeros(N_CLASSES))[int(key)] = n
-        else:
-            common.setdefault(lang, {})[key] = n
-
-    def compare(text: str, words: list[str], lang: str, histogram: np.ndarray) -> tuple[float | None, float | None]:
-        near = far = None
-        if lang in classes and len(text) >= options.guard_chars:
-            near = js_distance(histogram, classes[lang])
-        if lang in common and len(words) >= options.guard_words:
-            reference = common[lang]
-            of = Counter(w for w in words if w in reference)
-            far = js_distance(np.array([of[w] for w in reference], float), np.array(list(reference.values()), float)) if of else 1.0
-        return near, far
+    sizes = found.where("kind = 'class'").groupBy("lang").agg(F.sum("n").alias("chars")).orderBy(F.desc("chars"), "lang").limit(options.max_languages + 1).collect()
+    large = [r["lang"] for r in sizes[: options.max_languages]]
+    by_lang: dict[str, list[tuple[str, str, int]]] = {}
+    for lang, kind, key, n in found.where(F.col("lang").isin(large)).select("lang", "kind", "key", "n").collect() if large else ():
+        by_lang.setdefault(lang, []).append((kind, key, n))
+    sent = {lang: Reference(rows) for lang, rows in by_lang.items()}
+    none = Reference(())
 
     def judge(rows: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {k: [] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept")}
-        for text, lang in zip(rows["text"], rows["lang"], strict=True):
+        joined = rows.get("reference", [None] * len(rows["text"]))
+        for text, lang, own in zip(rows["text"], rows["lang"], joined, strict=True):
             text = text or ""
             words = words_of(text)
             histogram = class_histogram(text)
             dup, repeat = repeat_counts(text, words)
             failed = len(words) < options.min_words or 100 * repeat > options.max_repeat_percent * len(words)
-            near, far = compare(text, words, lang or "", histogram)
+            reference = sent.get(lang or "", none) if own is None else Reference((r["kind"], r["key"], r["n"]) for r in own)
+            near, far = reference.distances(text, words, histogram, options)
             kept = not failed and (near or 0) <= options.max_class_distance and (far or 0) <= options.max_word_distance
             for k, v in zip(out, (len(words), len(text) - int(histogram[0]), sum(map(text.count, SYMBOLS)), dup, repeat, failed, near, far, kept), strict=True):
                 out[k].append(v)
         return {"doc_id": rows["doc_id"]} | out
 
-    return map_rows(docs.select("doc_id", "text", "lang"), judge, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, class_distance double, word_distance double, kept boolean")
+    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, class_distance double, word_distance double, kept boolean"
+    rows = docs.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"))
+    if len(sizes) <= options.max_languages:
+        return map_rows(rows, judge, schema)
+    is_large = F.col("lang").isin(large)
+    others = found.where(~is_large).groupBy("lang").agg(F.collect_list(F.struct("kind", "key", "n")).alias("reference"))  # some 70 rows a language
+    rest = rows.where(~is_large).join(others, "lang", "left").select("doc_id", "text", "lang", "reference")
+    return map_rows(rows.where(is_large), judge, schema).unionByName(map_rows(rest, judge, schema))
