@@ -38,15 +38,28 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: (verdict, host, path)
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
-#: Sites that the URL query blocks where no rule fits.
-LISTED_SITES = ["ads-track.example.com", "adult-x.example.com", "casino-win.example.net", "cheap-pills.example.net", "free-bets.example.net", "spam-farm.example.org"]
+#: Sites that the URL query blocks where no rule fits, under each domain.
+LISTED_SITES = [f"{name}.example.{domain}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for domain in ("com", "net", "org")]
+#: And single pages: of each of these hosts and languages, every page whose number leaves this remainder.
+LISTED_HOSTS = ["therhe.example.org", "ththan.example.com", "tiontion.example.net", "m.ththha.example.net", "tionble.example.org", "www.thering.example.org", "blog.theror.example.com", "m.theron.example.net"]
+LISTED_LANGUAGES, LISTED_NUMBERS, LISTED_EACH, LISTED_REMAINDER = ("de", "en", "es", "fr"), 10_000, 3, 1
+
+
+def listed_urls(spark: SparkSession) -> DataFrame:
+    """The URL query's list: 18 sites and some hundred thousand pages."""
+    from pyspark.sql import functions as F
+
+    sites = spark.createDataFrame([(f"https://{site}/",) for site in LISTED_SITES], "url string")
+    numbers = spark.range(LISTED_NUMBERS).where(F.col("id") % LISTED_EACH == LISTED_REMAINDER)
+    host, lang = (F.explode(F.array(*map(F.lit, x))) for x in (LISTED_HOSTS, LISTED_LANGUAGES))
+    pages = numbers.select("id", host.alias("host")).select("id", "host", lang.alias("lang"))
+    return sites.unionByName(pages.select(F.concat(F.lit("http://"), "host", F.lit("/"), "lang", F.lit("/"), F.col("id")).alias("url")))
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kindred.llm.url_filters import url_filter
 
-    listed = spark.createDataFrame([(f"https://{site}/",) for site in LISTED_SITES], "url string")
-    return url_filter(table(spark, sf_dir, "pages"), URL_RULES, listed)
+    return url_filter(table(spark, sf_dir, "pages"), URL_RULES, listed_urls(spark))
 
 
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 
 _RULES_SQL = ", ".join(f"('{host}{path}', '{host}', '{path}', '{verdict}')" for verdict, host, path in URL_RULES)
 _SITES_SQL = ", ".join(f"('{site}')" for site in LISTED_SITES)
+_PAGES_SQL = f"SELECT h || '/' || l || '/' || i AS page FROM (SELECT unnest({LISTED_HOSTS}) AS h), (SELECT unnest({list(LISTED_LANGUAGES)}) AS l), range({LISTED_NUMBERS}) r(i) WHERE i % {LISTED_EACH} = {LISTED_REMAINDER}"
 
 _WORDS_SQL = r"list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+', ' ', 'g'), ' '), lambda w: w <> '')"
 _SHINGLES_SQL = "CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[pos + 1:pos + 5], ' ') END AS s, greatest(len(w) - 4, 1) AS n"
@@ -140,7 +154,8 @@ parts AS (SELECT page_id, row_number() OVER () AS row_id, translate(regexp_extra
 rules(rule, rule_host, rule_path, rule_verdict) AS (VALUES {_RULES_SQL}),
 sites(site) AS (VALUES {_SITES_SQL}),
 fits AS (SELECT row_id, arg_max(rule, length(rule)) AS rule, arg_max(rule_verdict, length(rule)) AS rule_verdict FROM parts JOIN rules ON (host = rule_host OR host LIKE '%.' || rule_host) AND starts_with(path, rule_path) GROUP BY row_id),
-listed AS (SELECT DISTINCT row_id FROM parts JOIN sites ON host = site OR host LIKE '%.' || site)
+one_pages AS ({_PAGES_SQL}),
+listed AS (SELECT row_id FROM parts JOIN sites ON host = site OR host LIKE '%.' || site UNION SELECT row_id FROM parts JOIN one_pages ON host || regexp_replace(path, '/+$', '') = page)
 SELECT page_id, host, path, rule, coalesce(rule_verdict, CASE WHEN l.row_id IS NULL THEN 'allow' ELSE 'block' END) AS verdict, l.row_id IS NOT NULL AS listed
 FROM parts LEFT JOIN fits USING (row_id) LEFT JOIN listed l USING (row_id)
 """,
