@@ -10,6 +10,13 @@ contexts have; the weights, and a refinement of the mixed odds, adapt online wit
 Adaptation is by blocks of words and starts afresh in each text, so a score depends on the
 text and the trained tables only, not on how rows are dealt.
 
+A match predictor knows longer contexts. Texts are cut into passages of some sixteen words
+where the hash of two neighbouring words says so, and every passage of every training text is
+counted. A passage's probability is a mixture of its share of all those passages and of what
+the bits give it; the weight is gated by whether the passage before was such a match, and
+follows the posterior online. A training text's own passages don't count for itself. Tables of
+passages grow with the corpus and stay distributed: passages meet their counts in a join.
+
 The base score is an add-0.1 unigram of all training tokens. The commonest tokens are a
 bounded table that travels to the executors; all rarer tokens meet their counts in a join.
 """
@@ -26,6 +33,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,12 +48,19 @@ BINS = 64
 
 @dataclass(frozen=True)
 class Options:
-    """``head`` tokens with counts travel to the executors; ``vocabulary`` of them have codes; tables have 2**bits slots."""
+    """``head`` tokens with counts travel to the executors, at most.
+
+    Of them, those met ``least_coded`` times have codes, ``vocabulary`` at most; each context of
+    words has a slot a training token up to 2**``word_bits`` of them, each of bytes 2**``byte_bits``:
+    both bounds are of workers' memory. Passages end at one pair of words in ``passage`` (a power of two).
+    """
 
     head: int = 250_000
-    vocabulary: int = 8192
-    word_bits: int = 20
+    least_coded: int = 16
+    vocabulary: int = 1 << 15
+    word_bits: int = 21
     byte_bits: int = 18
+    passage: int = 16
     block: int = 64
     rate: float = 0.01
     refine_rate: float = 0.01
@@ -78,6 +93,44 @@ class Numbers(dict):
         return Numbers, (dict(self), self.other)
 
 
+class Hashes(dict):
+    """64-bit hashes of tokens; the table of a worker starts afresh when it is full."""
+
+    def __missing__(self, token: bytes) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        self[token] = h = xxhash.xxh64_intdigest(token)
+        return h
+
+    def __reduce__(self):
+        return Hashes, ()
+
+
+def passages_of(hashes: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where passages begin, and the hash of each passage, for tokens' hashes and their texts' numbers."""
+    n = len(hashes)
+    fresh = np.append(True, doc[1:] != doc[:-1])
+    pair = (np.append(np.uint64(0), hashes[:-1]) ^ (hashes << np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
+    last = (pair >> np.uint64(40)) % np.uint64(length) == 0
+    begins = fresh | np.append(True, last[:-1])
+    first = np.flatnonzero(begins)
+    place = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
+    powers = np.cumprod(np.full(int(place.max()) + 1, 0xD6E8FEB86659FD93, np.uint64))
+    return begins, np.add.reduceat((hashes ^ (hashes >> np.uint64(31))) * powers[place], first)
+
+
+@dataclass
+class Scored:
+    """A text's base score and known tokens; hashes, costs and counts in the text of its passages; rare tokens with spelled costs and passages."""
+
+    base: float
+    known: int
+    passages: np.ndarray
+    costs: np.ndarray
+    own: np.ndarray
+    rare: list[tuple[bytes, float, list[int]]]
+
+
 class Code:
     """Huffman code of the vocabulary: per symbol the inner nodes passed and the branches taken."""
 
@@ -117,11 +170,12 @@ class Bits:
 
     def __init__(self, head: list[tuple[bytes, int]], total: int, options: Options) -> None:
         self.options = options
-        words = head[: options.vocabulary]
+        words = [x for x in head[: options.vocabulary] if x[1] >= options.least_coded] or head[:1]
+        self.word_bits = min(options.word_bits, max(10, total.bit_length()))
         self.escape = len(words)
         self.symbol = Numbers({w: i for i, (w, _) in enumerate(words)}, self.escape)
         self.code = Code([*[c for _, c in words], max(0, total - sum(c for _, c in words))])
-        self.sizes = [len(self.code.size), 1 << options.word_bits, 1 << options.word_bits, 1 << 16, 1 << options.byte_bits]
+        self.sizes = [len(self.code.size), 1 << self.word_bits, 1 << self.word_bits, 1 << 16, 1 << options.byte_bits]
         self.offsets = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
 
     @property
@@ -146,7 +200,7 @@ class Bits:
             symbols, h1, h2 = symbols[order], h1[order], h2[order]
         owner, at = _expand(self.code.start[symbols], self.code.size[symbols])
         node = self.code.nodes[at]
-        shift = np.uint64(64 - self.options.word_bits)
+        shift = np.uint64(64 - self.word_bits)
         n64 = node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         slots = np.stack([node, (_mix(h1[owner], n64) >> shift).astype(np.int64) + self.offsets[1], (_mix(h2[owner], n64) >> shift).astype(np.int64) + self.offsets[2]])
         return owner, slots, self.code.bits[at]
@@ -253,6 +307,7 @@ class Mixer:
         #: Numbers of all head tokens: symbols, then (after the escape's) the others, with their base and cost after the escape.
         self.number = Numbers(dict(bits.symbol) | {w: bits.escape + 1 + i for i, w in enumerate(rest)}, -1)
         self.rest_base = np.array([math.log10((counts[w] + 0.1) / scale) for w in rest])
+        self.hashes = Hashes()
         self.rest_cost = np.array([self.escaped(counts[w], x) for w, x in zip(rest, self.spelled_costs(rest).tolist(), strict=True)])
 
     def _start(self, lanes: int) -> np.ndarray:
@@ -266,7 +321,7 @@ class Mixer:
         return np.tile(w.reshape(1, 9, 3), (lanes, 1, 1))
 
     def word_costs(self, symbols: np.ndarray, doc: np.ndarray, lanes: int) -> np.ndarray:
-        """Log10 probability of the coded words of each text, by online mixing."""
+        """Log10 probability of each of the coded words of ``lanes`` texts, by online mixing."""
         options = self.bits.options
         place = np.arange(len(symbols)) - np.searchsorted(doc, np.arange(lanes))[doc]
         block = place // options.block
@@ -281,7 +336,7 @@ class Mixer:
         size = np.concatenate([[0], np.cumsum(self.bits.code.size[symbols[order]])])
         ends = size[np.searchsorted(block[order], np.arange(block[order[-1]] + 2))]
         weights, refined = self._start(lanes).reshape(-1, 3).T.astype(np.float32).copy(), np.zeros(lanes * 24, np.float32)
-        cost = np.zeros(lanes)
+        cost = np.zeros(len(value))
         for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
             y, at = value[i:j], cell[i:j]
             x = odds[:, i:j]
@@ -291,11 +346,11 @@ class Mixer:
             mixed += refined[bucket]
             p = 1 / (1 + np.exp(-mixed))
             error = y - p
-            cost += np.bincount(lane[i:j], np.log(1 - np.abs(error)), lanes)
+            cost[i:j] = np.log(1 - np.abs(error))
             for k in range(3):
                 weights[k] += options.rate * np.bincount(at, error * x[k], lanes * 9)
             refined += options.refine_rate * np.bincount(bucket, error, lanes * 24)
-        return cost / math.log(10)
+        return np.bincount(order[owner], cost, len(symbols)) / math.log(10)
 
     def spelled_costs(self, words: list[bytes]) -> np.ndarray:
         """Log10 probability of the bytes of each word, by evidence-gated mixing."""
@@ -315,32 +370,35 @@ class Mixer:
         high, low = max(a, b), min(a, b)
         return high + math.log10(1 + 10 ** max(low - high, -300))
 
-    def score(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-        """Of each text: base and model log10 probability, and how many tokens are outside the head; those tokens in a row, and their spelled costs.
-
-        The probabilities leave those tokens out: what they add depends on counts that aren't here.
-        """
-        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        rare: list[bytes] = []
+    def score(self, texts: list[list[bytes]]) -> Iterator[Scored]:
+        """Scores of each text that leave out tokens outside the head: what they add depends on counts that aren't here."""
         escape = self.bits.escape
         for group in _grouped(texts, self.bits.options.chunk_tokens):
-            n = len(group)
             flat, numbers = self.number.of(group)
-            doc = np.repeat(np.arange(n), [len(t) for t in group])
+            size = np.array([len(t) for t in group], np.int64)
+            doc = np.repeat(np.arange(len(group)), size)
             symbols = np.where((numbers < 0) | (numbers > escape), escape, numbers)
-            cost = self.word_costs(symbols, doc, n)
-            base = np.bincount(doc, self.base_of[symbols], n)
+            cost = self.word_costs(symbols, doc, len(group))
+            base = self.base_of[symbols]
             told = np.flatnonzero(numbers > escape)
-            which = numbers[told] - escape - 1
-            base += np.bincount(doc[told], self.rest_base[which], n)
-            cost += np.bincount(doc[told], self.rest_cost[which], n)
-            at = np.flatnonzero(numbers < 0)
-            rare += [flat[i] for i in at.tolist()]
-            parts.append((base, cost, np.bincount(doc[at], minlength=n)))
-        if not parts:
-            return np.zeros(0), np.zeros(0), np.zeros(0, np.int64), [], np.zeros(0)
-        spelled = self._spell(rare)
-        return *[np.concatenate([x[k] for x in parts]) for k in range(3)], rare, np.fromiter(map(spelled.__getitem__, rare), float, len(rare))
+            base[told] += self.rest_base[numbers[told] - escape - 1]
+            cost[told] += self.rest_cost[numbers[told] - escape - 1]
+            begins, passages = passages_of(np.fromiter(map(self.hashes.__getitem__, flat), np.uint64, len(flat)), doc, self.bits.options.passage)
+            which = np.cumsum(begins) - 1
+            costs = np.bincount(which, cost, len(passages))
+            rare = np.flatnonzero(numbers < 0)
+            spelled = self._spell([flat[i] for i in rare.tolist()])
+            ends = np.cumsum(size)
+            cut = np.append(0, np.searchsorted(np.flatnonzero(begins), ends))
+            rare_cut = np.append(0, np.searchsorted(rare, ends))
+            bases = np.bincount(doc, base, len(group))
+            for k in range(len(group)):
+                own = passages[cut[k] : cut[k + 1]]
+                met: dict[bytes, list[int]] = {}
+                for i in rare[rare_cut[k] : rare_cut[k + 1]].tolist():
+                    met.setdefault(flat[i], []).append(int(which[i] - cut[k]))
+                _, inverse, often = np.unique(own, return_inverse=True, return_counts=True)
+                yield Scored(float(bases[k]), int(size[k] - rare_cut[k + 1] + rare_cut[k]), own, costs[cut[k] : cut[k + 1]], often[inverse], [(w, spelled[w], at) for w, at in met.items()])
 
     def _spell(self, words: list[bytes]) -> dict[bytes, float]:
         """Spelled costs by a table of words met before."""
@@ -440,16 +498,38 @@ def train_tables(train: DataFrame, counts: DataFrame, bits: Bits) -> np.ndarray:
     return seen[: 2 * bits.slots]
 
 
+#: First weights of a match, by whether the passage before was one, and how fast they follow.
+MATCH, FOLLOW = (0.02, 0.8), 0.05
+
+
+def mix_matches(costs: list[float], matches: list[float | None]) -> float:
+    """Log10 probability of a text from its passages' costs by bits and by share of all passages (null: none)."""
+    weight, gate, total = list(MATCH), 0, 0.0
+    for cost, match in zip(costs, matches, strict=True):
+        w = weight[gate]
+        if match is None:
+            total += cost + math.log10(1 - w)
+            posterior = 0.0
+        else:
+            a, b = math.log10(w) + match, math.log10(1 - w) + cost
+            high, low = max(a, b), min(a, b)
+            total += high + math.log10(1 + 10 ** max(low - high, -300))
+            posterior = 1 / (1 + 10 ** min(300, max(-300, b - a)))
+        weight[gate] = min(0.99, max(0.001, w + FOLLOW * (posterior - w)))
+        gate = int(posterior > 0.5)
+    return total
+
+
 def lm_scores(docs: DataFrame, options: Options = Options()) -> DataFrame:
     """Score every row of ``docs(doc_id, text)``, learning from rows outside the held-out tenth.
 
     Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
-    bits_per_byte``. Null and empty texts are the end token alone (bits per byte null); repeated
-    rows stay repeated; without training rows all counts are zero; an empty table gives an
-    empty result; other columns are ignored.
+    bits_per_byte``. Null and empty texts are the end token alone (bits per byte null); very long
+    texts are scored whole; repeated rows stay repeated; without training rows all counts are
+    zero; an empty table gives an empty result; other columns are ignored.
 
     To the driver go ``head`` counts and tables of 2**bits slots, whatever the corpus. What
-    tasks send to be summed, and the rare tokens that meet their counts in a join, grow with it.
+    tasks send to be summed, the rare tokens and the passages that meet their counts in joins, grow with it.
     """
     spark: SparkSession = docs.sparkSession
     rows = docs.select("doc_id", "text", held_out(F.col("doc_id"), FOLDS).alias("held_out"))
@@ -467,44 +547,68 @@ def lm_scores(docs: DataFrame, options: Options = Options()) -> DataFrame:
         for batch in slices(batches):
             texts = _utf8(batch.column(1))
             tokens = [tokens_of(t) for t in texts]
-            base, cost, n_rare, rare, spelled = mixer.value.score(tokens)
-            n_tokens = np.array([len(t) for t in tokens], np.int64)
-            pairs = pa.StructArray.from_arrays([pa.array(rare, pa.binary()).cast(pa.string()), pa.array(spelled, pa.float64())], ["token", "spelled"])
+            found = list(mixer.value.score(tokens))
+            rare = [x for f in found for x in f.rare]
+            at = pa.ListArray.from_arrays(np.cumsum([0, *[len(x[2]) for x in rare]], dtype=np.int32), pa.array([i for x in rare for i in x[2]], pa.int32()))
+            words = pa.StructArray.from_arrays([pa.array([x[0] for x in rare], pa.binary()).cast(pa.string()), pa.array([x[1] for x in rare], pa.float64()), at], ["token", "spelled", "at"])
+            none = [np.zeros(0)]
+            passages = pa.StructArray.from_arrays([
+                pa.array(np.concatenate([np.zeros(0, np.uint64), *[f.passages for f in found]]).view(np.int64)),
+                pa.array(np.concatenate(none + [f.costs for f in found])), pa.array(np.concatenate(none + [f.own for f in found]).astype(np.int64)),
+            ], ["hash", "cost", "own"])
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column(0).cast(pa.int64()), "held_out": batch.column(2), "text_hash": batch.column(3),
-                "n_bytes": pa.array([len(t or b"") for t in texts], pa.int64()), "n_tokens": pa.array(n_tokens), "known": pa.array(n_tokens - n_rare, pa.int64()),
-                "base": pa.array(base, pa.float64()), "score": pa.array(cost, pa.float64()),
-                "rare": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_rare)]), pa.int32()), pairs),
+                "doc_id": batch.column(0).cast(pa.int64()), "held_out": batch.column(2),
+                "n_bytes": pa.array([len(t or b"") for t in texts], pa.int64()), "n_tokens": pa.array([len(t) for t in tokens], pa.int64()),
+                "known": pa.array([f.known for f in found], pa.int64()), "base": pa.array([f.base for f in found], pa.float64()),
+                "passages": pa.ListArray.from_arrays(np.cumsum([0, *[len(f.passages) for f in found]], dtype=np.int32), passages),
+                "rare": pa.ListArray.from_arrays(np.cumsum([0, *[len(f.rare) for f in found]], dtype=np.int32), words),
             })
 
-    keyed = rows.withColumn("text_hash", F.xxhash64("text"))
-    schema = "doc_id long, held_out boolean, text_hash long, n_bytes long, n_tokens long, known long, base double, score double, rare array<struct<token: string, spelled: double>>"
-    scored = materialise(keyed.mapInArrow(score, schema), "scored")
-    key = ["doc_id", "text_hash"]
-    # tokens outside the head: none is as common as the head's rarest, so no key is hot
+    schema = "doc_id long, held_out boolean, n_bytes long, n_tokens long, known long, base double, passages array<struct<hash: long, cost: double, own: long>>, rare array<struct<token: string, spelled: double, at: array<int>>>"
+    scored = materialise(rows.mapInArrow(score, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
+
+    # passages and how often other training texts have them
+    passages = scored.select("row", "held_out", F.posexplode("passages").alias("at", "p")).select("row", "held_out", "at", "p.*")
+    learned = passages.where("not held_out").groupBy("hash").agg(F.count(F.lit(1)).alias("c"))
+    n_passages = scored.where("not held_out").agg(F.sum(F.size("passages"))).first()[0] or 0
+    others = F.coalesce("c", F.lit(0)) - F.when(F.col("held_out"), 0).otherwise(F.col("own"))
+    matched = passages.join(learned, "hash", "left").withColumn("match", F.when(others > 0, F.log10(others / F.lit(max(1, n_passages)))))
+    # tokens outside the head, once a text; one that only held-out texts have may be hot, and is split where it is
     tail = counts.where(count_bin() < least)
-    met = scored.select(*key, F.explode("rare").alias("one")).select(*key, "one.*").join(tail, "token", "left")
+    met = scored.select("row", F.explode("rare").alias("one")).select("row", "one.*").join(tail, "token", "left")
     scale = total + 0.1 * (distinct + 1)
     log = F.log10((F.coalesce(F.col("c"), F.lit(0)) + 0.1) / scale)
     by_count, by_spelling = F.log10("c") + model.by_count, F.col("spelled") + model.by_spelling
     high, low = F.greatest(by_count, by_spelling), F.least(by_count, by_spelling)
     escaped = F.when(F.col("c").isNull(), by_spelling).otherwise(high + F.log10(1 + F.pow(F.lit(10.0), F.greatest(low - high, F.lit(-300.0)))))
-    rare = met.select(*key, F.col("c").isNotNull().cast("long").alias("known"), log.alias("base"), escaped.alias("escaped"))
-    none = {c: F.lit(None).cast(t).alias(c) for c, t in (("held_out", "boolean"), ("n_bytes", "long"), ("n_tokens", "long"), ("score", "double"))}
-    facts = scored.select(*key, "held_out", "n_bytes", "n_tokens", "score", F.lit(0).cast("long").alias("rare_known"), F.lit(0.0).alias("rare_base"), F.lit(0.0).alias("rare_score"), F.col("known"), F.col("base"), F.lit(1).cast("long").alias("n"))
-    more = rare.select(*key, *none.values(), F.col("known").alias("rare_known"), F.col("base").alias("rare_base"), F.col("escaped").alias("rare_score"), F.lit(None).cast("long").alias("known"), F.lit(None).cast("double").alias("base"), F.lit(0).cast("long").alias("n"))
-    same = facts.unionByName(more).groupBy(*key).agg(
-        *[F.max(c).alias(c) for c in ("held_out", "n_bytes", "n_tokens", "score", "known", "base")], *[F.sum(c).alias(c) for c in ("rare_known", "rare_base", "rare_score", "n")]
-    )
-    # repeated rows met as often as they stand in the table
-    score_of = F.col("score") + F.col("rare_score") / F.col("n")
-    return same.withColumn("again", F.explode(F.expr("sequence(1, n)"))).select(
+    rare = met.select("row", F.explode("at").alias("at"), escaped.alias("cost"), F.lit(None).cast("double").alias("match"), log.alias("base"), F.col("c").isNotNull().cast("long").alias("known"))
+    nothing = [F.lit(0.0).alias("base"), F.lit(0).cast("long").alias("known")]
+    facts = ["doc_id", "held_out", "n_bytes", "n_tokens"]
+    blank = [F.lit(None).cast(scored.schema[c].dataType).alias(c) for c in facts]
+    # a text's rows meet in one task, where both aggregations find them
+    parts = rare.select("*", *blank).unionByName(matched.select("row", "at", "cost", "match", *nothing, *blank))
+    parts = parts.unionByName(scored.select("row", F.lit(-1).alias("at"), F.lit(0.0).alias("cost"), F.lit(None).cast("double").alias("match"), "base", "known", *facts)).repartition("row")
+    whole = parts.groupBy("row", "at").agg(F.sum("cost").alias("cost"), F.max("match").alias("match"), F.sum("base").alias("base"), F.sum("known").alias("known"), *[F.max(c).alias(c) for c in facts])
+    whole = whole.groupBy("row").agg(F.sort_array(F.collect_list(F.when(F.col("at") >= 0, F.struct("at", "cost", "match")))).alias("passages"), F.sum("base").alias("base"), F.sum("known").alias("known"), *[F.max(c).alias(c) for c in facts])
+
+    def mix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            lists = batch.column("passages")
+            cut = lists.offsets.to_numpy()
+            cut = (cut - cut[0]).tolist()
+            flat = lists.flatten()
+            costs, matches = flat.field("cost").to_pylist(), flat.field("match").to_pylist()
+            scores = [mix_matches(costs[a:b], matches[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "held_out", "n_tokens", "known", "base", "n_bytes")], pa.array(scores, pa.float64())], names=["doc_id", "held_out", "n_tokens", "known", "base", "n_bytes", "score"])
+
+    mixed = whole.select("passages", *facts, "known", "base").mapInArrow(mix, "doc_id long, held_out boolean, n_tokens long, known long, base double, n_bytes long, score double")
+    return mixed.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("known") + (F.col("rare_known") / F.col("n")).cast("long")).alias("n_known"),
+        F.col("known").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("rare_base") / F.col("n")).alias("base_score"),
-        score_of.alias("score"),
-        F.when(F.col("n_bytes") > 0, -score_of / math.log10(2) / F.col("n_bytes")).alias("bits_per_byte"),
+        F.col("base").alias("base_score"),
+        "score",
+        F.when(F.col("n_bytes") > 0, -F.col("score") / math.log10(2) / F.col("n_bytes")).alias("bits_per_byte"),
     )
