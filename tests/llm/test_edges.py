@@ -19,7 +19,7 @@ ROWS = [
     (5, LONG, "en"),
     (6, "x", "en"),
 ]
-OPTIONS = lm_mixing.Options(head=50, vocabulary=10, word_bits=10, byte_bits=10)
+OPTIONS = lm_mixing.Options(head=50, least_coded=1, vocabulary=10, word_bits=10, byte_bits=10)
 
 
 def docs(spark, empty=False):
@@ -75,6 +75,25 @@ def test_decontamination_edges(spark):
     assert kept.columns == docs(spark).columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["2", "3", "4", "5", "None"]
 
 
+def test_long_items_and_ties(spark):
+    """An item of the long text's words; of windows that tie, the first."""
+    bench = spark.createDataFrame([(0, "lorem ipsum " * 300), (1, "no such words in any of the texts here")], "item_id long, text string")
+    got = decontaminate.contaminated(docs(spark), bench).collect()
+    assert [(r["doc_id"], r["item_id"], r["start"], r["similarity"]) for r in got] == [(5, 0, 0, 1.0)]
+
+
+def test_toxicity_without_labels(spark):
+    for some in (labels(spark, True), labels(spark).where("toxic = 0")):
+        got = toxicity.toxicity(docs(spark), toxicity.fit(docs(spark), some)).collect()
+        assert len(got) == len(ROWS) and all(0 <= r["score"] < 0.5 for r in got)
+
+
+def test_redaction_keeps_types(spark):
+    df = spark.createDataFrame([(1, "token=abcdefgh1234", 99, [1.5]), (2, None, 7, None)], "doc_id long, text string, n_chars long, extra array<double>")
+    got = {r["doc_id"]: r for r in secret_scan.redact(df, secret_scan.fit(df)).collect()}
+    assert (got[1]["text"], got[1]["n_chars"], got[1]["extra"]) == ("[secret]", 8, [1.5]) and (got[2]["text"], got[2]["n_chars"]) == (None, 7)
+
+
 def test_stages_keep_columns(spark):
     df = docs(spark)
     for kept in (simhash_dedup.drop_near_copies(df), toxicity.drop_toxic(df, toxicity.fit(df, labels(spark, True))), secret_scan.redact(df, secret_scan.fit(df))):
@@ -94,6 +113,22 @@ def test_url_edges(spark):
     assert url_filters.url_filter(pages, URL_RULES, listed.limit(0)).where("verdict = 'block'").count() == 1
 
 
+def test_long_hosts_and_pages(spark):
+    host = "a." * 20_000 + "free-bets.example.net"
+    pages = spark.createDataFrame([(1, f"http://{host}/x"), (2, "http://y.example.com/" + "p/" * 50_000), (3, "https://Page.example.com/one//?q"), (4, "https://page.example.com/one/two")], "page_id long, url string")
+    listed = spark.createDataFrame([("http://free-bets.example.net",), ("page.example.com/one/",)], "url string")
+    got = {r["page_id"]: r["verdict"] for r in url_filters.url_filter(pages, URL_RULES, listed).collect()}
+    assert got == {1: "block", 2: "allow", 3: "block", 4: "allow"}
+
+
+def test_filter_of_many_keys_is_exact(spark):
+    """Several blocks, and the join by shuffle."""
+    listed = spark.range(60_000).selectExpr("concat('http://site.example.org/', id * 3) as url")
+    pages = spark.range(3000).selectExpr("id as page_id", "concat('https://SITE.example.org/', id, '/?x') as url")
+    got = url_filters.url_filter(pages, [], listed)
+    assert got.where("listed <> (page_id % 3 = 0)").count() == 0 and got.count() == 3000
+
+
 def test_chat_edges(spark):
     said = spark.createDataFrame([(1, 0, "user", None), (1, 0, "user", None), (1, 1, None, "</turn>"), (None, 0, "assistant", "### x"), (2, 5, "a: b", LONG)], "conv_id long, turn long, role string, text string")
     got = {r["conv_id"]: r for r in chat_format.read_back(chat_format.format_conversations(chat_format.as_chains(said))).collect()}
