@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.common import held_out, keep_rows, map_rows, materialise
@@ -74,10 +74,12 @@ def count_terms(words: Iterable[str]) -> Counter:
     return found
 
 
-def _ranges(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All positions of the ranges (start, size), and the range that each is of."""
-    owner = np.repeat(np.arange(len(size)), size)
-    return np.arange(len(owner)) + np.repeat(start - np.cumsum(size) + size, size), owner
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All positions of the ranges (start, size), one range after the other."""
+    ends = np.cumsum(size, dtype=np.int32)
+    out = np.repeat(start - ends + size, size)
+    out += np.arange(len(out), dtype=np.int32)
+    return out
 
 
 class BlockMaxIndex:
@@ -99,16 +101,18 @@ class BlockMaxIndex:
         #: Of each (term, block) entry: its block, its largest weight, and where its postings begin and how many there are.
         self.entry_block = (self.example[first] // block).astype(np.int32)
         self.entry_max = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
-        self.entry_start = first
-        self.entry_size = np.diff(np.append(first, len(term)))
-        self.term_start = np.searchsorted(term[first], np.arange(n_terms + 1))
+        self.entry_start = first.astype(np.int32)
+        self.entry_size = np.diff(np.append(first, len(term))).astype(np.int32)
+        self.term_start = np.searchsorted(term[first], np.arange(n_terms + 1)).astype(np.int32)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[int, float]]:
         """The k nearest examples with a positive cosine, nearest first, lower positions first on ties; exact."""
-        entry, of = _ranges(self.term_start[terms], self.term_start[terms + 1] - self.term_start[terms])
+        start = self.term_start[terms]
+        size = self.term_start[terms + 1] - start
+        entry = _ranges(start, size)
         if not len(entry):
             return []
-        block, weight = self.entry_block[entry], weights[of]
+        block, weight = self.entry_block[entry], np.repeat(weights, size)
         bounds = np.bincount(block, weight * self.entry_max[entry], self.blocks)
         order = np.argsort(-bounds, kind="stable")
         best, score, done, wave = np.zeros(0, np.int64), np.zeros(self.n), 0, 4
@@ -118,8 +122,9 @@ class BlockMaxIndex:
             chosen = np.zeros(self.blocks, bool)
             chosen[order[done : done + wave]] = True
             mine = np.flatnonzero(chosen[block])
-            at, owner = _ranges(self.entry_start[entry[mine]], self.entry_size[entry[mine]])
-            score += np.bincount(self.example[at], weight[mine][owner] * self.weight[at], self.n)
+            size = self.entry_size[entry[mine]]
+            at = _ranges(self.entry_start[entry[mine]], size)
+            score += np.bincount(self.example[at], np.repeat(weight[mine], size) * self.weight[at], self.n)
             done, wave = done + wave, 4 * wave
             top = np.flatnonzero(score > 0)
             if len(top) > k:
@@ -294,7 +299,16 @@ def count_contexts(sample: DataFrame, options: Options) -> tuple[dict[str, tuple
     names = [[f"n{y}_{f}" for f in range(options.folds)] for y in (0, 1)]
     totals = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for cs in names for c in cs]).first()
     often = sum((F.col(c) for c in names[1]), F.lit(0))
-    found = {r["term"]: tuple(np.array([r[c] for c in cs], float) for cs in names) for r in counts.where(often >= 3).collect()}
+
+    def above(left_out: int | None) -> Column:
+        """How far a term's log ratio stays above zero without a fold; as ``Model._relevance`` has it."""
+        folds = [f for f in range(options.folds) if f != left_out]
+        n0, n1 = (sum((F.col(cs[f]) for f in folds), F.lit(0.0)) + 0.5 for cs in names)
+        t0, t1 = (sum(totals[cs[f]] for f in folds) + 1.0 for cs in names)
+        return F.log(n1 / n0) + math.log(t0 / t1) - options.caution * F.sqrt(1 / n1 + 1 / n0)
+
+    telling = F.greatest(*[above(f) for f in (None, *range(options.folds))]) > -1e-6
+    found = {r["term"]: tuple(np.array([r[c] for c in cs], float) for cs in names) for r in counts.where((often >= 3) & telling).collect()}
     return found, tuple(np.array([totals[c] for c in cs], float) for cs in names)
 
 
@@ -302,7 +316,7 @@ def fit(docs: DataFrame, labels: DataFrame, options: Options = Options()) -> Mod
     """Learn, at once, from labelled rows outside the held-out fold.
 
     To the driver go the term counts of ``max_examples`` rows of each label, and the contexts of
-    terms in three or more toxic contexts of ``max_weighed`` rows of each label.
+    terms of more than the floor's relevance from ``max_weighed`` rows of each label.
     """
     sample, sizes = labelled_sample(docs, labels, options)
     contexts, totals = count_contexts(sample, options)
