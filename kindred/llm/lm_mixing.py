@@ -57,7 +57,7 @@ class Options:
 
     head: int = 250_000
     least_coded: int = 16
-    vocabulary: int = 1 << 15
+    vocabulary: int = 1 << 14
     word_bits: int = 21
     byte_bits: int = 18
     passage: int = 16
@@ -121,14 +121,28 @@ def passages_of(hashes: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.nd
 
 @dataclass
 class Scored:
-    """A text's base score and known tokens; hashes, costs and counts in the text of its passages; rare tokens with spelled costs and passages."""
+    """Of a group of texts: base scores and known tokens; passages' hashes, costs and counts in their text; rare tokens, once a text, with spelled costs and passages.
 
-    base: float
-    known: int
+    ``n_passages``, ``n_rare`` and ``n_at`` say how many belong to each text, text and rare token.
+    """
+
+    base: np.ndarray
+    known: np.ndarray
     passages: np.ndarray
     costs: np.ndarray
     own: np.ndarray
-    rare: list[tuple[bytes, float, list[int]]]
+    n_passages: np.ndarray
+    rare: list[bytes]
+    spelled: np.ndarray
+    n_rare: np.ndarray
+    at: np.ndarray
+    n_at: np.ndarray
+
+
+def _alike(values: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """How often each value is in its group."""
+    _, inverse, often = np.unique(_mix(values, group.astype(np.uint64)), return_inverse=True, return_counts=True)
+    return often[inverse]
 
 
 class Code:
@@ -308,6 +322,8 @@ class Mixer:
         self.number = Numbers(dict(bits.symbol) | {w: bits.escape + 1 + i for i, w in enumerate(rest)}, -1)
         self.rest_base = np.array([math.log10((counts[w] + 0.1) / scale) for w in rest])
         self.hashes = Hashes()
+        #: Hashes of tokens by number; the escape's and the rare ones' place is never read.
+        self.hash_of = np.fromiter((xxhash.xxh64_intdigest(w) for w in [*bits.symbol, b"", *rest]), np.uint64, len(bits.symbol) + 1 + len(rest))
         self.rest_cost = np.array([self.escaped(counts[w], x) for w, x in zip(rest, self.spelled_costs(rest).tolist(), strict=True)])
 
     def _start(self, lanes: int) -> np.ndarray:
@@ -371,7 +387,7 @@ class Mixer:
         return high + math.log10(1 + 10 ** max(low - high, -300))
 
     def score(self, texts: list[list[bytes]]) -> Iterator[Scored]:
-        """Scores of each text that leave out tokens outside the head: what they add depends on counts that aren't here."""
+        """Scores, group by group, that leave out tokens outside the head: what they add depends on counts that aren't here."""
         escape = self.bits.escape
         for group in _grouped(texts, self.bits.options.chunk_tokens):
             flat, numbers = self.number.of(group)
@@ -383,22 +399,29 @@ class Mixer:
             told = np.flatnonzero(numbers > escape)
             base[told] += self.rest_base[numbers[told] - escape - 1]
             cost[told] += self.rest_cost[numbers[told] - escape - 1]
-            begins, passages = passages_of(np.fromiter(map(self.hashes.__getitem__, flat), np.uint64, len(flat)), doc, self.bits.options.passage)
-            which = np.cumsum(begins) - 1
-            costs = np.bincount(which, cost, len(passages))
             rare = np.flatnonzero(numbers < 0)
-            spelled = self._spell([flat[i] for i in rare.tolist()])
-            ends = np.cumsum(size)
-            cut = np.append(0, np.searchsorted(np.flatnonzero(begins), ends))
-            rare_cut = np.append(0, np.searchsorted(rare, ends))
-            bases = np.bincount(doc, base, len(group))
-            for k in range(len(group)):
-                own = passages[cut[k] : cut[k + 1]]
-                met: dict[bytes, list[int]] = {}
-                for i in rare[rare_cut[k] : rare_cut[k + 1]].tolist():
-                    met.setdefault(flat[i], []).append(int(which[i] - cut[k]))
-                _, inverse, often = np.unique(own, return_inverse=True, return_counts=True)
-                yield Scored(float(bases[k]), int(size[k] - rare_cut[k + 1] + rare_cut[k]), own, costs[cut[k] : cut[k + 1]], often[inverse], [(w, spelled[w], at) for w, at in met.items()])
+            hashes = self.hash_of[numbers]
+            words = [flat[i] for i in rare.tolist()]
+            hashes[rare] = np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
+            begins, passages = passages_of(hashes, doc, self.bits.options.passage)
+            which = np.cumsum(begins) - 1
+            of = doc[begins]
+            first = np.searchsorted(of, np.arange(len(group)))
+            own = _alike(passages, of)
+            # a rare token of a text stands where it is met first, with all its passages
+            number, start, often = np.unique(_mix(hashes[rare], doc[rare].astype(np.uint64)), return_index=True, return_counts=True)
+            order = np.argsort(start)
+            kind = np.empty(len(number), np.int64)
+            kind[order] = np.arange(len(number))
+            spread = np.argsort(kind[np.searchsorted(number, _mix(hashes[rare], doc[rare].astype(np.uint64)))], kind="stable")
+            words = [words[i] for i in start[order].tolist()]
+            spelled = self._spell(words)
+            yield Scored(
+                np.bincount(doc, base, len(group)), size - np.bincount(doc[rare], minlength=len(group)),
+                passages, np.bincount(which, cost, len(passages)), own, np.bincount(of, minlength=len(group)),
+                words, np.fromiter(map(spelled.__getitem__, words), float, len(words)), np.bincount(doc[rare[start]], minlength=len(group)),
+                (which[rare] - first[doc[rare]])[spread], often[order],
+            )
 
     def _spell(self, words: list[bytes]) -> dict[bytes, float]:
         """Spelled costs by a table of words met before."""
@@ -548,31 +571,32 @@ def lm_scores(docs: DataFrame, options: Options = Options()) -> DataFrame:
             texts = _utf8(batch.column(1))
             tokens = [tokens_of(t) for t in texts]
             found = list(mixer.value.score(tokens))
-            rare = [x for f in found for x in f.rare]
-            at = pa.ListArray.from_arrays(np.cumsum([0, *[len(x[2]) for x in rare]], dtype=np.int32), pa.array([i for x in rare for i in x[2]], pa.int32()))
-            words = pa.StructArray.from_arrays([pa.array([x[0] for x in rare], pa.binary()).cast(pa.string()), pa.array([x[1] for x in rare], pa.float64()), at], ["token", "spelled", "at"])
-            none = [np.zeros(0)]
-            passages = pa.StructArray.from_arrays([
-                pa.array(np.concatenate([np.zeros(0, np.uint64), *[f.passages for f in found]]).view(np.int64)),
-                pa.array(np.concatenate(none + [f.costs for f in found])), pa.array(np.concatenate(none + [f.own for f in found]).astype(np.int64)),
-            ], ["hash", "cost", "own"])
+
+            def lists(n: str, values: pa.Array, found: list[Scored] = found) -> pa.ListArray:
+                return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.concatenate([np.zeros(0, np.int64), *[getattr(f, n) for f in found]]))), pa.int32()), values)
+
+            def column(n: str, kind: pa.DataType, found: list[Scored] = found) -> pa.Array:
+                return pa.array(np.concatenate([np.zeros(0, kind.to_pandas_dtype()), *[getattr(f, n) for f in found]]), kind)
+
+            words = pa.array([w for f in found for w in f.rare], pa.binary()).cast(pa.string())
+            rare = pa.StructArray.from_arrays([words, column("spelled", pa.float64()), lists("n_at", column("at", pa.int32()))], ["token", "spelled", "at"])
+            hashes = pa.array(np.concatenate([np.zeros(0, np.uint64), *[f.passages for f in found]]).view(np.int64))
+            passages = pa.StructArray.from_arrays([hashes, column("costs", pa.float64()), column("own", pa.int64())], ["hash", "cost", "own"])
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column(0).cast(pa.int64()), "held_out": batch.column(2),
                 "n_bytes": pa.array([len(t or b"") for t in texts], pa.int64()), "n_tokens": pa.array([len(t) for t in tokens], pa.int64()),
-                "known": pa.array([f.known for f in found], pa.int64()), "base": pa.array([f.base for f in found], pa.float64()),
-                "passages": pa.ListArray.from_arrays(np.cumsum([0, *[len(f.passages) for f in found]], dtype=np.int32), passages),
-                "rare": pa.ListArray.from_arrays(np.cumsum([0, *[len(f.rare) for f in found]], dtype=np.int32), words),
+                "known": column("known", pa.int64()), "base": column("base", pa.float64()), "passages": lists("n_passages", passages), "rare": lists("n_rare", rare),
             })
 
     schema = "doc_id long, held_out boolean, n_bytes long, n_tokens long, known long, base double, passages array<struct<hash: long, cost: double, own: long>>, rare array<struct<token: string, spelled: double, at: array<int>>>"
     scored = materialise(rows.mapInArrow(score, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
 
-    # passages and how often other training texts have them
-    passages = scored.select("row", "held_out", F.posexplode("passages").alias("at", "p")).select("row", "held_out", "at", "p.*")
-    learned = passages.where("not held_out").groupBy("hash").agg(F.count(F.lit(1)).alias("c"))
+    # passages that other training texts have, and how often; a training text's own don't count
+    passages = scored.select("row", F.col("held_out").alias("new"), F.posexplode("passages").alias("at", "p")).select("row", "at", "p.hash", F.when(F.col("new"), 0).otherwise(F.col("p.own")).alias("own"))
+    learned = scored.where("not held_out").select(F.explode("passages.hash").alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("c"))
     n_passages = scored.where("not held_out").agg(F.sum(F.size("passages"))).first()[0] or 0
-    others = F.coalesce("c", F.lit(0)) - F.when(F.col("held_out"), 0).otherwise(F.col("own"))
-    matched = passages.join(learned, "hash", "left").withColumn("match", F.when(others > 0, F.log10(others / F.lit(max(1, n_passages)))))
+    others = F.col("c") - F.col("own")
+    matched = passages.join(learned, "hash").where(others > 0).select("row", F.struct("at", F.log10(others / F.lit(max(1, n_passages))).alias("match")).alias("match"))
     # tokens outside the head, once a text; one that only held-out texts have may be hot, and is split where it is
     tail = counts.where(count_bin() < least)
     met = scored.select("row", F.explode("rare").alias("one")).select("row", "one.*").join(tail, "token", "left")
@@ -581,27 +605,38 @@ def lm_scores(docs: DataFrame, options: Options = Options()) -> DataFrame:
     by_count, by_spelling = F.log10("c") + model.by_count, F.col("spelled") + model.by_spelling
     high, low = F.greatest(by_count, by_spelling), F.least(by_count, by_spelling)
     escaped = F.when(F.col("c").isNull(), by_spelling).otherwise(high + F.log10(1 + F.pow(F.lit(10.0), F.greatest(low - high, F.lit(-300.0)))))
-    rare = met.select("row", F.explode("at").alias("at"), escaped.alias("cost"), F.lit(None).cast("double").alias("match"), log.alias("base"), F.col("c").isNotNull().cast("long").alias("known"))
-    nothing = [F.lit(0.0).alias("base"), F.lit(0).cast("long").alias("known")]
+    rare = met.select("row", F.struct("at", escaped.alias("cost")).alias("rare"), (F.size("at") * log).alias("base"), F.when(F.col("c").isNotNull(), F.size("at")).otherwise(0).cast("long").alias("known"))
     facts = ["doc_id", "held_out", "n_bytes", "n_tokens"]
-    blank = [F.lit(None).cast(scored.schema[c].dataType).alias(c) for c in facts]
-    # a text's rows meet in one task, where both aggregations find them
-    parts = rare.select("*", *blank).unionByName(matched.select("row", "at", "cost", "match", *nothing, *blank))
-    parts = parts.unionByName(scored.select("row", F.lit(-1).alias("at"), F.lit(0.0).alias("cost"), F.lit(None).cast("double").alias("match"), "base", "known", *facts)).repartition("row")
-    whole = parts.groupBy("row", "at").agg(F.sum("cost").alias("cost"), F.max("match").alias("match"), F.sum("base").alias("base"), F.sum("known").alias("known"), *[F.max(c).alias(c) for c in facts])
-    whole = whole.groupBy("row").agg(F.sort_array(F.collect_list(F.when(F.col("at") >= 0, F.struct("at", "cost", "match")))).alias("passages"), F.sum("base").alias("base"), F.sum("known").alias("known"), *[F.max(c).alias(c) for c in facts])
+    own = scored.select("row", *facts, "known", "base", F.col("passages.cost").alias("costs"))
+    parts = own.unionByName(rare, allowMissingColumns=True).unionByName(matched, allowMissingColumns=True)
+    whole = parts.groupBy("row").agg(
+        *[F.max(c).alias(c) for c in facts], F.first("costs", ignorenulls=True).alias("costs"), F.sum("known").alias("known"), F.sum("base").alias("base"), F.collect_list("rare").alias("rare"), F.collect_list("match").alias("matches")
+    )
+
+    def places(lists: pa.ListArray, begins: np.ndarray) -> np.ndarray:
+        """Where the first passage of each element's text is."""
+        cut = lists.offsets.to_numpy()
+        return np.repeat(begins, np.diff(cut))
 
     def mix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            lists = batch.column("passages")
-            cut = lists.offsets.to_numpy()
-            cut = (cut - cut[0]).tolist()
-            flat = lists.flatten()
-            costs, matches = flat.field("cost").to_pylist(), flat.field("match").to_pylist()
-            scores = [mix_matches(costs[a:b], matches[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "held_out", "n_tokens", "known", "base", "n_bytes")], pa.array(scores, pa.float64())], names=["doc_id", "held_out", "n_tokens", "known", "base", "n_bytes", "score"])
-
-    mixed = whole.select("passages", *facts, "known", "base").mapInArrow(mix, "doc_id long, held_out boolean, n_tokens long, known long, base double, n_bytes long, score double")
+            cut = batch.column("costs").offsets.to_numpy()
+            cut = cut - cut[0]
+            costs = batch.column("costs").flatten().to_numpy().copy()
+            rare, matches = batch.column("rare"), batch.column("matches")
+            words = rare.flatten()
+            size = np.diff(words.field("at").offsets.to_numpy())[: len(words)]
+            at = np.repeat(places(rare, cut[:-1]), size) + words.field("at").flatten().to_numpy()
+            np.add.at(costs, at, np.repeat(words.field("cost").to_numpy(), size))
+            found = matches.flatten()
+            match = np.full(len(costs), np.nan)
+            match[places(matches, cut[:-1]) + found.field("at").to_numpy()] = found.field("match").to_numpy()
+            each, shares = costs.tolist(), [None if x != x else x for x in match.tolist()]
+            scores = [mix_matches(each[a:b], shares[a:b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+            names = ["doc_id", "held_out", "n_tokens", "known", "base", "n_bytes"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(scores, pa.float64())], names=[*names, "score"])
+
+    mixed = whole.mapInArrow(mix, "doc_id long, held_out boolean, n_tokens long, known long, base double, n_bytes long, score double")
     return mixed.select(
         "doc_id",
         "held_out",
