@@ -61,7 +61,7 @@ def best_paths(messages: DataFrame, n_best: int = 1) -> DataFrame:
     ``path`` is the leaf, ``back`` the distance from it. Branches are ranked by mean score,
     then length, then the leaf that sorts first. A parent that isn't there makes a root;
     a null score counts as zero; messages on a cycle hang from no root and are in no path.
-    ``node`` must be unique.
+    ``node`` must be unique. Other columns are ignored; an empty table gives an empty result.
     """
     rows = messages.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     known = rows.select(F.col("node").alias("parent"), F.lit(True).alias("there"))
@@ -91,8 +91,8 @@ def format_conversations(messages: DataFrame, n_best: int = 1, trained: str = "a
     """Return ``tree, rank, formatted, mask array<struct<start, end>>``: one row a chosen branch.
 
     ``messages`` has ``tree, node, parent, score, role, text``; other columns are ignored.
-    Null roles and texts count as empty; an empty table gives an empty result. A conversation
-    is one row, so its turns meet in one task, as its text does in any case.
+    Null roles and texts count as empty, very long texts are taken whole; an empty table gives an
+    empty result. A conversation is one row, so its turns meet in one task, as its text does in any case.
     """
     paths = best_paths(messages, n_best)
     turns = paths.join(messages.select("node", "tree", "role", "text"), "node")

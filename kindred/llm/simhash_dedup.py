@@ -8,7 +8,8 @@ with each half on top, and the budget down to depth 32 is k // 2: few pairs surv
 
 The work is dealt by pairs of prefixes: a unit holds the fingerprints of two prefixes within
 the budget. Prefixes lengthen until no unit is large, and exact copies share one
-fingerprint, so neither copies nor crowded prefixes gather in a task. Where a link within the
+fingerprint, so neither copies nor crowded prefixes gather in a task (hashes spread evenly: the
+longest prefix tried has room for some billions of fingerprints). Where a link within the
 radius is all that counts, a unit returns a spanning forest of what it has linked, not its
 pairs; node pairs whose leaves are already in one component are dropped. Where the texts of a
 link are compared too, a unit returns all links but those inside one component of links that
@@ -353,7 +354,9 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, width: int = 5) -> Data
     shingles. All links within the radius are tried, and those stay whose sets of
     ``width``-word shingles have a Jaccard similarity of ``threshold`` or more. A spanning
     forest of least distances is tried first: what its similar links hold together need not be
-    tried pair by pair. Texts with no words are one class. Rows with a null id are never copies.
+    tried pair by pair. Texts with no words (null, empty, white space) are one class; very long
+    texts are read whole. Rows with a null id are never copies; a repeated row is one copy; an
+    empty table gives an empty result; other columns, whatever their names, are ignored.
     """
 
     def run(rows: dict[str, list]) -> dict[str, list]:
@@ -421,5 +424,9 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, width: int = 5) -> Data
 
 
 def drop_near_copies(docs: DataFrame, threshold: float = 0.8, width: int = 5) -> DataFrame:
-    """Rows of ``docs``, all columns, but the near copies of one with a smaller id; rows that repeat an id stay or go together."""
+    """Rows of ``docs``, all columns (those of clashing names too), but the near copies of one with a smaller id.
+
+    Rows that repeat an id stay or go together, rows with a null id stay, texts with no words
+    are copies of each other, an empty table gives an empty result.
+    """
     return drop_ids(docs, near_copies(docs, threshold, width).select("doc_id"))

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
+import numpy as np
+import regex
 import sentencepiece
+from test_llm_operators import _contaminated
 
 import corpus_pipeline
-from kindred.llm import decontaminate, secret_scan, simhash_dedup, toxicity
+from kindred.llm import secret_scan, simhash_dedup, toxicity
 from kindred.llm.common import lower_ascii, table, words_of
 from kindred.llm.queries import model_path
 
@@ -21,12 +25,31 @@ def test_stage_names_and_columns(spark):
         assert stage(spark, docs, SF).columns == docs.columns
 
 
-def test_run_against_brute_force(spark):
-    docs = {r["doc_id"]: r["text"] for r in table(spark, SF, "documents").collect()}
-    model = toxicity.fit(table(spark, SF, "documents"), table(spark, SF, "labels"))
-    docs = {i: t for i, t in docs.items() if model.score(t)[0] < 0.5}
+def toxic(model, texts):
+    """Ids of texts that all pairs of vectors call toxic."""
+    space, index = model.space, model.space.index
+    vectors = np.zeros((index.n, len(model.terms)))
+    for term in range(len(model.terms)):
+        for e in range(index.term_start[term], index.term_start[term + 1]):
+            at = slice(index.entry_start[e], index.entry_start[e] + index.entry_size[e])
+            vectors[index.example[at], term] = index.weight[at]
+    found = set()
+    for i, text in texts.items():
+        terms, counts = model.numbers(toxicity.terms_of(text))
+        _, weights = space.vector(terms, counts)
+        cosine = vectors[:, terms] @ weights
+        near = [k for k in np.argsort(-cosine, kind="stable")[: model.options.neighbours] if cosine[k] > 0]
+        w = cosine[near] * space.rates[near] / space.rates.max()
+        vote = (w @ space.labels[near] + model.options.smoothing * space.prior) / (w.sum() + model.options.smoothing)
+        if model.curve[0] + model.curve[1] * math.log(vote / (1 - vote)) >= 0:
+            found.add(i)
+    return found
+
+
+def representatives(docs):
+    """The least id of each group of texts that are equal by words or similar by shingles, from all pairs."""
     sets = {i: (" ".join(words_of(lower_ascii(t))), set(simhash_dedup.shingles(t, 5))) for i, t in docs.items()}
-    kept: dict[int, int] = {i: i for i in docs}
+    kept = {i: i for i in docs}
 
     def find(i):
         while kept[i] != i:
@@ -40,18 +63,38 @@ def test_run_against_brute_force(spark):
             if wa == wb or (len(sa & sb) >= 0.8 * len(sa | sb) and sa and sb):
                 a, b = find(ids[x]), find(ids[y])
                 kept[max(a, b)] = min(a, b)
-    docs = {i: t for i, t in docs.items() if find(i) == i}
-    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
-    bad = {r["doc_id"] for r in decontaminate.contaminated(frame, table(spark, SF, "benchmark")).collect()}
+    return {i for i in docs if find(i) == i}
+
+
+def clean(docs, items):
+    """Ids of texts without a near copy of an item, from all windows."""
+    plain = lambda t: regex.sub(r"[^\p{L}\p{M}\p{N}]+", " ", t.lower()).split()
+    ids = list(docs)
+    bad = {ids[d] for d, _ in _contaminated([plain(docs[i]) for i in ids], [plain(t) for t in items])}
+    return set(ids) - bad
+
+
+def test_run_against_brute_force(spark):
+    docs = {r["doc_id"]: r["text"] for r in table(spark, SF, "documents").collect()}
+    model = toxicity.fit(table(spark, SF, "documents"), table(spark, SF, "labels"))
+    bad = toxic(model, docs)
     docs = {i: t for i, t in docs.items() if i not in bad}
-    scanner = secret_scan.fit(frame.where(~frame["doc_id"].isin(list(bad)) if bad else frame["doc_id"].isNotNull()))
+    docs = {i: docs[i] for i in representatives(docs)}
+    docs = {i: docs[i] for i in clean(docs, [r["text"] for r in table(spark, SF, "benchmark").collect()])}
+    scanner = secret_scan.fit(spark.createDataFrame(list(docs.items()), "doc_id long, text string"))
     library = sentencepiece.SentencePieceProcessor(model_file=model_path())
     want = {}
     for i, t in docs.items():
-        for _, a, b in reversed(scanner.spans(t)[1]):
-            inside = any(s[1] < a < s[2] for s in scanner.spans(t)[1])
-            t = t if inside else t[:a] + "[secret]" + t[max(b, *(s[2] for s in scanner.spans(docs[i])[1] if s[1] < b and s[2] > a)) :]
-        want[i] = hashlib.sha256(",".join(map(str, library.encode(t))).encode()).hexdigest()
+        apart: list[list[int]] = []
+        for _, start, end in scanner.spans(t)[1]:
+            if apart and start < apart[-1][1]:
+                apart[-1][1] = max(end, apart[-1][1])
+            else:
+                apart.append([start, end])
+        shown = t
+        for start, end in reversed(apart):
+            shown = shown[:start] + "[secret]" + shown[end:]
+        want[i] = hashlib.sha256(",".join(map(str, library.encode(shown))).encode()).hexdigest()
     got = {r["doc_id"]: r["ids_sha256"] for r in corpus_pipeline.run(spark, SF).collect()}
     assert got.keys() == want.keys()
     assert sum(got[i] != want[i] for i in want) == 0
