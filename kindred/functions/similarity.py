@@ -1,9 +1,14 @@
-"""String similarities on normalised Indel (longest common subsequence), in Arrow batches over distinct pairs."""
+"""String similarities on normalised Indel (longest common subsequence), in Arrow batches over distinct pairs.
+
+Each measure has a form for one pair, which says what it is, and one for many pairs, which
+works on all of a batch together, array operation by array operation.
+"""
 
 from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -100,16 +105,153 @@ def token_set_ratio(a: str, b: str) -> float:
 SIMILARITIES = {"edit": ratio, "partial": partial_ratio, "token_sort": token_sort_ratio, "token_set": token_set_ratio}
 _STRUCT = T.StructType([T.StructField(k, T.DoubleType()) for k in SIMILARITIES])
 
+#: Pairs of strings that are worked on at once, and the longest of them (others go one by one).
+AT_ONCE, LONGEST = 8192, 63
+
+
+def _matrices(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """Characters as small numbers, a row a string, filled up by numbers that match nothing; lengths; and how many numbers there are."""
+    sizes = [np.array([len(x) for x in side], np.int64) for side in (a, b)]
+    points = np.frombuffer("".join(a + b).encode("utf-32-le", "surrogatepass"), "<u4")
+    _, number = np.unique(points, return_inverse=True)
+    n, cut, out = int(number.max(initial=-1)) + 1, 0, []
+    for k, size in enumerate(sizes):
+        made = np.full((len(size), int(size.max(initial=0))), n + k, np.int64)
+        made[np.arange(made.shape[1]) < size[:, None]] = number[cut : cut + size.sum()]
+        cut += int(size.sum())
+        out.append(made)
+    return *out, *sizes, n + 2
+
+
+def lcs_lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """Lengths of the longest common subsequences of pairs, ``a`` of at most 63 characters: one bit a character, all pairs together."""
+    x, y, m, _, n = _matrices(a, b)
+    rows = np.arange(len(x))
+    masks = np.zeros((len(x), n), np.uint64)
+    for i in range(x.shape[1]):
+        masks[rows, x[:, i]] |= np.uint64(1) << np.uint64(i)
+    masks[:, n - 2 :] = 0
+    full = (np.uint64(1) << m.astype(np.uint64)) - np.uint64(1)
+    row = full.copy()
+    for j in range(y.shape[1]):
+        hit = row & masks[rows, y[:, j]]
+        row = ((row + hit) | (row - hit)) & full
+    return m - np.bitwise_count(row).astype(np.int64)
+
+
+def best_windows(a: list[str], b: list[str]) -> np.ndarray:
+    """Best ratio of each ``a`` with the windows of its ``b``, as ``window_lcs`` has them, all pairs together; neither is blank."""
+    x, y, m, n, _ = _matrices(a, b)
+    size, high = x.shape[1], y.shape[1]
+    below = np.repeat(np.arange(size, size + high, dtype=np.int32)[:, None], len(x), 1)
+    columns = np.ascontiguousarray(y.T)
+    for i in range(size):
+        ch, strand = x[:, i], np.full(len(x), size - 1 - i, np.int32)
+        for j in range(high):
+            swap = (columns[j] == ch) | (strand > below[j])
+            strand, below[j] = np.where(swap, below[j], strand), np.where(swap, strand, below[j])
+    rows = np.arange(len(x))
+    enters, leaves = np.full((high, len(x)), -1, np.int32), np.full((high, len(x)), high + 1, np.int32)
+    j, k = np.nonzero(below >= size)
+    i = below[j, k] - size
+    enters[j, k], leaves[i, k] = i, j
+    unused, low, best = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64), np.zeros(len(x))
+    for end in range(1, int((m + n).max())):
+        stop, live = np.minimum(end, n), end < m + n
+        if end <= high:
+            unused += (end <= n) & (enters[end - 1] >= low)
+        moves = live & (end > m)
+        unused -= moves & (leaves[np.minimum(low, high - 1), rows] < stop)
+        low += moves
+        found = 2 * (stop - low - unused) / np.maximum(1, m + stop - np.maximum(0, end - m))
+        best = np.where(live, np.maximum(best, found), best)
+    return best
+
+
+def _in_groups(a: list[str], b: list[str], some, one) -> np.ndarray:
+    """``some(a, b)`` of pairs of at most ``LONGEST`` characters, those of like lengths together, and ``one`` of each of the others."""
+    out = np.zeros(len(a))
+    short = [i for i in range(len(a)) if len(a[i]) <= LONGEST and len(b[i]) <= LONGEST]
+    short.sort(key=lambda i: (len(a[i]), len(b[i])))
+    for at in range(0, len(short), AT_ONCE):
+        ids = short[at : at + AT_ONCE]
+        out[ids] = some([a[i] for i in ids], [b[i] for i in ids])
+    for i in set(range(len(a))).difference(short):
+        out[i] = one(a[i], b[i])
+    return out
+
+
+def ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """``ratio`` of pairs."""
+    out = np.array([float(x == y) for x, y in zip(a, b, strict=True)])
+    rest = [i for i in range(len(a)) if a[i] and b[i] and a[i] != b[i]]
+    # the shorter first: it has the bits
+    x, y = [min(a[i], b[i], key=len) for i in rest], [max(b[i], a[i], key=len) for i in rest]
+    if rest:
+        total = np.array([len(p) + len(q) for p, q in zip(x, y, strict=True)])
+        out[rest] = 2 * _in_groups(x, y, lcs_lengths, lcs_length) / total
+    return out
+
+
+def partial_ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """``partial_ratio`` of pairs."""
+    out, rest, x, y = np.zeros(len(a)), [], [], []
+    for i, (p, q) in enumerate(zip(a, b, strict=True)):
+        p, q = (p, q) if len(p) <= len(q) else (q, p)
+        if not p:
+            out[i] = float(p == q)
+        elif p in q:
+            out[i] = 1.0
+        else:
+            for both in ((p, q), (q, p)) if len(p) == len(q) else ((p, q),):
+                rest.append(i)
+                x.append(both[0])
+                y.append(both[1])
+    if rest:
+        np.maximum.at(out, rest, _in_groups(x, y, best_windows, _best_window))
+    return out
+
+
+def token_set_ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """``token_set_ratio`` of pairs."""
+    out, rest, x, y = np.zeros(len(a)), [], [], []
+    for i, (p, q) in enumerate(zip(a, b, strict=True)):
+        s, t = set(p.split()), set(q.split())
+        if not s or not t:
+            out[i] = float(p == q)
+            continue
+        shared = " ".join(sorted(s & t))
+        if shared and (s <= t or t <= s):
+            out[i] = 1.0
+            continue
+        left, right = (" ".join(filter(None, (shared, " ".join(sorted(z))))) for z in (s - t, t - s))
+        for both in ((left, right), (shared, left), (shared, right)) if shared else ((left, right),):
+            rest.append(i)
+            x.append(both[0])
+            y.append(both[1])
+    if rest:
+        np.maximum.at(out, rest, ratios(x, y))
+    return out
+
+
+def token_sort_ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """``token_sort_ratio`` of pairs."""
+    return ratios([" ".join(sorted(x.split())) for x in a], [" ".join(sorted(x.split())) for x in b])
+
+
+MANY = {"edit": ratios, "partial": partial_ratios, "token_sort": token_sort_ratios, "token_set": token_set_ratios}
+
 
 @F.pandas_udf(_STRUCT)
 def all_similarities(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """The four similarities of string pairs, serialised once."""
-    return pd.DataFrame([{k: f(x or "", y or "") for k, f in SIMILARITIES.items()} for x, y in zip(a, b, strict=True)], columns=list(SIMILARITIES))
+    x, y = a.fillna("").tolist(), b.fillna("").tolist()
+    return pd.DataFrame({k: f(x, y) for k, f in MANY.items()}, columns=list(MANY))
 
 
 @F.pandas_udf(T.DoubleType())
 def edit_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([ratio(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
+    return pd.Series(ratios(a.fillna("").tolist(), b.fillna("").tolist()), dtype="float64")
 
 
 @F.pandas_udf(T.DoubleType())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -72,3 +74,14 @@ def test_similarity_conventions():
     for f in similarity.SIMILARITIES.values():
         assert f("", "") == 1 and f("a", "") == 0 and f("ab c", "ab c") == 1
     assert similarity.token_set_ratio("a b c", "b a") == 1 and similarity.token_sort_ratio("b a", "a b") == 1
+
+
+def test_many_pairs_are_one_by_one():
+    rng = random.Random(13)
+    words = ["alpha", "beta", "gam ma", "x", "été", "b", "aa", "abab", "", "12 34", "z" * 70]
+    a = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 5))) for _ in range(900)]
+    b = [x if rng.random() < 0.1 else " ".join(rng.choice(words) for _ in range(rng.randint(0, 5))) for x in a]
+    for name, many in similarity.MANY.items():
+        want = [similarity.SIMILARITIES[name](x, y) for x, y in zip(a, b, strict=True)]
+        got = many(a, b).tolist()
+        assert all(abs(x - y) < 1e-12 for x, y in zip(got, want, strict=True)), name
