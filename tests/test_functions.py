@@ -85,3 +85,9 @@ def test_many_pairs_are_one_by_one():
         want = [similarity.SIMILARITIES[name](x, y) for x, y in zip(a, b, strict=True)]
         got = many(a, b).tolist()
         assert all(abs(x - y) < 1e-12 for x, y in zip(got, want, strict=True)), name
+
+
+def test_listed_marks_only():
+    """Thai and Devanagari vowel signs are in the listed ranges, Bengali ones aren't."""
+    some = NormOptions(keep_all_marks=False)
+    assert text.norm_python("हिमाचल", some) == "हिमाचल" and text.norm_python("বাংলা", some) != "বাংলা" == text.norm_python("বাংলা")

@@ -10,6 +10,7 @@ import pytest
 
 import __spark_entry__
 from kindred.operators import blocking, profile
+from kindred.options import Budget
 from kindred.plans import catalogue, cli, matching, reports
 from kindred.sources import tables
 from kindred.streaming.arrivals import match_arrivals
@@ -64,7 +65,14 @@ def test_train_and_infer(spark, tmp_path):
     links = tables.read_ground_truth(spark, gt).selectExpr("s1_id", "explode(matched) as candidate_id").join(loaded.selectExpr("entity_id as candidate_id", "source"), "candidate_id")
     trained = matching.train(loaded, links, str(tmp_path / "train"), boosting={"rounds": 3})
     assert trained.scores[trained.name] > 0.8 and trained.recall["recall"] > 0.9 and "threshold" in matching.report(trained)
-    found, _ = matching.infer(loaded, trained, str(tmp_path / "test"))
+    matching.save(trained, str(tmp_path / "model"))
+    assert matching.is_saved(spark, str(tmp_path / "model")) and not matching.is_saved(spark, str(tmp_path / "none"))
+    again = matching.load(spark, str(tmp_path / "model"))
+    assert (again.name, again.threshold, again.scores) == (trained.name, trained.threshold, trained.scores)
+    if trained.model is not None:
+        written = spark.read.option("header", True).csv(str(tmp_path / "model/importances")).collect()
+        assert len(written) == 41 and [float(r["importance"]) for r in written] == sorted((float(r["importance"]) for r in written), reverse=True)
+    found, _ = matching.infer(loaded, again, str(tmp_path / "test"))
     assert found.count() == 120
     want = dict(truth)
     right = sum(r["matched_entity_ids"] == ",".join(sorted(filter(None, want[r["source1_entity_id"]].split(",")))) for r in found.collect())
@@ -73,6 +81,27 @@ def test_train_and_infer(spark, tmp_path):
     assert written.columns == ["source1_entity_id", "matched_entity_ids"] and written.count() == 120
 
 
+def test_choices_and_caches(spark, tmp_path):
+    rows, truth = businesses(30, 5)
+    paths = [write(tmp_path / f"s{s}.tsv", [tables.COLUMNS, *rows[s]]) for s in (1, 2, 3)]
+    loaded = cli.load(spark, paths, str(tmp_path / "cache"))
+    few = cli.chosen(loaded, source=3, limit=7)
+    assert few.where("source = 1").count() == 7 and few.where("source = 2").count() == 0 and few.where("source = 3").count() == len(rows[3])
+    assert [r["entity_id"] for r in few.where("source = 1").orderBy("entity_id").collect()] == sorted(r[0] for r in rows[1])[:7]
+    gt = write(tmp_path / "gt.tsv", [["source1_entity_id", "matched_entity_ids"], *truth])
+    for _ in range(2):
+        assert tables.load_cached_truth(spark, gt, str(tmp_path / "cache")).count() == 30
+    targets = loaded.where("source > 1")
+    made = [tables.load_cached_postings(targets, str(tmp_path / "cache"), "t", Budget(max_token_df=n)).count() for n in (1, 100, 100)]
+    assert made[0] < made[1] == made[2] and len(list((tmp_path / "cache").glob("postings-*"))) == 2
+    queries = loaded.where("source = 1")
+    listed = tables.load_cached_postings(targets, str(tmp_path / "cache"), "t", Budget(max_token_df=100))
+    plain, prepared = (sorted(map(tuple, blocking.retrieve(queries, targets, Budget(max_token_df=100, per_s1=4), x).collect())) for x in (None, listed))
+    assert plain == prepared
+    a = cli.arguments(["retrieve", "--sources", *paths, "--out", "o", "--limit", "3", "--source", "2", "--split", "test", "--force", "--fast"])
+    assert (a.limit, a.source, a.split, a.force, a.fast) == (3, 2, "test", True, True)
+
+
 def test_arrivals(spark, tmp_path):
     rows, _ = businesses(20, 9)
     paths = [write(tmp_path / f"s{s}.tsv", [tables.COLUMNS, *rows[s]]) for s in (1, 2, 3)]
@@ -120,6 +149,7 @@ def test_reports(spark):
     rows = catalogue.entities(spark, SF, "part")
     parts = {"columns": profile.columns(rows), "none": rows.limit(0)}
     text = reports.as_markdown("Profile", parts)
+    assert "and 7 more rows" in str(reports.collected({"columns": profile.columns(rows)}, shown=2))
     assert text.startswith("# Profile") and "| source | field |" in text and "No rows." in text and '"n_rows"' in reports.as_json(parts)
 
 
