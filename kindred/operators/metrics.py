@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions.channels import CHANNELS, has
+from kindred.operators import cells
 from kindred.operators.blocking import PAIR, evidence_score, tokens_of
 
 
@@ -13,7 +14,8 @@ def per_record(pairs: DataFrame, truth: DataFrame, keys: tuple[str, ...] = ()) -
     """``s1_id, n_true, n_cand, recalled`` of records with truth; those without candidates count zero."""
     on = ["s1_id", *keys]
     true = truth.select(*on, "candidate_id").distinct()
-    cand = pairs.select(*on, "candidate_id").distinct()
+    # of pairs only those of records with truth travel
+    cand = pairs.join(cells.sent(true.select(*on).distinct()), on, "left_semi").select(*on, "candidate_id").distinct()
     hit = true.join(cand, [*on, "candidate_id"], "left_semi").groupBy(*on).agg(F.count(F.lit(1)).alias("recalled"))
     return true.groupBy(*on).agg(F.count(F.lit(1)).alias("n_true")).join(cand.groupBy(*on).agg(F.count(F.lit(1)).alias("n_cand")), on, "left").join(hit, on, "left").fillna(0, ["n_cand", "recalled"])
 
