@@ -11,9 +11,9 @@ the budget. Prefixes lengthen until no unit is large, and exact copies share one
 fingerprint, so neither copies nor crowded prefixes gather in a task (hashes spread evenly: the
 longest prefix tried has room for some billions of fingerprints). Where a link within the
 radius is all that counts, a unit returns a spanning forest of what it has linked, not its
-pairs; node pairs whose leaves are already in one component are dropped. Where the texts of a
-link are compared too, a unit returns all links but those inside one component of links that
-have passed.
+pairs; node pairs whose leaves are already in one component are dropped. Where the texts of
+links are compared too, that is done inside the links' components, by units that return a
+spanning forest as well.
 """
 
 from __future__ import annotations
@@ -345,78 +345,117 @@ def place(rows: DataFrame, named: DataFrame, key: str) -> DataFrame:
 #: Radius of the word fingerprints whose texts are compared: texts of which four fifths of the shingles agree differ in 3 bits at the median.
 WORD_RADIUS = 7
 
+#: Classes of a block of a large cluster (a unit compares two), blocks of a cluster while they don't grow, and most classes of a block.
+BLOCK_ROWS, BLOCKS, MOST_BLOCK_ROWS = 128, 16, 1 << 14
+
+
+def similar_forest(fps: np.ndarray, sets: list[np.ndarray], radius: int, threshold: float, cluster: np.ndarray, part: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+    """Spanning edges of the pairs within ``radius`` bits whose sets have a Jaccard similarity of ``threshold`` or more.
+
+    ``sets`` are without repeats. Every pair of one cluster (and, given their parts, of different parts) is compared but those inside one component of what has passed and those whose sizes rule it out.
+    """
+    size = np.array([len(x) for x in sets], np.int64)
+    start = np.cumsum(size) - size
+    values, flat = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
+    mine, label = np.zeros(len(values), bool), np.arange(len(sets))
+    for x in range(len(sets) - 1):
+        near = (np.bitwise_count(fps[x + 1 :] ^ fps[x]) <= radius) & (label[x + 1 :] != label[x])
+        near &= cluster[x + 1 :] == cluster[x]
+        near &= np.minimum(size[x + 1 :], size[x]) + 1e-6 >= threshold * np.maximum(size[x + 1 :], size[x])
+        if part is not None:
+            near &= part[x + 1 :] != part[x]
+        left = x + 1 + np.flatnonzero(near & (size[x + 1 :] > 0))
+        if not len(left):
+            continue
+        own = flat[start[x] : start[x] + size[x]]
+        mine[own] = True
+        while len(left):
+            some, left = left[:4096], left[4096:]
+            first = np.cumsum(size[some]) - size[some]
+            at = np.arange(size[some].sum()) + np.repeat(start[some] - first, size[some])
+            shared = np.add.reduceat(mine[flat[at]], first, dtype=np.int64)
+            for y in some[shared >= threshold * (size[x] + size[some] - shared)].tolist():
+                if label[x] != label[y]:
+                    label[label == label[y]] = label[x]
+                    yield x, y
+        mine[own] = False
+
+
+def similar_links(rows: DataFrame, radius: int, threshold: float) -> DataFrame:
+    """Edges ``a, b`` that connect what the similar pairs of ``rows(cluster, least, fp, sh)`` connect; pairs of different clusters aren't tried.
+
+    ``sh`` has the 64-bit hashes of a set. Small clusters share a unit, and large ones are cut into blocks whose pairs are the units:
+    neither the rows of a unit nor those that it returns grow with the square of a cluster. Of a cluster of up to
+    ``BLOCKS * MOST_BLOCK_ROWS`` rows, each is sent ``BLOCKS`` times at most, of a larger one once a block.
+    """
+    sizes = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK_ROWS)
+    # one of BLOCK_ROWS rows at most
+    large = materialise(sizes.select("cluster", F.ceil(F.col("n") / F.least(F.lit(MOST_BLOCK_ROWS), F.greatest(F.lit(BLOCK_ROWS), F.ceil(F.col("n") / BLOCKS)))).cast("int").alias("blocks")), "large")
+    units = max(1, rows.count() // (2 * BLOCK_ROWS))
+    known = rows.join(F.broadcast(large) if large.count() <= MAX_BROADCAST_IDS else large, "cluster", "left")
+    few = known.where("blocks is null").select(F.pmod(F.xxhash64("cluster"), F.lit(units)).alias("unit"), F.lit(-1).alias("low"), F.lit(-1).alias("high"), F.lit(-1).alias("part"), "cluster", "least", "fp", "sh")
+    part = F.pmod(F.xxhash64("least", "fp"), "blocks").cast("int")
+    many = known.where("blocks is not null").select(F.col("cluster").alias("unit"), part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "cluster", "least", "fp", "sh")
+    many = many.select("unit", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "cluster", "least", "fp", "sh")
+
+    def compare(key: tuple, found: pa.Table) -> pa.Table:
+        part = found.column("part").to_numpy() if key[1].as_py() != key[2].as_py() else None
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for chunk in found.column("sh").chunks for x in chunk]
+        edges = np.array(list(similar_forest(found.column("fp").to_numpy().view(np.uint64), sets, radius, threshold, found.column("cluster").to_numpy(), part)), np.int64).reshape(-1, 2)
+        least = found.column("least").to_numpy()
+        return pa.table({"a": least[edges[:, 0]], "b": least[edges[:, 1]]})
+
+    return few.unionByName(many).groupBy("unit", "low", "high").applyInArrow(compare, "a long, b long")
+
 
 def near_copies(docs: DataFrame, threshold: float = 0.8, width: int = 5) -> DataFrame:
     """Return ``doc_id, component_id`` of the rows of ``docs(doc_id, text)`` that are copies of a row with a smaller id.
 
     Texts of the same lower-cased words are one class. Classes are joined by the trie join
     on word fingerprints, which differ in few bits where a few words do, unlike those of
-    shingles. All links within the radius are tried, and those stay whose sets of
-    ``width``-word shingles have a Jaccard similarity of ``threshold`` or more. A spanning
-    forest of least distances is tried first: what its similar links hold together need not be
-    tried pair by pair. Texts with no words (null, empty, white space) are one class; very long
-    texts are read whole. Rows with a null id are never copies; a repeated row is one copy; an
-    empty table gives an empty result; other columns, whatever their names, are ignored.
+    shingles. The links' components are clusters, in which all links within the radius are tried,
+    and those stay whose sets of ``width``-word shingles have a Jaccard similarity of ``threshold``
+    or more. Tasks return spanning edges of those, not pairs. Texts with no words (null, empty, white space)
+    are one class; very long texts are read whole. Rows with a null id are never copies; a repeated
+    row is one copy; an empty table gives an empty result; other columns, whatever their names, are ignored.
     """
 
+    def hashed(text: str | None) -> tuple[list[str], str, np.ndarray]:
+        words = words_of(lower_ascii(text or ""))
+        found = shingle_hashes(words, {w: xxhash.xxh64_intdigest(w.encode(), 42) for w in set(words)}, width)
+        return words, xxhash.xxh3_128_hexdigest(" ".join(words).encode()), found
+
     def run(rows: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"doc_id": rows["doc_id"], "same": [], "alike": [], "fp": [], "size": [], "bits": []}
+        out: dict[str, list] = {"doc_id": rows["doc_id"], "same": [], "alike": [], "fp": []}
         for t in rows["text"]:
-            words = words_of(lower_ascii(t or ""))
+            words, same, found = hashed(t)
             fp = word_fingerprint(words)
-            found = shingle_hashes(words, {w: xxhash.xxh64_intdigest(w.encode(), 42) for w in set(words)}, width)
-            out["same"].append(xxhash.xxh3_128_hexdigest(" ".join(words).encode()))
-            out["alike"].append(xxhash.xxh3_128_hexdigest(found.tobytes()))
+            out["same"].append(same)
+            out["alike"].append(xxhash.xxh3_128_hexdigest(found.tobytes()) if words else None)
             out["fp"].append(fp - (1 << 64) if fp >> 63 else fp)
-            out["size"].append(len(found))
-            out["bits"].append(bitmap(found))
         return out
 
-    schema = "doc_id long, same string, alike string, fp long, size int, bits binary"
-    rows = materialise(map_rows(docs.select("doc_id", "text").where("doc_id is not null"), run, schema), "words")
-    # equal words have equal hashes, fingerprints and bitmaps; classes go by their least id
-    facts = [F.min(c).alias(c) for c in ("alike", "fp", "size", "bits")]
-    classes = materialise(rows.groupBy("same").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), *facts), "classes")
-
     def shingle_sets(rows: dict[str, list]) -> dict[str, list]:
-        return {"doc_id": rows["doc_id"], "sh": [sorted({xxhash.xxh64_intdigest(x) - (1 << 63) for x in shingles(t, width)}) for t in rows["text"]]}
-
-    def agreeing(rows: dict[str, list]) -> dict[str, list]:
-        both = [(x, y) for x, a, n, y, b, m in zip(*(rows[c] for c in ("x", "bits_x", "size_x", "y", "bits_y", "size_y")), strict=True) if may_agree(a, n, b, m, threshold)]
-        return {"a": [x for x, _ in both], "b": [y for _, y in both]}
-
-    def side(c: str) -> DataFrame:
-        return classes.select(F.col("fp").alias("a" if c == "x" else "b"), F.col("least").alias(c), F.col("size").alias(f"size_{c}"), F.col("bits").alias(f"bits_{c}"))
-
-    def similar(pairs: DataFrame, name: str) -> DataFrame:
-        """Those of ``pairs(x, bits_x, size_x, y, bits_y, size_y)`` that pass, as ``a, b``: by bitmaps, then by the texts' shingles."""
-        close = F.least("size_x", "size_y") + F.lit(1e-6) >= F.lit(threshold) * F.greatest("size_x", "size_y")
-        links = materialise(map_rows(pairs.where(close), agreeing, "a long, b long"), f"{name}_links")
-        ends = links.select(F.col("a").alias("doc_id")).unionByName(links.select(F.col("b").alias("doc_id"))).distinct()
-        few = ends.count() <= MAX_BROADCAST_IDS
-        texts = docs.select("doc_id", "text").join(F.broadcast(ends) if few else ends, "doc_id")
-        sets = materialise(map_rows(texts, shingle_sets, "doc_id long, sh array<long>").dropDuplicates(["doc_id"]), f"{name}_sets")
-        both = links.join(sets.select(F.col("doc_id").alias("a"), F.col("sh").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("sh").alias("sb")), "b")
-        shared = F.size(F.array_intersect("sa", "sb"))
-        return materialise(both.where(shared >= F.lit(threshold) * (F.size("sa") + F.size("sb") - shared)).select("a", "b"), f"{name}_similar")
+        found = [hashed(t) for t in rows["text"]]
+        return {"least": rows["doc_id"], "same": [same for _, same, _ in found], "sh": [sh.tobytes() for _, _, sh in found]}
 
+    rows = materialise(map_rows(docs.select("doc_id", "text").where("doc_id is not null"), run, "doc_id long, same string, alike string, fp long"), "words")
+    # equal words have equal hashes and fingerprints; classes go by their least id
+    facts = [F.min(c).alias(c) for c in ("alike", "fp")]
+    classes = materialise(rows.groupBy("same").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), *facts), "classes")
     # classes of the same shingles hang from the least of them
-    first = classes.where("size > 0").groupBy("alike").agg(F.min("least").alias("a"))
+    first = classes.groupBy("alike").agg(F.min("least").alias("a")).where("alike is not null")
     equal = classes.join(first, "alike").where("least <> a").select("a", F.col("least").alias("b"))
-    forest = link_forest(classes.select("fp").distinct(), WORD_RADIUS, nearest=True).distinct()
-    heads = classes.groupBy("fp").agg(F.min("least").alias("head"))
-    ends = [side(c).join(heads.select(F.col("head").alias(c)), c) for c in "xy"]
-    known = materialise(equal.unionByName(similar(forest.join(ends[0], "a").join(ends[1], "b"), "forest")), "known")
-    roots = connected_components(known)
-    labels = classes.join(roots.withColumnRenamed("node", "least"), "least", "left").select("least", "fp", "size", F.coalesce("root", "least").alias("label"))
-    labels = materialise(labels, "labels")
-    one_label = F.when(F.min("label") == F.max("label"), F.min("label"))
-    fps = materialise(labels.groupBy("fp").agg(one_label.alias("label"), F.min("size").alias("least_size"), F.max("size").alias("most_size")), "fps")
-    inside = fps.where("label is null").select(F.col("fp").alias("a"), F.col("fp").alias("b"))
-    named_x, named_y = (labels.select(F.col("least").alias(c), F.col("label").alias(f"label_{c}")) for c in "xy")
-    links = materialise(open_links(fps, WORD_RADIUS, threshold).unionByName(inside), "open")
-    left = links.join(side("x").join(named_x, "x"), "a").join(side("y").join(named_y, "y"), "b").where("label_x <> label_y and (a <> b or x < y)")
-    roots = connected_components(known.unionByName(similar(left.drop("a", "b", "label_x", "label_y"), "open")))
+    # what has a link, or shares its fingerprint
+    fps = classes.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
+    clusters = connected_components(link_forest(classes.select("fp").distinct(), WORD_RADIUS)).withColumnRenamed("node", "fp")
+    linked = fps.join(clusters, "fp", "left").where("root is not null or n > 1").select("fp", "n", F.coalesce("root", "fp").alias("component_id"))
+    open_ = materialise(place(classes.select("same", "least", "fp"), linked, "fp").withColumnRenamed("component_id", "cluster"), "open")
+    ends = open_.select(F.col("least").alias("doc_id")).distinct()
+    texts = docs.select("doc_id", "text").join(F.broadcast(ends) if open_.count() <= MAX_BROADCAST_IDS else ends, "doc_id")
+    sets = map_rows(texts, shingle_sets, "least long, same string, sh binary").dropDuplicates(["least", "same"])
+    tried = materialise(open_.join(sets, ["least", "same"]).select("cluster", "least", "fp", "sh"), "sets")
+    roots = connected_components(equal.unionByName(similar_links(tried, WORD_RADIUS, threshold)))
     least = roots.groupBy("root").agg(F.min("node").alias("component_id"))
     moved = materialise(roots.join(least, "root").select(F.col("node").alias("least"), "component_id"), "moved")
     named = classes.join(moved, "least", "left").select("same", "n", F.coalesce("component_id", "least").alias("component_id"))

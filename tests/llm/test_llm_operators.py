@@ -257,6 +257,55 @@ def test_near_copies_past_nearer_unlike_texts(spark):
     assert {(r["doc_id"], r["component_id"]) for r in simhash_dedup.near_copies(docs).collect()} == {(3, 1)}
 
 
+def test_groups_of_near_unlike_texts_make_no_pairs(spark, monkeypatch):
+    """Of a group whose fingerprints are all near and whose texts are mostly unlike, no table grows with its square."""
+    rng = random.Random(8)
+    base, n = [f"w{i % 40}" for i in range(400)], 300
+    rng.shuffle(base)
+    texts = []
+    for i in range(n):
+        words = [*base]
+        for at in rng.sample(range(400), 14 if i % 10 else 4):
+            words[at] = f"w{rng.randrange(40)}"
+        texts.append(words)
+    fps = [simhash_dedup.word_fingerprint(w) for w in texts]
+    sets = [set(simhash_dedup.shingles(" ".join(w), 5)) for w in texts]
+    near = [(x, y) for x, y in itertools.combinations(range(n), 2) if (fps[x] ^ fps[y]).bit_count() <= 7]
+    want = _components(n, [(x, y) for x, y in near if len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])])
+    assert len(near) > 20_000 and 20 < sum(want[i] != i for i in range(n)) < n // 2
+    made, write = [], simhash_dedup.materialise
+
+    def counted(df, name="step"):
+        made.append((write(df, name), name))
+        return made[-1][0]
+
+    monkeypatch.setattr(simhash_dedup, "materialise", counted)
+    monkeypatch.setattr(components, "materialise", counted)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in simhash_dedup.near_copies(docs).collect()} == {(i, c) for i, c in enumerate(want) if i != c}
+    assert max(df.count() for df, _ in made) <= 10 * n
+
+
+@pytest.mark.parametrize("blocks", (None, 3))
+def test_similar_links_connect_what_all_pairs_do(spark, monkeypatch, blocks):
+    """In one unit or in pairs of blocks; clusters stay apart."""
+    rng = np.random.default_rng(4)
+    rows, sets = [], {}
+    for i in range(90):
+        own = rng.choice(60, int(rng.integers(1, 6)), replace=False)
+        sets[i] = set(range(40)) - set(own.tolist())
+        fp = int(rng.integers(0, 16))
+        rows.append((i % 2, i, fp, np.array(sorted(sets[i]), np.uint64).tobytes()))
+    if blocks:
+        monkeypatch.setattr(simhash_dedup, "BLOCK_ROWS", 8)
+        monkeypatch.setattr(simhash_dedup, "BLOCKS", blocks)
+    df = spark.createDataFrame(rows, "cluster long, least long, fp long, sh binary")
+    got = [(r["a"], r["b"]) for r in simhash_dedup.similar_links(df, 2, 0.9).collect()]
+    want = [(x, y) for (c, x, f, _), (d, y, g, _) in itertools.combinations(rows, 2) if c == d and (f ^ g).bit_count() <= 2 and len(sets[x] & sets[y]) >= 0.9 * len(sets[x] | sets[y])]
+    assert {tuple(sorted(e)) for e in got} <= set(want) and len(got) < len(want)
+    assert _components(90, got) == _components(90, want)
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_bitmaps_never_rule_out_similar_sets(seed):
     rng = np.random.default_rng(seed)
