@@ -10,7 +10,9 @@ making its words look toxic.
 Labelled examples form a block-max inverted index: for each term, the blocks of examples that
 have it, its largest weight in each, and its postings there. A search bounds every block by
 the query's terms, then reads blocks from the highest bound down, until the next bound is below
-the worst of the k nearest: the neighbours are exact. Their votes, weighted by similarity, are
+the worst of the k nearest: the neighbours are exact. Terms that a tenth of the examples or more have
+would loosen the bounds and make most of the postings: what they give is added up for all examples first, and only the
+other terms are bounded. Their votes, weighted by similarity, are
 calibrated by a logistic curve that is fitted on examples voted on by other folds only, with
 relevances of those other folds.
 """
@@ -20,7 +22,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -34,6 +36,10 @@ _TERM = re.compile(r"\w+")
 FOLDS = 5
 #: Lengths of the beginnings that count as terms.
 STEMS = (5, 7)
+#: Terms that one of so many examples has, or more of them, are frequent.
+FREQUENT = 20
+#: Texts whose frequent terms are added up together, and how far such a sum may be off.
+TOGETHER, NOISE = 64, 1e-12
 
 
 @dataclass(frozen=True)
@@ -77,9 +83,22 @@ def count_terms(words: Iterable[str]) -> Counter:
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """All positions of the ranges (start, size), one range after the other."""
     ends = np.cumsum(size, dtype=np.int32)
-    out = np.repeat(start - ends + size, size)
-    out += np.arange(len(out), dtype=np.int32)
-    return out
+    return np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class Words(dict):
+    """Numbers of words met, and of each the numbers of its terms that some example has (-1: none)."""
+
+    def __init__(self, terms: dict[str, int]) -> None:
+        self.known, self.terms = terms, np.empty((1024, 1 + len(STEMS)), np.int64)
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        if n == len(self.terms):
+            self.terms = np.concatenate([self.terms, np.empty_like(self.terms)])
+        found = [self.known.get(t, -1) for t in features_of(word)]
+        self.terms[n] = found + [-1] * (1 + len(STEMS) - len(found))
+        return n
 
 
 class BlockMaxIndex:
@@ -104,34 +123,78 @@ class BlockMaxIndex:
         self.entry_start = first.astype(np.int32)
         self.entry_size = np.diff(np.append(first, len(term))).astype(np.int32)
         self.term_start = np.searchsorted(term[first], np.arange(n_terms + 1)).astype(np.int32)
+        self.begins = np.arange(0, self.n, block)
+        self.block_of = np.arange(self.n) // block
+        self.frequent: tuple[np.ndarray, np.ndarray] | None = None
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[int, float]]:
-        """The k nearest examples with a positive cosine, nearest first, lower positions first on ties; exact."""
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"frequent": None}
+
+    def _frequent(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each term its row, -1 for rare ones, in the weights of the frequent terms by example."""
+        start = np.append(self.entry_start, len(self.example))[self.term_start]
+        size = np.diff(start)
+        terms = np.flatnonzero((size > 0) & (size * FREQUENT >= self.n))
+        row = np.full(len(size), -1, np.int32)
+        row[terms] = np.arange(len(terms))
+        weights = np.zeros((len(terms), self.n))
+        at = _ranges(start[terms], size[terms])
+        weights[np.repeat(row[terms], size[terms]), self.example[at]] = self.weight[at]
+        return row, weights
+
+    def by_frequent(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What frequent terms add to each vector's cosine with each example, within ``NOISE``."""
+        if self.frequent is None:
+            self.frequent = self._frequent()
+        row, often = self.frequent
+        asked = np.zeros((len(vectors), len(often)))
+        for i, (terms, weights) in enumerate(vectors):
+            at = row[terms]
+            asked[i, at[at >= 0]] = weights[at >= 0]
+        return asked @ often
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, score: np.ndarray | None = None) -> list[tuple[int, float]]:
+        """The k nearest examples with a positive cosine, nearest first, lower positions first on ties; exact.
+
+        ``score``: the vector's row of ``by_frequent``, if it is known; overwritten.
+        """
+        if not self.n:
+            return []
+        if score is None:
+            score = self.by_frequent([(terms, weights)])[0]
+        row, often = self.frequent[0][terms], self.frequent[1]
+        # what frequent terms give is known of all examples, so their part of a bound is the block's largest
+        rare = row < 0
+        common, row, terms, weights = weights[~rare], row[~rare], terms[rare], weights[rare]
         start = self.term_start[terms]
         size = self.term_start[terms + 1] - start
         entry = _ranges(start, size)
-        if not len(entry):
-            return []
         block, weight = self.entry_block[entry], np.repeat(weights, size)
-        bounds = np.bincount(block, weight * self.entry_max[entry], self.blocks)
+        bounds = np.bincount(block, weight * self.entry_max[entry], self.blocks) + np.maximum.reduceat(score, self.begins)
         order = np.argsort(-bounds, kind="stable")
-        best, score, done, wave = np.zeros(0, np.int64), np.zeros(self.n), 0, 4
+        top, worst, read, done, wave = np.zeros(0, np.int64), -1.0, np.zeros(self.blocks, bool), 0, 16
+        by_rare = np.zeros(self.n)
         while done < self.blocks and bounds[order[done]] > 0:
-            if len(best) == k and bounds[order[done]] < score[best[-1]] - 1e-12:
+            if bounds[order[done]] < worst - NOISE:
                 break
             chosen = np.zeros(self.blocks, bool)
             chosen[order[done : done + wave]] = True
             mine = np.flatnonzero(chosen[block])
             size = self.entry_size[entry[mine]]
             at = _ranges(self.entry_start[entry[mine]], size)
-            score += np.bincount(self.example[at], np.repeat(weight[mine], size) * self.weight[at], self.n)
-            done, wave = done + wave, 4 * wave
-            top = np.flatnonzero(score > 0)
+            more = np.bincount(self.example[at], np.repeat(weight[mine], size) * self.weight[at], self.n)
+            score += more
+            by_rare += more
+            read |= chosen
+            done, wave = done + wave, 2 * wave
+            top = np.flatnonzero((score > 0) & read[self.block_of])
             if len(top) > k:
-                least = np.partition(score[top], len(top) - k)[len(top) - k]
-                top = top[score[top] >= least]
-            best = top[np.lexsort((top, -score[top]))][:k]
-        return [(int(i), float(score[i])) for i in best]
+                worst = np.partition(score[top], len(top) - k)[len(top) - k]
+                top = top[score[top] >= worst - NOISE]
+        # sums in one order, whatever other texts were added up together
+        exact = (common[:, None] * often[row[:, None], top]).sum(axis=0) + by_rare[top]
+        best = np.lexsort((top, -exact))[:k]
+        return list(zip(top[best].tolist(), exact[best].tolist(), strict=True))
 
 
 @dataclass
@@ -170,7 +233,16 @@ class Space:
 
     def vote(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[int]]:
         """Share of toxic among the nearest examples, weighted by similarity and smoothed towards the prior; their positions."""
-        near = self.index.nearest(*self.vector(terms, counts), self.options.neighbours)
+        return next(self.votes([(terms, counts)]))
+
+    def votes(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[float, list[int]]]:
+        """The same of several texts' terms and counts."""
+        for i in range(0, len(texts), TOGETHER):
+            vectors = [self.vector(*x) for x in texts[i : i + TOGETHER]]
+            for (terms, weights), score in zip(vectors, self.index.by_frequent(vectors), strict=True):
+                yield self._vote(self.index.nearest(terms, weights, self.options.neighbours, score))
+
+    def _vote(self, near: list[tuple[int, float]]) -> tuple[float, list[int]]:
         at = [i for i, _ in near]
         w = np.array([s for _, s in near]) * self.rates[at] / max(self.rates.max(initial=1.0), 1.0)
         return float((w @ self.labels[at] + self.options.smoothing * self.prior) / (w.sum() + self.options.smoothing)), at
@@ -231,10 +303,10 @@ class Model:
         if len(set(labels)) == 2:
             w = np.array(weights)
             self.curve = fit_curve(np.array(votes), np.array(labels, float), w * len(w) / w.sum())
-        self._numbers: dict[str, tuple[int, ...]] = {}
+        self._words: Words | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_numbers": {}}
+        return self.__dict__ | {"_words": None}
 
     def _relevance(self, n0: np.ndarray, n1: np.ndarray, t0: float, t1: float) -> np.ndarray:
         """Square of how far the log ratio of context rates stays above zero after ``caution`` standard errors."""
@@ -243,25 +315,25 @@ class Model:
 
     def numbers(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of a text's terms that some example has, ascending, and their counts."""
-        if len(self._numbers) > 200_000:
-            self._numbers.clear()
-        met, flat, often = self._numbers, [], []
-        for word, n in Counter(words).items():
-            if (own := met.get(word)) is None:
-                own = met[word] = tuple(self.terms[t] for t in features_of(word) if t in self.terms)
-            flat += own
-            often += [n] * len(own)
-        terms, where = np.unique(np.array(flat, np.int64), return_inverse=True)
-        return terms, np.bincount(where, np.array(often, float), len(terms))
+        if self._words is None or len(self._words) > 200_000:
+            self._words = Words(self.terms)
+        met, times = np.unique(np.fromiter(map(self._words.__getitem__, words), np.int64, len(words)), return_counts=True)
+        found = self._words.terms[met].ravel()
+        some = found >= 0
+        terms, where = np.unique(found[some], return_inverse=True)
+        return terms, np.bincount(where, np.repeat(times, 1 + len(STEMS))[some], len(terms))
 
     def score(self, text: str | None) -> tuple[float, list[int]]:
         """Calibrated probability that a text is toxic, and the ids of its three nearest examples."""
+        return self.scores([text])[0]
+
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list[int]]]:
+        """The same of several texts; a text's doesn't depend on the others."""
         if not self.space.ids:
-            return 0.0, []
-        vote, at = self.space.vote(*self.numbers(terms_of(text)))
+            return [(0.0, [])] * len(texts)
         a, b = self.curve
-        p = 1 / (1 + math.exp(-min(30.0, max(-30.0, a + b * logit(vote)))))
-        return p, [self.space.ids[i] for i in at[:3]]
+        votes = self.space.votes([self.numbers(terms_of(t)) for t in texts])
+        return [(1 / (1 + math.exp(-min(30.0, max(-30.0, a + b * logit(vote))))), [self.space.ids[i] for i in at[:3]]) for vote, at in votes]
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, options: Options) -> tuple[DataFrame, dict[int, int]]:
@@ -350,7 +422,7 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(rows: dict[str, list]) -> dict[str, list]:
-        found = [shared.value.score(t) for t in rows["text"]]
+        found = shared.value.scores(rows["text"])
         return {"doc_id": rows["doc_id"], "held_out": rows["held_out"], "score": [s for s, _ in found], "predicted": [int(s >= 0.5) for s, _ in found], "evidence": [e for _, e in found]}
 
     keyed = docs.select("doc_id", "text", held_out(F.col("doc_id"), FOLDS).alias("held_out"))
@@ -363,4 +435,4 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     Null and empty texts stay, repeated rows stay or go together, an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return keep_rows(docs, lambda texts: [shared.value.score(t)[0] < 0.5 for t in texts])
+    return keep_rows(docs, lambda texts: [p < 0.5 for p, _ in shared.value.scores(texts)])

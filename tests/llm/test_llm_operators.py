@@ -560,6 +560,36 @@ def test_block_max_index_is_exact():
     assert index.nearest(np.zeros(0, np.int64), np.zeros(0), 3) == []
 
 
+def test_search_reads_few_postings_of_frequent_terms(monkeypatch):
+    """Neighbours stay exact, whatever is searched with them, and postings of terms that most examples have aren't read."""
+    rng = np.random.default_rng(6)
+    vectors = []
+    for _ in range(640):
+        terms = np.sort(np.concatenate([rng.choice(40, 30, replace=False), 40 + rng.choice(400, 4, replace=False)]))
+        w = np.where(terms < 40, 0.2, 1.0) * rng.integers(1, 4, len(terms))
+        vectors.append((terms, w / np.sqrt(w @ w)))
+    vectors[500] = vectors[20]
+    index = toxicity.BlockMaxIndex(vectors, 440, 32)
+    whole = np.zeros((640, 440))
+    for i, (terms, w) in enumerate(vectors):
+        whole[i, terms] = w
+    read, ranges = [], toxicity._ranges
+    index.nearest(*vectors[0], 5)
+
+    def counted(start, size):
+        read.append(int(size.sum()))
+        return ranges(start, size)
+
+    monkeypatch.setattr(toxicity, "_ranges", counted)
+    for (terms, w), score in zip(vectors[:50], index.by_frequent(vectors[:50]), strict=True):
+        want = whole[:, terms] @ w
+        got = index.nearest(terms, w, 5)
+        assert got == index.nearest(terms, w, 5, score)
+        assert np.allclose([s for _, s in got], np.sort(want)[::-1][:5], rtol=0, atol=1e-12) and all(abs(want[i] - s) < 1e-12 for i, s in got)
+    assert [i for i, _ in index.nearest(*vectors[20], 2)] == [20, 500]
+    assert sum(read) < 0.1 * 101 * sum(len(terms) for terms, _ in vectors) * 30 / 40
+
+
 def test_toxicity_scores_are_brute_force(spark):
     """Each text's score from all pairs: TF-IDF of all terms, cosines, votes and the curve, by dictionaries."""
     rng = random.Random(3)
