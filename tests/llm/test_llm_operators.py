@@ -666,6 +666,33 @@ def test_huffman_code_is_a_prefix_code():
     assert abs(sum(2.0 ** -int(n) for n in code.size) - 1) < 1e-12 and code.size[5] == 1
 
 
+@pytest.mark.parametrize("part", (1, 7, 1 << 20))
+def test_bits_of_parts_are_those_of_the_whole(monkeypatch, part):
+    """Slots and values of words' bits, by hand, however many words are looked up at once."""
+    monkeypatch.setattr(lm_mixing, "PART", part)
+    rng = np.random.default_rng(2)
+    head = [(f"w{i}".encode(), 400 - i) for i in range(60)]
+    bits = lm_mixing.Bits(head, 20_000, lm_mixing.Options())
+    texts = [[f"w{rng.integers(0, 70)}".encode() for _ in range(n)] for n in (1, 40, 2)]
+    symbols, doc = bits.coded(texts)
+    assert symbols.tolist() == [min(int(w[1:]), 60) for t in texts for w in t]
+    owner, slots, value = bits.words(symbols, doc)
+    mixed = lambda a, b: (x := (a ^ b) * 0x9E3779B97F4A7C15 % 2**64) ^ x >> 29
+    at = 0
+    for t in range(len(symbols)):
+        one = int(symbols[t - 1]) + 1 if t and doc[t - 1] == doc[t] else 0
+        two = int(symbols[t - 2]) + 1 if t > 1 and doc[t - 2] == doc[t] else 0
+        h1 = mixed(one, 1)
+        h2 = mixed(mixed(two, 2), h1)
+        for i in range(bits.code.start[symbols[t]], bits.code.start[symbols[t]] + bits.code.size[symbols[t]]):
+            node = int(bits.code.nodes[i])
+            spread = node * 0xD6E8FEB86659FD93 % 2**64
+            want = [node, *[(mixed(h, spread) >> 64 - bits.word_bits) + int(bits.offsets[k]) for k, h in ((1, h1), (2, h2))]]
+            assert (owner[at], slots[:, at].tolist(), value[at]) == (t, want, bits.code.bits[i])
+            at += 1
+    assert at == len(owner)
+
+
 def test_lm_query(spark, documents):
     counts = Counter(w for i, t in documents.items() if zlib.crc32(str(i).encode()) % 10 for w in lm_mixing.tokens_of(t))
     total, distinct = counts.total(), len(counts)
