@@ -63,9 +63,9 @@ def shingle_hashes(words: list[str], hashes: dict[str, int], width: int) -> np.n
     return np.unique(made)
 
 
-def bitmap(hashes: np.ndarray) -> bytes:
-    """One bit for each hash; as many bits as hashes or up to twice that, a power of two, 64 at least."""
-    size = max(64, 1 << (len(hashes) - 1).bit_length()) if len(hashes) else 64
+def bitmap(hashes: np.ndarray, per_hash: int = 1) -> bytes:
+    """One bit set for each hash; ``per_hash`` bits a hash or up to twice that, a power of two, 64 at least."""
+    size = max(64, 1 << (per_hash * len(hashes) - 1).bit_length()) if len(hashes) else 64
     bits = np.zeros(size, np.uint8)
     bits[(hashes & np.uint64(size - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -348,6 +348,44 @@ WORD_RADIUS = 7
 #: Classes of a block of a large cluster (a unit compares two), blocks of a cluster while they don't grow, and most classes of a block.
 BLOCK_ROWS, BLOCKS, MOST_BLOCK_ROWS = 128, 16, 1 << 14
 
+#: Bits of a bitmap for each hash of a set (up to twice that), and most rows of units that are broadcast to the sets.
+BITS_PER_HASH, MAX_BROADCAST_UNIT_ROWS = 4, 75_000
+
+
+def maybe_similar(fps: np.ndarray, size: np.ndarray, bits: list[np.ndarray], radius: int, threshold: float, cluster: np.ndarray, part: np.ndarray | None = None) -> np.ndarray:
+    """True for rows of a pair that ``similar_forest`` may find, by the bitmaps of sets of ``size`` hashes: never false for a row of such a pair."""
+    width = np.array([len(x) for x in bits], np.int64)
+    whole, half, at = {}, {}, np.zeros(len(bits), np.int64)
+    for w in np.unique(width).tolist():
+        rows = np.flatnonzero(width == w)
+        at[rows] = np.arange(len(rows))
+        whole[w] = np.stack([bits[i] for i in rows])
+        half[w] = whole[w][:, : w // 2] | whole[w][:, w // 2 :]
+    found = np.zeros(len(bits), bool)
+    for x in range(len(bits) - 1):
+        near = (np.bitwise_count(fps[x + 1 :] ^ fps[x]) <= radius) & (cluster[x + 1 :] == cluster[x])
+        near &= np.minimum(size[x + 1 :], size[x]) + 1e-6 >= threshold * np.maximum(size[x + 1 :], size[x])
+        near &= (size[x + 1 :] > 0) & ~(found[x + 1 :] & found[x])
+        if part is not None:
+            near &= part[x + 1 :] != part[x]
+        left = x + 1 + np.flatnonzero(near)
+        w = int(width[x])
+        # bitmaps of other widths aren't compared
+        open_ = left[(width[left] != w) & (width[left] != 2 * w) & (2 * width[left] != w)]
+        found[open_] = True
+        found[x] |= len(open_) > 0
+        for other, mine, theirs in ((w, whole, whole), (2 * w, whole, half), (w // 2, half, whole)):
+            some = left[width[left] == other]
+            for lo in range(0, len(some), 1024):
+                y = some[lo : lo + 1024]
+                a, b = mine[w][at[x]], theirs[other][at[y]]
+                # a bit that is set on one side only is a hash at least that the other set doesn't have
+                most = np.minimum(size[x] - np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64), size[y] - np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64))
+                y = y[most + 1e-6 >= threshold * (size[x] + size[y] - most)]
+                found[y] = True
+                found[x] |= len(y) > 0
+    return found
+
 
 def similar_forest(fps: np.ndarray, sets: list[np.ndarray], radius: int, threshold: float, cluster: np.ndarray, part: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
     """Spanning edges of the pairs within ``radius`` bits whose sets have a Jaccard similarity of ``threshold`` or more.
@@ -381,31 +419,61 @@ def similar_forest(fps: np.ndarray, sets: list[np.ndarray], radius: int, thresho
         mine[own] = False
 
 
-def similar_links(rows: DataFrame, radius: int, threshold: float) -> DataFrame:
-    """Edges ``a, b`` that connect what the similar pairs of ``rows(cluster, least, fp, sh)`` connect; pairs of different clusters aren't tried.
+def in_units(rows: DataFrame) -> DataFrame:
+    """``rows(cluster, least, fp, ...)`` as often as units compare them, with the columns ``unit, low, high, part``.
 
-    ``sh`` has the 64-bit hashes of a set. Small clusters share a unit, and large ones are cut into blocks whose pairs are the units:
-    neither the rows of a unit nor those that it returns grow with the square of a cluster. Of a cluster of up to
+    Small clusters share a unit, and large ones are cut into blocks whose pairs are the units. Of a cluster of up to
     ``BLOCKS * MOST_BLOCK_ROWS`` rows, each is sent ``BLOCKS`` times at most, of a larger one once a block.
     """
-    sizes = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK_ROWS)
+    sizes = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > BLOCK_ROWS)
     # one of BLOCK_ROWS rows at most
-    large = materialise(sizes.select("cluster", F.ceil(F.col("n") / F.least(F.lit(MOST_BLOCK_ROWS), F.greatest(F.lit(BLOCK_ROWS), F.ceil(F.col("n") / BLOCKS)))).cast("int").alias("blocks")), "large")
+    large = materialise(sizes.select("cluster", F.ceil(F.col("n_rows") / F.least(F.lit(MOST_BLOCK_ROWS), F.greatest(F.lit(BLOCK_ROWS), F.ceil(F.col("n_rows") / BLOCKS)))).cast("int").alias("blocks")), "large")
     units = max(1, rows.count() // (2 * BLOCK_ROWS))
     known = rows.join(F.broadcast(large) if large.count() <= MAX_BROADCAST_IDS else large, "cluster", "left")
-    few = known.where("blocks is null").select(F.pmod(F.xxhash64("cluster"), F.lit(units)).alias("unit"), F.lit(-1).alias("low"), F.lit(-1).alias("high"), F.lit(-1).alias("part"), "cluster", "least", "fp", "sh")
+    few = known.where("blocks is null").select(F.pmod(F.xxhash64("cluster"), F.lit(units)).alias("unit"), F.lit(-1).alias("low"), F.lit(-1).alias("high"), F.lit(-1).alias("part"), *rows.columns)
     part = F.pmod(F.xxhash64("least", "fp"), "blocks").cast("int")
-    many = known.where("blocks is not null").select(F.col("cluster").alias("unit"), part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "cluster", "least", "fp", "sh")
-    many = many.select("unit", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "cluster", "least", "fp", "sh")
+    many = known.where("blocks is not null").select(F.col("cluster").alias("unit"), part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), *rows.columns)
+    many = many.select("unit", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", *rows.columns)
+    return few.unionByName(many)
+
+
+def similar_links(rows: DataFrame, radius: int, threshold: float) -> DataFrame:
+    """Edges ``a, b`` that connect what the similar pairs of ``rows(cluster, least, fp, sh)`` connect; pairs of different clusters aren't tried.
+
+    ``sh`` has the 64-bit hashes of a set. Units first get bitmaps, a tenth of the sets, and tell which of their rows have a pair
+    that bitmaps don't rule out; only those rows' sets are sent to that unit, which compares them exactly.
+    Neither the rows of a unit nor those that it returns grow with the square of a cluster.
+    """
+    row = ["cluster", "least", "fp", "key"]
+    rows = rows.withColumn("key", F.xxhash64("sh"))
+
+    def sketch(found: dict[str, list]) -> dict[str, list]:
+        sets = [np.frombuffer(x, np.uint64) for x in found["sh"]]
+        return {c: found[c] for c in row} | {"n": [len(x) for x in sets], "bits": [bitmap(x, BITS_PER_HASH) for x in sets]}
+
+    # rows of one key have equal sets
+    sketches = materialise(map_rows(rows, sketch, "cluster long, least long, fp long, key long, n long, bits binary").dropDuplicates(row), "sketches")
+
+    def parts_of(key: tuple, found: pa.Table) -> np.ndarray | None:
+        return found.column("part").to_numpy() if key[1].as_py() != key[2].as_py() else None
+
+    def arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
+        return [np.frombuffer(x.as_buffer(), np.uint64) for chunk in column.chunks for x in chunk]
+
+    def pick(key: tuple, found: pa.Table) -> pa.Table:
+        fps, n, cluster = (found.column(c).to_numpy() for c in ("fp", "n", "cluster"))
+        open_ = maybe_similar(fps.view(np.uint64), n, arrays(found.column("bits")), radius, threshold, cluster, parts_of(key, found))
+        return found.select(["unit", "low", "high", "part", *row]).filter(pa.array(open_))
 
     def compare(key: tuple, found: pa.Table) -> pa.Table:
-        part = found.column("part").to_numpy() if key[1].as_py() != key[2].as_py() else None
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for chunk in found.column("sh").chunks for x in chunk]
-        edges = np.array(list(similar_forest(found.column("fp").to_numpy().view(np.uint64), sets, radius, threshold, found.column("cluster").to_numpy(), part)), np.int64).reshape(-1, 2)
+        edges = np.array(list(similar_forest(found.column("fp").to_numpy().view(np.uint64), arrays(found.column("sh")), radius, threshold, found.column("cluster").to_numpy(), parts_of(key, found))), np.int64).reshape(-1, 2)
         least = found.column("least").to_numpy()
         return pa.table({"a": least[edges[:, 0]], "b": least[edges[:, 1]]})
 
-    return few.unionByName(many).groupBy("unit", "low", "high").applyInArrow(compare, "a long, b long")
+    unit = ["unit", "low", "high"]
+    open_ = materialise(in_units(sketches).groupBy(*unit).applyInArrow(pick, "unit long, low int, high int, part int, cluster long, least long, fp long, key long"), "maybe")
+    sets = rows.join(F.broadcast(open_) if open_.count() <= MAX_BROADCAST_UNIT_ROWS else open_, row).select(*unit, "part", "cluster", "least", "fp", "sh")
+    return sets.groupBy(*unit).applyInArrow(compare, "a long, b long")
 
 
 def near_copies(docs: DataFrame, threshold: float = 0.8, width: int = 5) -> DataFrame:

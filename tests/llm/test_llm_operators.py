@@ -306,6 +306,53 @@ def test_similar_links_connect_what_all_pairs_do(spark, monkeypatch, blocks):
     assert _components(90, got) == _components(90, want)
 
 
+def test_sets_of_unlike_rows_are_not_sent_to_all_units(spark, monkeypatch):
+    """Of a cluster of near fingerprints and unlike sets, units get a fraction of what all blocks' pairs of sets would be."""
+    from pyspark.sql import GroupedData
+
+    rng = np.random.default_rng(6)
+    sets = [rng.integers(0, 2**64, 200, dtype=np.uint64) for _ in range(300)]
+    for a, b in ((3, 250), (250, 17), (40, 41)):
+        sets[b] = np.append(sets[a][:190], sets[b][:5])
+    rows = [(1, i, i % 2, np.unique(x).tobytes()) for i, x in enumerate(sets)]
+    monkeypatch.setattr(simhash_dedup, "BLOCK_ROWS", 8)
+    sent, apply = [], GroupedData.applyInArrow
+
+    def counted(self, fn, schema):
+        columns = [c for c, kind in self._df.dtypes if kind == "binary"]
+        sent.append(sum(self._df.selectExpr(f"sum(length({c})) as n").first()["n"] or 0 for c in columns))
+        return apply(self, fn, schema)
+
+    monkeypatch.setattr(GroupedData, "applyInArrow", counted)
+    got = [(r["a"], r["b"]) for r in simhash_dedup.similar_links(spark.createDataFrame(rows, "cluster long, least long, fp long, sh binary"), 2, 0.8).collect()]
+    want = [(x, y) for x, y in itertools.combinations(range(300), 2) if len(np.intersect1d(sets[x], sets[y])) >= 0.8 * len(np.union1d(sets[x], sets[y]))]
+    assert len(want) == 4 and _components(300, got) == _components(300, want)
+    assert 0 < sum(sent) < 2 * sum(len(sh) for *_, sh in rows)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_rows_of_similar_pairs_may_be_similar(seed):
+    """Bitmaps keep every row of a pair that is similar, whatever the sizes, and few others."""
+    rng = np.random.default_rng(seed)
+    n, threshold = 60, (0.8, 0.3)[seed % 2]
+    base = [rng.integers(0, 2**64, k, dtype=np.uint64) for k in (0, 1, 2, 15, 16, 17, 33, 128, 130, 600)]
+    sets = []
+    for _ in range(n):
+        x = base[rng.integers(0, len(base))]
+        sets.append(np.unique(np.append(x[rng.random(len(x)) > rng.choice([0, 0.05, 0.2, 0.7])], rng.integers(0, 2**64, int(len(x) * rng.choice([0, 0.1, 0.3])), dtype=np.uint64))))
+    fps, cluster, part = rng.integers(0, 16, n).astype(np.uint64), rng.integers(0, 2, n), rng.integers(0, 2, n)
+    bits = [np.frombuffer(simhash_dedup.bitmap(x, simhash_dedup.BITS_PER_HASH), np.uint64) for x in sets]
+    size = np.array([len(x) for x in sets])
+    for parts in (None, part):
+        got = simhash_dedup.maybe_similar(fps, size, bits, 2, threshold, cluster, parts)
+        want = np.zeros(n, bool)
+        for x, y in itertools.combinations(range(n), 2):
+            shared = len(np.intersect1d(sets[x], sets[y]))
+            if cluster[x] == cluster[y] and (parts is None or part[x] != part[y]) and int(fps[x] ^ fps[y]).bit_count() <= 2 and shared and shared >= threshold * (size[x] + size[y] - shared):
+                want[[x, y]] = True
+        assert want.any() and not (want & ~got).any() and (threshold < 0.5 or not got.all())
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_bitmaps_never_rule_out_similar_sets(seed):
     rng = np.random.default_rng(seed)
