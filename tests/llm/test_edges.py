@@ -113,6 +113,16 @@ def test_url_edges(spark):
     assert url_filters.url_filter(pages, URL_RULES, listed.limit(0)).where("verdict = 'block'").count() == 1
 
 
+def test_url_rules_of_the_contract(spark, tmp_path):
+    """Each rule's word as the contract lists it, by the query itself."""
+    from kindred.llm.queries import op4_url_filters
+
+    urls = ["http://a.com/en/1", "http://b.example.com/en/71", "http://a.net/de/1", "http://example.net/de/1", "http://b.example.net/de/8x", "http://a.org/es/1", "http://spam-farm.example.net/de/1"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = [(r["rule"], r["verdict"]) for r in op4_url_filters(spark, str(tmp_path)).orderBy("page_id").collect()]
+    assert got == [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"), ("net/de/", "allow")]
+
+
 def test_long_hosts_and_pages(spark):
     host = "a." * 20_000 + "free-bets.example.net"
     pages = spark.createDataFrame([(1, f"http://{host}/x"), (2, "http://y.example.com/" + "p/" * 50_000), (3, "https://Page.example.com/one//?q"), (4, "https://page.example.com/one/two")], "page_id long, url string")
